@@ -70,9 +70,15 @@ def stable_id(*parts: Column, length: int = 16) -> Column:
     return F.substring(F.sha2(F.concat_ws(":", *parts), 256), 1, length)
 
 
-def margin_confidence(best: Column, second: Column, full: float = 0.08) -> Column:
-    """Score margin mapped linearly to [0, 1]."""
-    return clip((best - second) / F.lit(full), 0.0, 1.0)
+# Margins at which a label choice is abstained from and fully trusted.
+MARGIN_ABSTAIN, MARGIN_CONFIDENT = 0.018, 0.060
+
+
+def margin_confidence(margin: Column | str) -> Column:
+    """Score margin mapped linearly to [0, 1] between the two fixed margins."""
+    m = col(margin)
+    scaled = F.least(F.lit(1.0), (m - MARGIN_ABSTAIN) / (MARGIN_CONFIDENT - MARGIN_ABSTAIN))
+    return F.when(m <= MARGIN_ABSTAIN, F.lit(0.0)).otherwise(F.round(scaled, 4))
 
 
 def directional(direction: Column, value: Column, target: Column) -> Column:
