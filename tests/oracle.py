@@ -60,6 +60,15 @@ def compare(spark, con, name: str, fn, sql: str | None, sf: str) -> tuple[bool,
     want = result.fetchall()
     if sorted(columns) != sorted(df.columns):
         return False, f"columns differ: {sorted(df.columns)} vs {sorted(columns)}"
+    for d in result.description:
+        kind, field = str(d[1]).upper(), df.schema[d[0]].dataType.typeName()
+        if kind == "HUGEINT" or kind.startswith("DECIMAL"):
+            return False, f"column {d[0]} is {kind} in SQL"
+        groups = (("INTEGER", "BIGINT", "SMALLINT", "TINYINT", "UINTEGER", "UBIGINT"), ("DOUBLE", "FLOAT"), ("VARCHAR",), ("BOOLEAN",))
+        spark_groups = (("integer", "long", "short", "byte"), ("double", "float"), ("string",), ("boolean",))
+        for sql_types, spark_types in zip(groups, spark_groups, strict=True):
+            if (kind in sql_types) != (field in spark_types):
+                return False, f"column {d[0]} is {field} against {kind}"
     mine, theirs = rows_of(df.columns, got), rows_of(columns, want)
     if mine != theirs:
         a, b = set(mine), set(theirs)

@@ -160,7 +160,7 @@ def a09(spark, d):
  round(stddev_pop(value), 6) AS std_value, any_value(cu) AS constant_units, any_value(mv) AS mean_unit_variance,
  round(quantile_cont(value, 0.01), 6) AS p01, round(quantile_cont(value, 0.5), 6) AS p50,
  round(quantile_cont(value, 0.99), 6) AS p99
- FROM es JOIN (SELECT run_id, sum(CASE WHEN v = 0 THEN 1 ELSE 0 END) AS cu, round(avg(v), 4) AS mv FROM u GROUP BY 1) USING (run_id)
+ FROM es JOIN (SELECT run_id, CAST(sum(CASE WHEN v = 0 THEN 1 ELSE 0 END) AS BIGINT) AS cu, round(avg(v), 4) AS mv FROM u GROUP BY 1) USING (run_id)
  GROUP BY run_id""")
 def a10(spark, d):
     out = P.health_profile(event_series(spark, d).withColumnRenamed("kind", "unit_id"))
