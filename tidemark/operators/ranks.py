@@ -14,17 +14,21 @@ ACCURACY = 2_000
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]
+    df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Linear-interpolation quantiles (numpy's default), one row per group.
 
-    The built-in ``percentile`` keeps every distinct value of a group in one buffer. Here a
-    sketch brackets each wanted rank, rows outside the bracket are only counted, and the
-    few rows inside are ordered as ``(value, count)``. A group small enough for the sketch
-    to be exact costs the same.
+    The built-in ``percentile`` keeps every distinct value of a group in one buffer, so it
+    is used only when no group exceeds ``hot_rows``. Otherwise a sketch brackets each wanted
+    rank, rows outside the bracket are only counted, and the few rows inside are ordered as
+    ``(value, count)``.
     """
     keys = list(keys)
     names = list(probs)
+    if largest_group(df, keys) <= hot_rows:
+        wanted = F.percentile(F.col(value).cast("double"), [float(p) for p in probs.values()])
+        packed = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(wanted.alias("_q"))
+        return packed.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
     slack = 4.0 / ACCURACY
     ask: list[float] = []
     for p in probs.values():

@@ -392,7 +392,7 @@ def w29(spark, d):
  0.2 * greatest(0, 1 - abs(value / 100 - 0.5) / 0.5))), 6) AS activity FROM es JOIN q USING (run_id)""")
 def w28(spark, d):
     es = event_series(spark, d)
-    q = exact_quantiles(es, ["run_id"], "value", {"p95": 0.95, "p90": 0.90})
+    q = exact_quantiles(es, ["run_id"], "value", {"p95": 0.95, "p90": 0.90}, hot_rows=0)
     v = F.col("value")
     loud = F.least(F.lit(1.0), v / (F.col("p95") + 1e-9))
     flat = F.least(F.lit(1.0), v / (F.col("p90") + 1e-9))

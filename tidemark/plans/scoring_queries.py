@@ -390,7 +390,7 @@ def x17(spark, d):
  SELECT s_suppkey, round(greatest(0, least(1, (s_acctbal - lo) / (hi - lo))), 6) AS display, round(greatest(-1, least(1, s_acctbal / e)), 6) + 0.0 AS signed FROM supplier, q""")
 def x18(spark, d):
     s = table(spark, d, "supplier").withColumn("_k", F.lit(0))
-    q = exact_quantiles(s, ["_k"], "s_acctbal", {"lo": 0.01, "hi": 0.99})
+    q = exact_quantiles(s, ["_k"], "s_acctbal", {"lo": 0.01, "hi": 0.99}, hot_rows=0)
     extent = F.greatest(F.abs("lo"), F.abs("hi"))
     return s.join(q, "_k").select("s_suppkey", r(display_normalise(F.col("s_acctbal"), F.col("lo"), F.col("hi"))).alias("display"),
                                   r(signed_normalise(F.col("s_acctbal"), extent)).alias("signed"))
