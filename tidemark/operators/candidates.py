@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.registry import Registry
 from tidemark.operators.ranks import ranked, top_k
+from tidemark.session import durable
 
 # Share of a parameter's range used as perturbation scale.
 MAGNITUDE = {"small": 0.05, "medium": 0.15, "large": 0.35}
@@ -430,7 +431,10 @@ def greedy_batch(
     chosen; else the best that is at least ``minimum_distance`` away, relaxed to fill. Each
     round is one aggregate; only the chosen rows (``count``) reach the driver.
     """
-    slim = pool.select(F.col(key).alias("_id"), score.cast("double").alias("_s"), *[get(p).alias(f"_v_{p.name}") for p in space]).where("_s IS NOT NULL")
+    # Written once: every round then reads plain narrow columns.
+    slim = durable(
+        pool.select(F.col(key).alias("_id"), score.cast("double").alias("_s"), *[get(p).alias(f"_v_{p.name}") for p in space]).where("_s IS NOT NULL")
+    )
     here = value_map({p.name: F.col(f"_v_{p.name}") for p in space})
     spread = None
     if novelty_weight:
