@@ -1,0 +1,251 @@
+"""Sources, sinks and lookups: every query writes tables derived from the inputs and reads them back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark import schemas
+from tidemark.functions.registry import METRICS
+from tidemark.functions.scalar import r
+from tidemark.operators import panel as P
+from tidemark.plans.candidate_queries import E0, evaluations
+from tidemark.plans.content_queries import BASE, FU, OV, _fused
+from tidemark.plans.registry import RT, SP, UM, query
+from tidemark.plans.scoring_queries import SCORE, _scored
+from tidemark.sources.store import Store, map_report, region_dimension, scan_files, scratch
+from tidemark.sources.tables import ship_panel, table, unit_map
+
+MAN = "mf AS (SELECT run_id, count(*) AS cells, count(DISTINCT unit_id) AS units, min(t) AS first_t, max(t) AS last_t, sum(value) AS total FROM sp GROUP BY 1)"
+IDX = "ri AS (SELECT 'r' || o_orderkey AS run_id, 'k' || (o_custkey % 50) AS cache_key, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'completed' END AS status, o_orderkey AS seq FROM orders)"
+
+
+def _store(spark, name):
+    return Store(spark, scratch(spark, name))
+
+
+def _manifest(panel):
+    return panel.groupBy("run_id").agg(F.count(F.lit(1)).alias("cells"), F.countDistinct("unit_id").alias("units"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.sum("value").alias("total"))
+
+
+def _index(spark, d):
+    o = table(spark, d, "orders")
+    return o.select(F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("run_id"), F.concat(F.lit("k"), (F.col("o_custkey") % 50).cast("string")).alias("cache_key"),
+                    F.when(F.col("o_orderstatus") == "P", "failed").otherwise("completed").alias("status"), F.col("o_orderkey").alias("seq"))
+
+
+@query("s01_read_run_panel", f"WITH {SP} SELECT run_id, row_idx, unit_id, round(value, 6) AS value FROM sp WHERE run_id = 'R'")
+def s01(spark, d):
+    store = _store(spark, "panel")
+    store.write_panel(ship_panel(spark, d))
+    return store.load_runs(["R"]).select("run_id", "row_idx", "unit_id", r("value").alias("value"))
+
+
+@query("s02_read_manifest", f"WITH {SP}, {MAN} SELECT run_id, cells, units, first_t, last_t, round(total, 4) AS total FROM mf")
+def s02(spark, d):
+    store = _store(spark, "manifests")
+    store.write_manifests(_manifest(ship_panel(spark, d)))
+    return store.manifests().withColumn("total", r("total", 4))
+
+
+@query("s03_event_table_round_trip", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def s03(spark, d):
+    store = _store(spark, "events")
+    store.write("events", table(spark, d, "events"), ["event_type"])
+    return store.read("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r(F.sum("value"), 4).alias("total"))
+
+
+@query("s04_append_run_index", f"WITH {IDX} SELECT status, count(*) AS n, count(DISTINCT cache_key) AS keys FROM ri GROUP BY 1")
+def s04(spark, d):
+    store, idx = _store(spark, "index"), _index(spark, d)
+    store.append_index(idx.where("seq % 2 = 0"))
+    store.append_index(idx.where("seq % 2 = 1"))
+    return store.index().groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("cache_key").alias("keys"))
+
+
+@query("s05_latest_by_cache_key", f"WITH {IDX} SELECT cache_key, arg_max(run_id, seq) AS run_id FROM ri WHERE status <> 'failed' GROUP BY 1")
+def s05(spark, d):
+    store = _store(spark, "index")
+    store.append_index(_index(spark, d))
+    return store.latest_by_cache_key()
+
+
+@query("s06_list_runs", f"WITH {IDX} SELECT * FROM ri ORDER BY seq DESC LIMIT 25")
+def s06(spark, d):
+    store = _store(spark, "index")
+    store.append_index(_index(spark, d))
+    return store.list_runs(25)
+
+
+@query("s07_named_series", f"WITH {SP}, l AS (SELECT run_id, row_idx, unnest(['mean', 'magnitude']) AS metric, unnest([m, l]) AS value FROM (SELECT run_id, row_idx, avg(value) AS m, sqrt(sum(value * value)) AS l FROM sp GROUP BY ALL)) SELECT run_id, row_idx, metric, round(value, 6) AS value FROM l WHERE metric = 'magnitude'")
+def s07(spark, d):
+    v = F.col("value")
+    wide = ship_panel(spark, d).groupBy("run_id", "row_idx").agg(F.avg(v).alias("mean"), F.sqrt(F.sum(v * v)).alias("magnitude"))
+    store = _store(spark, "series")
+    store.write("metrics_ts", wide.unpivot(["run_id", "row_idx"], ["mean", "magnitude"], "metric", "value"), ["metric"])
+    return store.read("metrics_ts", metric="magnitude").select("run_id", "row_idx", "metric", r("value").alias("value"))
+
+
+@query("s08_immutable_comparison", f"WITH {SP} SELECT 'A-R' AS comparison_id, a.row_idx, count(*) AS units, round(avg(b.value - a.value), 6) + 0.0 AS mean_delta, true AS second_write_refused FROM sp a JOIN sp b ON a.run_id = 'A' AND b.run_id = 'R' AND a.row_idx = b.row_idx AND a.unit_id = b.unit_id GROUP BY a.row_idx")
+def s08(spark, d):
+    p = ship_panel(spark, d)
+    a = p.where("run_id = 'A'").select("row_idx", "unit_id", F.col("value").alias("x"))
+    b = p.where("run_id = 'R'").select("row_idx", "unit_id", F.col("value").alias("y"))
+    rows = a.join(b, ["row_idx", "unit_id"]).groupBy("row_idx").agg(F.count(F.lit(1)).alias("units"), r(F.avg(F.col("y") - F.col("x"))).alias("mean_delta"))
+    store = _store(spark, "comparisons")
+    store.write_once("comparisons", rows, "comparison_id", "A-R")
+    try:
+        store.write_once("comparisons", rows, "comparison_id", "A-R")
+        refused = False
+    except Exception as error:
+        refused = "exists" in str(error).lower()
+    return store.read("comparisons", comparison_id="A-R").withColumn("second_write_refused", F.lit(refused))
+
+
+@query("s09_score_store", f"{SCORE} SELECT 'users' AS experiment_id, run_id, round(total, 6) + 0.0 AS total_score, rank FROM rk WHERE total IS NOT NULL")
+def s09(spark, d):
+    _, ranking = _scored(spark, d)
+    store = _store(spark, "scores")
+    out = ranking.select("run_id", "total_score", "rank").withColumn("experiment_id", F.lit("users")).withColumn("objective_set_hash", F.sha2(F.lit("m,p,s"), 256))
+    store.write("scores", out, ["experiment_id", "objective_set_hash"])
+    return store.read("scores", experiment_id="users").where("total_score IS NOT NULL").select("experiment_id", "run_id", r("total_score").alias("total_score"), "rank")
+
+
+@query("s10_content_cache", f"{BASE}, {OV}, {FU} SELECT 'c' || (run_id % 4) AS cache_key, run_id, count(*) AS spans FROM fu WHERE run_id % 4 = 3 GROUP BY ALL")
+def s10(spark, d):
+    fused = _fused(spark, d)[2].select("run_id", "event_type", F.concat(F.lit("c"), (F.col("run_id") % 4).cast("string")).alias("cache_key"))
+    store = _store(spark, "content")
+    store.write("content", fused, ["cache_key"])
+    return store.read("content", cache_key="c3").groupBy("cache_key", "run_id").agg(F.count(F.lit(1)).alias("spans"))
+
+
+@query("s11_review_upsert", "WITH r AS (SELECT 'R' || (o_custkey % 300) AS recommendation_id, CASE o_orderstatus WHEN 'F' THEN 'approved' ELSE 'rejected' END AS state, o_orderkey AS seq FROM orders) SELECT recommendation_id, arg_max(state, seq) AS state, max(seq) AS seq FROM r GROUP BY 1")
+def s11(spark, d):
+    o = table(spark, d, "orders")
+    reviews = o.select(F.concat(F.lit("R"), (F.col("o_custkey") % 300).cast("string")).alias("recommendation_id"), F.when(F.col("o_orderstatus") == "F", "approved").otherwise("rejected").alias("state"), F.col("o_orderkey").alias("seq"))
+    store = _store(spark, "reviews")
+    store.write("reviews", reviews.where("seq % 3 > 0"))
+    store.write("reviews", reviews.where("seq % 3 = 0"))
+    return store.reviews()
+
+
+@query("s12_search_state", f"{E0} SELECT search_id, generation, count(*) AS n, round(max(fitness), 6) + 0.0 AS best FROM ev WHERE search_id = 'PROMO' GROUP BY ALL")
+def s12(spark, d):
+    ev = evaluations(spark, d).select("search_id", "candidate_id", "generation", "fitness")
+    store = _store(spark, "search")
+    store.write("evaluations", ev.where("generation % 2 = 0"), ["search_id"])
+    store.write("evaluations", ev.where("generation % 2 = 1"), ["search_id"])
+    return store.read("evaluations", search_id="PROMO").groupBy("search_id", "generation").agg(F.count(F.lit(1)).alias("n"), r(F.max("fitness")).alias("best"))
+
+
+@query("s13_content_file_scan")
+def s13(spark, d):
+    """The table files themselves, with type, size verdict and digest."""
+    return scan_files(spark, f"{d}/*.parquet")
+
+
+DIM = "un AS (SELECT s_suppkey AS unit_id, CASE WHEN s_nationkey < 13 THEN 'left' ELSE 'right' END AS hemisphere, s_nationkey % 7 AS label, s_acctbal < 0 AS excluded FROM supplier), lb AS (SELECT hemisphere, label, count(*) AS unit_count FROM un WHERE NOT excluded GROUP BY ALL), rg AS (SELECT *, dense_rank() OVER (ORDER BY hemisphere, label) - 1 AS region_id FROM lb)"
+
+
+def _units(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("unit_id"), F.when(F.col("s_nationkey") < 13, "left").otherwise("right").alias("hemisphere"),
+                                              (F.col("s_nationkey") % 7).alias("label"), (F.col("s_acctbal") < 0).alias("excluded"))
+
+
+@query("s14_region_dimension", f"WITH {DIM} SELECT unit_id, CASE WHEN NOT excluded THEN CAST(region_id AS INTEGER) END AS region_id FROM un LEFT JOIN rg USING (hemisphere, label)")
+def s14(spark, d):
+    return region_dimension(_units(spark, d))[0].select("unit_id", F.col("region_id").cast("int").alias("region_id"))
+
+
+@query("s15_network_dimension", "SELECT s_suppkey AS unit_id, CASE WHEN s_nationkey % 8 > 0 THEN s_nationkey % 8 - 1 END AS network_id FROM supplier")
+def s15(spark, d):
+    label = F.col("s_nationkey") % 8
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("unit_id"), F.when(label > 0, label - 1).alias("network_id"))
+
+
+@query("a29_map_validation", f"WITH {DIM}, mp AS (SELECT un.*, CASE WHEN unit_id % 23 = 0 THEN 999 WHEN unit_id % 29 = 0 THEN NULL WHEN excluded AND unit_id % 2 = 0 THEN 0 WHEN NOT excluded THEN region_id END AS rid FROM un LEFT JOIN rg USING (hemisphere, label)), ct AS (SELECT rid, count(*) AS n, min(hemisphere) AS lo, max(hemisphere) AS hi FROM mp WHERE rid IS NOT NULL GROUP BY 1) SELECT 'out_of_range' AS problem, unit_id AS id FROM mp WHERE rid = 999 UNION ALL SELECT 'excluded_but_mapped', unit_id FROM mp WHERE excluded AND rid IS NOT NULL UNION ALL SELECT 'unmapped', unit_id FROM mp WHERE NOT excluded AND rid IS NULL UNION ALL SELECT 'empty_region', region_id FROM rg LEFT JOIN ct ON rid = region_id WHERE n IS NULL UNION ALL SELECT 'count_mismatch', region_id FROM rg JOIN ct ON rid = region_id WHERE n <> unit_count UNION ALL SELECT 'crosses_hemisphere', region_id FROM rg JOIN ct ON rid = region_id WHERE lo <> hemisphere OR hi <> hemisphere")
+def a29(spark, d):
+    mapped, regions = region_dimension(_units(spark, d))
+    u, rid = F.col("unit_id"), F.col("region_id")
+    spoiled = F.when(u % 23 == 0, 999).when(u % 29 == 0, None).when(F.col("excluded") & (u % 2 == 0), 0).otherwise(rid)
+    return map_report(mapped.withColumn("region_id", spoiled), regions)
+
+
+@query("s16_assemble_variants", f"WITH {SP}, {UM}, {RT}, p AS (SELECT run_id, count(DISTINCT row_idx) AS rows, count(DISTINCT unit_id) AS units FROM sp GROUP BY 1), g AS (SELECT run_id, count(DISTINCT row_idx) AS region_rows, count(DISTINCT region_id) AS regions FROM rt GROUP BY 1) SELECT run_id, rows, units, regions, rows = region_rows AND units = (SELECT count(*) FROM um) AS consistent FROM p JOIN g USING (run_id)")
+def s16(spark, d):
+    p, um = ship_panel(spark, d), unit_map(spark, d)
+    schemas.require_columns(um, schemas.UNIT_MAP)
+    total = um.agg(F.count(F.lit(1)).alias("n")).scalar()
+    facts = p.groupBy("run_id").agg(F.countDistinct("row_idx").alias("rows"), F.countDistinct("unit_id").alias("units"))
+    regions = P.region_means(p, um).groupBy("run_id").agg(F.countDistinct("row_idx").alias("region_rows"), F.countDistinct("region_id").alias("regions"))
+    j = facts.join(regions, "run_id")
+    return j.withColumn("_total", total).select("run_id", "rows", "units", "regions", ((F.col("rows") == F.col("region_rows")) & (F.col("units") == F.col("_total"))).alias("consistent"))
+
+
+@query("s17_filtered_lookup", f"{BASE}, {OV}, {FU} SELECT run_id, span_start, event_type FROM fu WHERE run_id = 5 AND event_type = 'cta'")
+def s17(spark, d):
+    fused = _fused(spark, d)[2]
+    return fused.where((F.col("run_id") == 5) & (F.col("event_type") == "cta")).select("run_id", "span_start", "event_type")
+
+
+@query("s19_analytics_store", f"WITH {SP}, {UM}, {RT} SELECT run_id, region_id, count(*) AS steps, round(avg(value), 6) AS mean_value FROM rt WHERE run_id = 'N' GROUP BY ALL")
+def s19(spark, d):
+    store = _store(spark, "analytics")
+    store.write("region_ts", P.region_means(ship_panel(spark, d), unit_map(spark, d)), ["run_id"])
+    return store.read("region_ts", run_id="N").groupBy("run_id", "region_id").agg(F.count(F.lit(1)).alias("steps"), r(F.avg("value")).alias("mean_value"))
+
+
+@query("s20_surrogate_store", f"{E0} SELECT search_id, max(generation) AS version, round(arg_max(m, generation), 6) AS mae FROM (SELECT search_id, generation, avg(abs(fitness)) AS m FROM ev WHERE usable GROUP BY ALL) GROUP BY 1")
+def s20(spark, d):
+    ev = evaluations(spark, d).where("usable")
+    models = ev.groupBy("search_id", F.col("generation").alias("version")).agg(F.avg(F.abs("fitness")).alias("mae"))
+    store = _store(spark, "surrogate")
+    store.write("models", models.where("version % 2 = 0"))
+    store.write("models", models.where("version % 2 = 1"))
+    return store.latest_model().withColumn("mae", r("mae"))
+
+
+@query("s21_run_summary", f"WITH {SP}, {UM}, {RT}, {MAN}, sc AS (SELECT run_id, quantile_cont(value, 0.01) AS p01, quantile_cont(value, 0.99) AS p99 FROM sp GROUP BY 1), rg AS (SELECT run_id, count(DISTINCT region_id) AS regions FROM rt GROUP BY 1) SELECT run_id, cells, units, regions, first_t, last_t, round(p01, 6) AS p01, round(p99, 6) AS p99 FROM mf JOIN sc USING (run_id) JOIN rg USING (run_id)")
+def s21(spark, d):
+    p = ship_panel(spark, d)
+    regions = P.region_means(p, unit_map(spark, d)).groupBy("run_id").agg(F.countDistinct("region_id").alias("regions"))
+    out = _manifest(p).join(P.display_scale(p), "run_id").join(regions, "run_id")
+    return out.select("run_id", "cells", "units", "regions", "first_t", "last_t", r("p01").alias("p01"), r("p99").alias("p99"))
+
+
+@query("f05_region_map_protocol", f"WITH {SP}, um AS (SELECT p_partkey AS unit_id, p_size AS region_id FROM part) SELECT run_id, region_id, count(*) AS cells FROM sp JOIN um USING (unit_id) GROUP BY ALL")
+def f05(spark, d):
+    """Any table with the unit map's columns works: here parts and their sizes."""
+    other = table(spark, d, "part").select(F.col("p_partkey").alias("unit_id"), F.col("p_size").alias("region_id"), F.lit(0).alias("network_id"), F.lit("left").alias("hemisphere"), F.lit(False).alias("excluded"))
+    schemas.require_columns(other, schemas.UNIT_MAP)
+    return ship_panel(spark, d).join(other.select("unit_id", "region_id"), "unit_id").groupBy("run_id", "region_id").agg(F.count(F.lit(1)).alias("cells"))
+
+
+@query("p07_metric_allowlist", "SELECT p_partkey, ['MEAN_RESPONSE', 'PEAK_RESPONSE', 'MADE_UP'][p_size % 3 + 1] AS metric, p_size % 3 < 2 AS allowed FROM part")
+def p07(spark, d):
+    names = F.element_at(F.array(F.lit("MEAN_RESPONSE"), F.lit("PEAK_RESPONSE"), F.lit("MADE_UP")), F.col("p_size") % 3 + 1)
+    allowed = [entry.name for entry in METRICS]
+    return table(spark, d, "part").select("p_partkey", names.alias("metric")).withColumn("allowed", F.col("metric").isin(allowed))
+
+
+@query("p22_load_only_needed", f"WITH {SP}, {UM} SELECT run_id, row_idx, round(avg(value), 6) AS value FROM sp JOIN um USING (unit_id) WHERE network_id = 2 GROUP BY ALL")
+def p22(spark, d):
+    """Network series of one network: the map's other columns never leave the scan."""
+    return P.region_means(ship_panel(spark, d), unit_map(spark, d), "network_id").where("network_id = 2").select("run_id", "row_idx", r("value").alias("value"))
+
+
+@query("w18_baseline_delta", f"{SCORE}, b AS (SELECT total AS base FROM tt WHERE run_id = 0) SELECT run_id, round(total - base, 6) + 0.0 AS baseline_delta FROM tt, b")
+def w18(spark, d):
+    return _scored(spark, d)[1].select("run_id", r("baseline_delta").alias("baseline_delta"))
+
+
+@query("a20_feature_coverage", "WITH m AS (SELECT l_returnflag AS run_id, date_trunc('month', l_shipdate) AS mo, avg(l_tax) AS tax FROM lineitem WHERE l_quantity > 40 GROUP BY ALL), a AS (SELECT * FROM m WHERE run_id = 'A'), b AS (SELECT * FROM m WHERE run_id = 'N') SELECT count(*) AS aligned, round(avg(CASE WHEN a.tax > 0.04 AND b.tax > 0.04 THEN 1.0::DOUBLE ELSE 0 END), 8) AS coverage_fraction, round(avg(CASE WHEN a.tax > 0.04 AND b.tax > 0.04 THEN b.tax - a.tax END), 8) + 0.0 AS mean_signed, round(avg(CASE WHEN a.tax > 0.04 AND b.tax > 0.04 THEN abs(b.tax - a.tax) END), 8) AS mean_absolute FROM a JOIN b USING (mo)")
+def a20(spark, d):
+    from tidemark.operators.compare import gated
+
+    m = table(spark, d, "lineitem").where("l_quantity > 40").groupBy(F.col("l_returnflag").alias("run_id"), F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("mo")).agg(F.avg("l_tax").alias("tax"))
+    a = m.where("run_id = 'A'").select("y", "mo", F.col("tax").alias("ref"))
+    b = m.where("run_id = 'N'").select("y", "mo", F.col("tax").alias("cand"))
+    mask = lambda c: F.when(F.col(c) > 0.04, 1.0).otherwise(0.0)
+    delta = a.join(b, ["y", "mo"]).select(gated(F.col("ref"), F.col("cand"), mask("ref"), mask("cand")).alias("x"))
+    x = F.col("x")
+    return delta.agg(F.count(F.lit(1)).alias("aligned"), r(F.avg(F.when(x.isNotNull(), 1.0).otherwise(0.0)), 8).alias("coverage_fraction"), r(F.avg(x), 8).alias("mean_signed"), r(F.avg(F.abs(x)), 8).alias("mean_absolute"))
