@@ -186,7 +186,10 @@ TRAJ = """tr AS (SELECT *, max(CASE WHEN eligible THEN fitness END) OVER (PARTIT
 
 @query("w21_best_so_far", f"{E0}, {TRAJ} SELECT candidate_id, search_id, eligible AND (prior IS NULL OR fitness > prior) AS is_new_best, round(greatest(CASE WHEN eligible THEN fitness END, prior), 6) + 0.0 AS best_fitness FROM tr")
 def w21(spark, d):
-    out = K.trajectory(evaluations(spark, d), ["search_id"], "sequence")
+    from tidemark.operators.sequence import chunk_width
+
+    ev = evaluations(spark, d)
+    out = K.trajectory(ev, ["search_id"], "sequence", chunk_width(ev, ["search_id"], "sequence"))
     return out.select("candidate_id", "search_id", "is_new_best", r("best_fitness").alias("best_fitness"))
 
 

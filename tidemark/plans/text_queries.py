@@ -63,10 +63,10 @@ def x01(spark, d):
 @query("x02_sequence_similarity")
 def x02(spark, d):
     """Similarity of each turn to the one before it (matching blocks have no SQL form)."""
-    from tidemark.operators.sequence import neighbours
+    from tidemark.operators.sequence import chunk_width, neighbours
 
     c = table(spark, d, "conversations").withColumn("norm", TX.normalise_text(F.col("text")))
-    near = neighbours(c, ["conv_id"], ["turn"], ["norm"])
+    near = neighbours(c, ["conv_id"], ["turn"], ["norm"], chunk_width(c, ["conv_id"], "turn"))
     score = TX.sequence_ratio(F.coalesce("prev.norm", F.lit("")), F.col("norm"))
     return near.select("conv_id", "turn", r(score).alias("similarity"))
 
@@ -146,10 +146,12 @@ def j14(spark, d):
 @query("w26_merge_similar_texts")
 def w26(spark, d):
     """On-screen texts merged while open and similar; checked against brute force in the tests."""
+    from tidemark.operators.sequence import chunk_width
+
     c = table(spark, d, "conversations").select(
         F.col("conv_id").alias("run_id"), F.col("turn").cast("double").alias("t"), F.col("turn").alias("idx"),
         _pick(CLOSERS, F.col("conv_id") + F.floor(F.col("turn") / 3)).alias("text"), (F.length("text") % 97 / F.lit(97.0)).alias("confidence"))
-    return I.merge_texts(c, 1.0)
+    return I.merge_texts(c, 1.0, width=chunk_width(c, ["run_id"], "t"))
 
 
 WORDS = f"""{SEG}, wd AS (SELECT conv_id, turn * 10.0::DOUBLE + (i - 1) * 0.25 AS ws, w, turn, i FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS w, unnest(range(1, len(string_split(text, ' ')) + 1)) AS i FROM conversations) WHERE w <> '')"""
@@ -178,10 +180,10 @@ def x20(spark, d):
  UNION ALL SELECT conv_id, 0, min(ws), max(ws) + 0.25, md5(string_agg(w, ' ' ORDER BY ws, turn, i)) FROM wd WHERE conv_id % 5 = 0 GROUP BY conv_id""")
 def x21(spark, d):
     """Sentences where a run has them, else one segment of all its words."""
-    from tidemark.operators.sequence import ordinal
+    from tidemark.operators.sequence import chunk_width, ordinal
 
     seg = _segments(spark, d).join(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
-    sentences = ordinal(seg.where("conv_id % 5 > 0"), ["conv_id"], ["turn"], "idx").select("conv_id", "idx", F.col("s").alias("start_t"), F.col("e").alias("end_t"), F.md5("text").alias("digest"))
+    sentences = ordinal(seg.where("conv_id % 5 > 0"), ["conv_id"], ["turn"], "idx", chunk_width(seg, ["conv_id"], "turn")).select("conv_id", "idx", F.col("s").alias("start_t"), F.col("e").alias("end_t"), F.md5("text").alias("digest"))
     words = _words(spark, d).join(sentences.select("conv_id").distinct(), "conv_id", "left_anti")
     packed = F.array_sort(F.collect_list(F.struct("ws", "turn", "i", "w")))
     whole = words.groupBy("conv_id").agg(
