@@ -268,7 +268,8 @@ def detect_events(
         change.select(*ROW, F.lit("large_transition").alias("event_type"), "value")
     )
     peaks = local_peaks(both, z, ["run_id", "event_type"])
-    kept = suppress_close(peaks, min_distance, ["run_id", "event_type"])
+    # Two local peaks are never adjacent, so a distance of two or less suppresses nothing.
+    kept = suppress_close(peaks, min_distance, ["run_id", "event_type"]) if min_distance > 2 else peaks
     order = [F.col("score").desc(), F.col("event_type").desc(), F.col("row_idx")]
     best = top_k(kept, ["run_id"], order, max_events, "event_rank")
     top = top_per_row(

@@ -53,28 +53,28 @@ def exact_quantiles(
                 F.lit(name).alias("name"),
                 F.when(small | F.lit(ask[2 * i] == 0.0), F.col("_min")).otherwise(F.col("_q")[2 * i]).alias("lo"),
                 F.when(small | F.lit(ask[2 * i + 1] == 1.0), F.col("_max")).otherwise(F.col("_q")[2 * i + 1]).alias("hi"),
-                F.floor(rank).alias("k"),
-                (rank - F.floor(rank)).alias("w"),
+                F.floor(rank).alias("rank"),
+                (rank - F.floor(rank)).alias("weight"),
             )
         )
     brackets = sketch.select(*group, F.array(*bounds).alias("_b"))
-    tagged = clean.join(brackets, group).select(*group, "_v", F.explode("_b").alias("b"))
-    counted = tagged.where(F.col("_v") <= F.col("b.hi")).groupBy(
+    tagged = clean.join(brackets, group).select(*group, "_v", F.explode("_b").alias("_b"))
+    counted = tagged.where(F.col("_v") <= F.col("_b.hi")).groupBy(
         *group,
-        F.col("b.name").alias("name"),
-        F.col("b.k").alias("k"),
-        F.col("b.w").alias("w"),
-        F.when(F.col("_v") >= F.col("b.lo"), F.col("_v")).alias("v"),
-    ).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*group, "name").orderBy(F.col("v").asc_nulls_first())
-    cumulative = counted.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    low = F.min(F.when(F.col("upto") > F.col("k"), F.col("v")))
-    high = F.min(F.when(F.col("upto") > F.col("k") + 1, F.col("v")))
-    found = cumulative.groupBy(*group, "name").agg(
-        (low + F.coalesce((high - low) * F.first("w"), F.lit(0.0))).alias("q")
+        F.col("_b.name").alias("_name"),
+        F.col("_b.rank").alias("_rank"),
+        F.col("_b.weight").alias("_weight"),
+        F.when(F.col("_v") >= F.col("_b.lo"), F.col("_v")).alias("_in"),
+    ).agg(F.count(F.lit(1)).alias("_c"))
+    w = Window.partitionBy(*group, "_name").orderBy(F.col("_in").asc_nulls_first())
+    cumulative = counted.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    low = F.min(F.when(F.col("_upto") > F.col("_rank"), F.col("_in")))
+    high = F.min(F.when(F.col("_upto") > F.col("_rank") + 1, F.col("_in")))
+    found = cumulative.groupBy(*group, "_name").agg(
+        (low + F.coalesce((high - low) * F.first("_weight"), F.lit(0.0))).alias("_q")
     )
     wide = found.groupBy(*group).agg(
-        *[F.max(F.when(F.col("name") == n, F.col("q"))).alias(n) for n in names]
+        *[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in names]
     )
     return wide if keys else wide.drop("_all")
 

@@ -114,7 +114,8 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) ->
 
 def spearman(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     """Rank correlation; NULL below two rows or when either side does not vary."""
-    both = average_ranks(average_ranks(df, keys, a, "_ra"), keys, b, "_rb")
+    slim = durable(df.select(*keys, a, b))
+    both = average_ranks(average_ranks(slim, keys, a, "_ra"), keys, b, "_rb")
     x, y = F.col("_ra"), F.col("_rb")
     cov = F.avg(x * y) - F.avg(x) * F.avg(y)
     ok = (F.count(F.lit(1)) >= 2) & (F.var_pop(x) > 0) & (F.var_pop(y) > 0)
@@ -126,11 +127,12 @@ def kendall(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
 
     Two rows differ first at one bit of their rank in ``a``. For each bit, the block of rows
     that agree above it splits in halves, and a running count along ``b`` gives the upper
-    rows that lie below each lower row: the discordant pairs. That is a grouped pass per bit
-    (n log n), with the running count cut in chunks of equal size because ranks are dense.
+    rows that lie below each lower row: the discordant pairs. All bits go through one pass
+    (n log n rows), with the running count cut in equal chunks because ranks are dense.
     """
     keys = list(keys)
-    ranks = average_ranks(average_ranks(df, keys, a, "_x"), keys, b, "_y")
+    slim = durable(df.select(*keys, a, b))
+    ranks = average_ranks(average_ranks(slim, keys, a, "_x"), keys, b, "_y")
     cells = durable(
         ranks.groupBy(*keys, (F.col("_x") * 2).cast("long").alias("_ix"), (F.col("_y") * 2).cast("long").alias("_iy")).agg(
             F.count(F.lit(1)).cast("double").alias("c")
@@ -141,16 +143,15 @@ def kendall(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     )
     bits = int(cells.agg(F.max("_ix").alias("m")).first()["m"] or 1).bit_length()
     width = None if largest_group(cells, keys) <= TARGET_ROWS else float(2 * TARGET_ROWS)
-    levels = []
-    for level in range(bits):
-        staged = cells.withColumn("_block", F.shiftright("_ix", level + 1)).withColumn(
-            "_half", F.shiftright("_ix", level).bitwiseAND(F.lit(1).cast("long"))
-        ).withColumn("_up", F.when(F.col("_half") == 1, F.col("c")).otherwise(0.0))
-        # Lower rows come first among equals, so equal values are not counted.
-        seen = running(staged, [*keys, "_block"], ["_iy", "_half"], {"_below": ("sum", "_up")}, width, exclusive=True)
-        found = F.when(F.col("_half") == 0, F.col("c") * F.coalesce("_below", F.lit(0.0))).otherwise(0.0)
-        levels.append(seen.groupBy(*keys).agg(F.sum(found).alias("_d")))
-    discordant = reduce(DataFrame.unionByName, levels).groupBy(*keys).agg(F.sum("_d").alias("disc"))
+    staged = cells.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))).select(
+        *keys, "_level", "_iy", "c",
+        F.expr("shiftright(_ix, _level + 1)").alias("_block"),
+        F.expr("shiftright(_ix, _level) & 1").alias("_half"),
+    ).withColumn("_up", F.when(F.col("_half") == 1, F.col("c")).otherwise(0.0))
+    # Lower rows come first among equals, so equal values are not counted.
+    seen = running(staged, [*keys, "_level", "_block"], ["_iy", "_half"], {"_below": ("sum", "_up")}, width, exclusive=True)
+    found = F.when(F.col("_half") == 0, F.col("c") * F.coalesce("_below", F.lit(0.0))).otherwise(0.0)
+    discordant = seen.groupBy(*keys).agg(F.sum(found).alias("disc"))
     out = pairs_of([], "pairs").join(pairs_of(["_ix"], "tx"), keys).join(pairs_of(["_iy"], "ty"), keys)
     out = out.join(pairs_of(["_ix", "_iy"], "txy"), keys).join(discordant, keys)
     concordant = F.col("pairs") - F.col("tx") - F.col("ty") + F.col("txy") - F.col("disc")

@@ -6,6 +6,7 @@ as-of joins are one union and one ordered pass.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -86,10 +87,27 @@ def _buckets(start: Column, end: Column, width: float) -> Column:
     )
 
 
-def bucket_width(df: DataFrame, start: str, end: str) -> float:
-    """Twice the mean span: an interval then falls into about two buckets on average."""
-    mean = df.select(F.avg(F.col(end) - F.col(start)).alias("m")).first()["m"]
-    return float(mean) * 2.0 if mean else 1.0
+class BucketWidth(float):
+    """Width of a time bucket, with the number of coarser levels long intervals need."""
+
+    levels: int = 0
+
+
+SPREAD = 8  # an interval touches at most SPREAD + 1 buckets of its level
+
+
+def bucket_width(df: DataFrame, start: str, end: str) -> BucketWidth:
+    """Twice the mean span, from one aggregate.
+
+    Intervals longer than ``SPREAD`` buckets are filed at a coarser level (each level is
+    ``SPREAD`` times wider), so one very long interval never explodes into many rows.
+    """
+    length = F.col(end) - F.col(start)
+    facts = df.select(F.avg(length).alias("m"), F.max(length).alias("x")).first()
+    width = BucketWidth(float(facts["m"]) * 2.0 if facts["m"] else 1.0)
+    longest = float(facts["x"] or 0.0)
+    width.levels = max(0, math.ceil(math.log(max(longest / (SPREAD * width), 1e-9), SPREAD)))
+    return width
 
 
 def overlap_join(
@@ -103,17 +121,16 @@ def overlap_join(
 ) -> DataFrame:
     """Pairs of half-open intervals of one run that overlap by more than ``eps``.
 
-    Column names of the two sides must differ except for ``keys``. Each pair is found in
-    every bucket both span and kept only in the bucket where the overlap starts.
+    Two intervals overlap when one starts inside the other, so this is two stab joins that
+    cannot find the same pair twice. Column names must differ except for ``keys``.
     """
     ls, le = (F.col(c) for c in left_span)
     rs, re_ = (F.col(c) for c in right_span)
-    a = left.withColumn("_b", _buckets(ls, le, width))
-    b = right.withColumn("_b", _buckets(rs, re_, width))
-    pairs = a.join(b, [*keys, "_b"])
+    other = bucket_width(left, *left_span) if isinstance(width, BucketWidth) else width
     hit = (ls < re_ - eps) & (le > rs + eps)
-    home = F.floor(F.greatest(ls, rs) / width).cast("long")
-    return pairs.where(hit & (F.col("_b") == home)).drop("_b")
+    starts_inside = stab_join(left, right, keys, left_span[0], right_span, width).where(hit)
+    holds_start = stab_join(right, left, keys, right_span[0], left_span, other).where(hit & (rs > ls))
+    return starts_inside.unionByName(holds_start)
 
 
 def stab_join(
@@ -127,10 +144,22 @@ def stab_join(
 ) -> DataFrame:
     """Points with every interval ``[start, end)`` of their run that holds them."""
     s, e = F.col(span[0]), F.col(span[1])
-    p = points.withColumn("_b", F.floor(F.col(t) / width).cast("long"))
-    q = spans.withColumn("_b", _buckets(s, e, width))
+    levels = getattr(width, "levels", 0)
     inside = (F.col(t) >= s) & ((F.col(t) <= e) if closed else (F.col(t) < e))
-    return p.join(q, [*keys, "_b"]).where(inside).drop("_b")
+    if not levels:
+        p = points.withColumn("_b", F.floor(F.col(t) / width).cast("long"))
+        q = spans.withColumn("_b", _buckets(s, e, width))
+        return p.join(q, [*keys, "_b"]).where(inside).drop("_b")
+    base = float(width)
+    size = lambda level: F.lit(base) * F.pow(F.lit(float(SPREAD)), level)
+    needed = F.ceil(F.log(F.greatest((e - s) / (SPREAD * base), F.lit(1e-9))) / math.log(SPREAD)).cast("int")
+    q = spans.withColumn("_l", F.greatest(F.lit(0), F.least(F.lit(levels), needed)))
+    q = q.withColumn(
+        "_b", F.explode(F.sequence(F.floor(s / size(F.col("_l"))).cast("long"), F.floor(e / size(F.col("_l"))).cast("long")))
+    )
+    p = points.withColumn("_l", F.explode(F.array(*[F.lit(i) for i in range(levels + 1)])))
+    p = p.withColumn("_b", F.floor(F.col(t) / size(F.col("_l"))).cast("long"))
+    return p.join(q, [*keys, "_l", "_b"]).where(inside).drop("_l", "_b")
 
 
 def tolerance_join(

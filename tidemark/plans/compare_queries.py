@@ -11,6 +11,7 @@ from tidemark.operators import panel as P
 from tidemark.operators.sequence import chunk_width
 from tidemark.operators.timejoin import covering, interpolate, nearest, tolerance_join
 from tidemark.plans.registry import ES, RT, SP, UM, query
+from tidemark.session import durable
 from tidemark.sources.tables import event_series, ship_panel, table, unit_map
 
 HOUR = 3600.0
@@ -52,11 +53,11 @@ def j03(spark, d):
 @query("j04_tolerance_join", f"""WITH {ES}, {SIDES}, m AS (SELECT p.run_id, p_row_key, v_row_key, (p_t + v_t) / 2 AS t,
  count(*) OVER (PARTITION BY p.run_id, p_row_key) AS ln, count(*) OVER (PARTITION BY p.run_id, v_row_key) AS rn
  FROM p JOIN v ON p.run_id = v.run_id AND abs(p_t - v_t) <= 7200)
- SELECT run_id, p_row_key, v_row_key, round(t, 5) AS t, ln > 1 OR rn > 1 AS ambiguous FROM m""")
+ SELECT run_id, p_row_key, v_row_key, round(t, 3) AS t, ln > 1 OR rn > 1 AS ambiguous FROM m""")
 def j04(spark, d):
     p, v = _kind(spark, d, "purchase", "p"), _kind(spark, d, "view", "v")
     out = tolerance_join(p, v, ["run_id"], "p_t", "v_t", 2 * HOUR)
-    return out.select("run_id", "p_row_key", "v_row_key", r("t", 5).alias("t"), "ambiguous")
+    return out.select("run_id", "p_row_key", "v_row_key", r("t", 3).alias("t"), "ambiguous")
 
 
 @query("j05_interpolation_join", f"""WITH {ES}, {SIDES} SELECT run_id, p_row_key,
@@ -75,7 +76,7 @@ def x22(spark, d):
     return out.select("run_id", "p_row_key", r("interpolated").alias("value"))
 
 
-@query("x24_nearest_gap", f"""WITH {ES}, {SIDES} SELECT run_id, p_row_key, round(least(p_t - lt, ht - p_t), 5) AS gap,
+@query("x24_nearest_gap", f"""WITH {ES}, {SIDES} SELECT run_id, p_row_key, round(least(p_t - lt, ht - p_t), 3) AS gap,
  lt IS NOT NULL AND ht IS NOT NULL AS within_coverage FROM lh""")
 def x24(spark, d):
     from tidemark.operators.timejoin import asof
@@ -83,14 +84,14 @@ def x24(spark, d):
     p, v = _kind(spark, d, "purchase", "p"), _kind(spark, d, "view", "v")
     out = asof(p, v, ["run_id"], "p_t", "v_t", ["v_t"], _width(spark, d))
     gap = F.least(F.col("p_t") - F.col("lo.v_t"), F.col("hi.v_t") - F.col("p_t"))
-    return out.select("run_id", "p_row_key", r(gap, 5).alias("gap"),
+    return out.select("run_id", "p_row_key", r(gap, 3).alias("gap"),
                       (F.col("lo").isNotNull() & F.col("hi").isNotNull()).alias("within_coverage"))
 
 
 # Run A is the reference; candidates keep their own, shifted time axis.
 def _aligned(spark, d):
     shift = F.when(F.col("run_id") == "N", 0.25).when(F.col("run_id") == "R", 0.125).otherwise(0.0)
-    panel = ship_panel(spark, d).withColumn("t", F.col("t") + shift)
+    panel = durable(ship_panel(spark, d).withColumn("t", F.col("t") + shift))  # read by both sides
     rows = panel.select("run_id", "row_idx", "t").distinct()
     pairs = (
         rows.select(F.col("run_id").alias("cand_run")).distinct().where("cand_run <> 'A'")

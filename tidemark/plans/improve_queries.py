@@ -140,13 +140,14 @@ def j13(spark, d):
     return out.withColumn("consistency", r("consistency"))
 
 
-@query("u02_kind_set_difference", f"WITH {CV} SELECT kind FROM cv WHERE run_id = 1 AND t < 200 EXCEPT SELECT kind FROM cv WHERE run_id = 0 AND t < 24")
+@query("u02_kind_set_difference", f"WITH {CV} SELECT run_id, kind FROM cv WHERE t < 240 EXCEPT SELECT run_id, kind FROM cv WHERE t >= 480")
 def u02(spark, d):
+    """Kinds each run has in its first third and not in its last."""
     from tidemark.plans.content_queries import _events
 
     ev = _events(spark, d)
-    here = ev.where((F.col("run_id") == 1) & (F.col("t") < 200.0)).select("kind")
-    return here.distinct().join(ev.where((F.col("run_id") == 0) & (F.col("t") < 24.0)).select("kind").distinct(), "kind", "left_anti")
+    early = ev.where(F.col("t") < 240.0).select("run_id", "kind").distinct()
+    return early.join(ev.where(F.col("t") >= 480.0).select("run_id", "kind").distinct(), ["run_id", "kind"], "left_anti")
 
 
 @query("j18_regional_evidence", f"""WITH {SP}, {UM}, m AS (SELECT run_id, region_id, avg(value) AS v FROM sp JOIN um USING (unit_id) WHERE region_id IS NOT NULL AND t >= 0 AND t < 1000 GROUP BY ALL), s AS (SELECT *, abs(v) / sum(abs(v)) OVER (PARTITION BY run_id) AS sh FROM m),

@@ -9,6 +9,7 @@ from tidemark.operators import panel as P
 from tidemark.operators.ranks import exact_quantiles, top_k
 from tidemark.operators.sequence import chunk_width, neighbours, ordinal
 from tidemark.plans.registry import ES, RT, SP, UM, query
+from tidemark.session import durable
 from tidemark.sources.tables import event_series, ship_panel, table, unit_map
 
 
@@ -185,21 +186,21 @@ def a11(spark, d):
 
 @query("a12_timeline_summary", f"""WITH {ES}, g AS (SELECT *, t - lag(t) OVER (PARTITION BY run_id ORDER BY t) AS gap FROM es)
  SELECT run_id, count(*) AS kept, round(min(t), 6) AS first_t, round(max(t), 6) AS last_t,
- count(*) * 60.0::DOUBLE AS covered_seconds, round(max(gap), 5) AS largest_gap,
+ count(*) * 60.0::DOUBLE AS covered_seconds, round(max(gap), 3) AS largest_gap,
  coalesce(bool_and(abs(gap - 60) <= 1e-6), true) AS contiguous FROM g GROUP BY run_id""")
 def a12(spark, d):
     es = event_series(spark, d)
     out = P.timeline_summary(es, 60.0, width=chunk_width(es, ["run_id"], "t"))
     return out.withColumn("first_t", r("first_t")).withColumn("last_t", r("last_t")).withColumn(
-        "largest_gap", r("largest_gap", 5)
+        "largest_gap", r("largest_gap", 3)
     )
 
 
 @query("a41_sampling_period", f"""WITH {ES}, g AS (SELECT run_id, t - lag(t) OVER (PARTITION BY run_id ORDER BY t) AS gap FROM es)
- SELECT run_id, round(quantile_cont(gap, 0.5), 5) AS period FROM g WHERE gap IS NOT NULL GROUP BY run_id""")
+ SELECT run_id, round(quantile_cont(gap, 0.5), 3) AS period FROM g WHERE gap IS NOT NULL GROUP BY run_id""")
 def a41(spark, d):
     es = event_series(spark, d)
-    return P.sampling_period(es, chunk_width(es, ["run_id"], "t")).withColumn("period", r("period", 5))
+    return P.sampling_period(es, chunk_width(es, ["run_id"], "t")).withColumn("period", r("period", 3))
 
 
 @query("a38_display_scale", f"""WITH {ES} SELECT run_id, round(quantile_cont(value - 50, 0.01), 6) AS p01,
@@ -351,7 +352,7 @@ DETECT = """l2 AS (SELECT run_id, row_idx, t, 'response_peak' AS event_type, sqr
 @query("w04_event_detection", f"""WITH {SP}, {UM}, {RT}, {CHANGE}, {DETECT} SELECT substr(sha256(event_type || ':' || row_idx || ':' || printf('%.1f', t)), 1, 16) AS event_key,
  run_id, event_type, row_idx, t, round(score, 6) AS score, event_rank, region_ids FROM rk JOIN tn USING (run_id, row_idx) WHERE event_rank <= 20""")
 def w04(spark, d):
-    p, um = ship_panel(spark, d), unit_map(spark, d)
+    p, um = durable(ship_panel(spark, d)), unit_map(spark, d)  # three passes over one written panel
     magnitude = P.global_metrics(p, um, median=False).withColumnRenamed("l2_magnitude", "value")
     change = P.change_magnitude(p, um).withColumnRenamed("change_magnitude", "value")
     out = P.detect_events(magnitude, change, P.region_means(p, um), z=1.0, min_distance=2)
@@ -441,7 +442,7 @@ def k05(spark, d):
   arg_max(value, struct_pack(a := abs(value), b := -region_id)) AS top_value FROM rt GROUP BY ALL) USING (run_id, row_idx)""")
 def e01(spark, d):
     """Everything per step for all runs at once: one pass over the panel per grouping."""
-    p, um = ship_panel(spark, d), unit_map(spark, d)
+    p, um = durable(ship_panel(spark, d)), unit_map(spark, d)
     cells = P.unmasked(p, um)
     v = F.col("value")
     n = F.count(v)

@@ -110,12 +110,12 @@ def s09(spark, d):
     return store.read("scores", experiment_id="users").where("total_score IS NOT NULL").select("experiment_id", "run_id", r("total_score").alias("total_score"), "rank")
 
 
-@query("s10_content_cache", f"{BASE}, {OV}, {FU} SELECT 'c' || (run_id % 4) AS cache_key, run_id, count(*) AS spans FROM fu WHERE run_id % 4 = 3 GROUP BY ALL")
+@query("s10_content_cache", f"{BASE}, {OV}, {FU} SELECT event_type AS cache_key, run_id, count(*) AS spans FROM fu WHERE event_type = 'speech_segment' GROUP BY ALL")
 def s10(spark, d):
-    fused = _fused(spark, d)[2].select("run_id", "event_type", F.concat(F.lit("c"), (F.col("run_id") % 4).cast("string")).alias("cache_key"))
+    fused = _fused(spark, d)[2].select("run_id", "span_start", F.col("event_type").alias("cache_key"))
     store = _store(spark, "content")
     store.write("content", fused, ["cache_key"])
-    return store.read("content", cache_key="c3").groupBy("cache_key", "run_id").agg(F.count(F.lit(1)).alias("spans"))
+    return store.read("content", cache_key="speech_segment").groupBy("cache_key", "run_id").agg(F.count(F.lit(1)).alias("spans"))
 
 
 @query("s11_review_upsert", "WITH r AS (SELECT 'R' || (o_custkey % 300) AS recommendation_id, CASE o_orderstatus WHEN 'F' THEN 'approved' ELSE 'rejected' END AS state, o_orderkey AS seq FROM orders) SELECT recommendation_id, arg_max(state, seq) AS state, max(seq) AS seq FROM r GROUP BY 1")
@@ -181,10 +181,10 @@ def s16(spark, d):
     return j.withColumn("_total", total).select("run_id", "rows", "units", "regions", ((F.col("rows") == F.col("region_rows")) & (F.col("units") == F.col("_total"))).alias("consistent"))
 
 
-@query("s17_filtered_lookup", f"{BASE}, {OV}, {FU} SELECT run_id, span_start, event_type FROM fu WHERE run_id = 5 AND event_type = 'cta'")
+@query("s17_filtered_lookup", f"{BASE}, {OV}, {FU} SELECT run_id, span_start, event_type FROM fu WHERE span_end > 24 AND event_type = 'cta'")
 def s17(spark, d):
     fused = _fused(spark, d)[2]
-    return fused.where((F.col("run_id") == 5) & (F.col("event_type") == "cta")).select("run_id", "span_start", "event_type")
+    return fused.where((F.col("span_end") > 24) & (F.col("event_type") == "cta")).select("run_id", "span_start", "event_type")
 
 
 @query("s19_analytics_store", f"WITH {SP}, {UM}, {RT} SELECT run_id, region_id, count(*) AS steps, round(avg(value), 6) AS mean_value FROM rt WHERE run_id = 'N' GROUP BY ALL")

@@ -15,6 +15,7 @@ from tidemark.operators import vectors as V
 from tidemark.operators.panel import ordered_list
 from tidemark.operators.ranks import top_k
 from tidemark.plans.registry import query
+from tidemark.session import spread
 from tidemark.sources.tables import table
 
 OPENERS = ("", "First ", "Finally ", "Welcome ")
@@ -48,7 +49,7 @@ def _pick(items, index):
 
 
 def _segments(spark, d):
-    c = table(spark, d, "conversations")
+    c = spread(table(spark, d, "conversations"))
     last = c.groupBy("conv_id").agg(((F.max("turn") + 1) * 10.0).alias("dur"))
     txt = F.concat(_pick(OPENERS, F.col("conv_id") + F.col("turn")), F.col("text"), F.lit(" "), _pick(CLOSERS, F.col("conv_id") * 3 + F.col("turn")))
     return c.join(last, "conv_id").select(
@@ -57,7 +58,7 @@ def _segments(spark, d):
 
 @query("x01_text_normalise", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM documents")
 def x01(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(TX.normalise_text(F.col("text"))).alias("digest"))
+    return spread(table(spark, d, "documents")).select("doc_id", F.md5(TX.normalise_text(F.col("text"))).alias("digest"))
 
 
 @query("x02_sequence_similarity")
@@ -121,9 +122,11 @@ def x10(spark, d):
  c AS (SELECT doc_id, word, count(*) AS n FROM w WHERE length(word) >= 4 AND word NOT IN ({", ".join("'" + x + "'" for x in TX.STOP_WORDS)}) GROUP BY ALL),
  k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, word COLLATE C) AS rank FROM c) SELECT doc_id, word, n, rank FROM k WHERE rank <= 12 AND n >= 2""".replace(" COLLATE C", ""))
 def a24(spark, d):
-    words = table(spark, d, "documents").select("doc_id", F.explode(F.split(F.lower("text"), r"[\s\p{Z}]+")).alias("raw"))
-    clean = words.select("doc_id", F.regexp_replace("raw", r"[^\p{L}]", "").alias("word"))
-    counts = clean.where((F.length("word") >= 4) & ~F.col("word").isin(list(TX.STOP_WORDS))).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
+    # Letters and blanks only, once per text; then split.
+    letters = F.regexp_replace(F.lower("text"), r"[^\p{L}\s\p{Z}]+", "")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    words = docs.select("doc_id", F.explode(F.split(letters, r"[\s\p{Z}]+")).alias("word"))
+    counts = words.where((F.length("word") >= 4) & ~F.col("word").isin(list(TX.STOP_WORDS))).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
     return top_k(counts, ["doc_id"], [F.col("n").desc(), F.col("word")], 12).where("n >= 2").select("doc_id", "word", "n", "rank")
 
 
