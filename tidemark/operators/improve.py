@@ -18,6 +18,7 @@ from tidemark.operators.panel import ordered_list, sampling_period
 from tidemark.operators.ranks import top_k
 from tidemark.operators.sequence import islands
 from tidemark.operators.timejoin import overlap_join, stab_join
+from tidemark.session import durable
 
 # Shares of an even split that make an interval weak or strong, merge gap,
 # fewest samples for content evidence, smallest relative difference worth reporting.
@@ -424,8 +425,9 @@ def optimise(
 ) -> tuple[DataFrame, DataFrame]:
     """(all recommendations with their verdicts, the ranked short list)."""
     means, counts = interval_feature_means(intervals, features, bucket)
-    found = feature_evidence(means, counts, source, references)
-    present = event_presence(intervals, events, source, references, bucket)
+    # Small evidence tables, read by the rules, the orphan check and the ranking.
+    found = durable(feature_evidence(means, counts, source, references))
+    present = durable(event_presence(intervals, events, source, references, bucket))
     made = recommend(found, present, intervals, gaps)
     if bundles:
         made = made.unionByName(bundle(made))
@@ -434,7 +436,7 @@ def optimise(
         .unionByName(present.select(F.concat_ws("-", "interval_id", F.lit("event"), "event_type").alias("evidence_id")))
         .unionByName(evidence_rows(gaps, intervals).select("evidence_id"))
     )
-    checked = validation_reasons(made, ids, **constraints)
+    checked = durable(validation_reasons(made, ids, **constraints))
     accepted = deduplicate(checked.where(F.size("reasons") == 0))
     rejected = checked.where(F.size("reasons") > 0).withColumn("duplicate_of", F.lit(None).cast("string")).withColumn("kept", F.lit(False))
     verdicts = accepted.unionByName(rejected)

@@ -48,8 +48,8 @@ def _weak(spark, d):
     return durable(named), ev
 
 
-def _references(spark, d):
-    _, ranking = _scored(spark, d)
+def _references(spark, d, scored=None):
+    _, ranking = scored or _scored(spark, d)
     return durable(M.select_references(ranking, SOURCE))
 
 
@@ -85,8 +85,8 @@ GAPS = f"""{SPEC}, gp AS (SELECT objective_id, direction, a.v AS source_value, C
  CASE direction WHEN 'target' THEN abs(a.v - tv) WHEN 'maximize' THEN b.v - a.v ELSE a.v - b.v END AS gap FROM sp0 LEFT JOIN (SELECT * FROM rw WHERE run_id = 0) a ON a.o = objective_id LEFT JOIN (SELECT * FROM rw WHERE run_id = 1) b ON b.o = objective_id)"""
 
 
-def _gaps(spark, d):
-    scores, _ = _scored(spark, d)
+def _gaps(spark, d, scored=None):
+    scores, _ = scored or _scored(spark, d)
     spec = S.objective_table(spark, OBJECTIVES)
     pick = lambda run: scores.where(F.col("run_id") == run).select("objective_id", "raw_value")
     return M.objective_gaps(pick(SOURCE), pick(REFERENCE), spec)
@@ -119,9 +119,9 @@ PR = """hp AS (SELECT DISTINCT interval_id, ek.run_id, event_type FROM wk JOIN e
 CHAIN = f"WITH {CV}, {RAW}, {SH}, {IV}, {REFS}, {PARTS}, {EVT}"
 
 
-def _evidence(spark, d):
+def _evidence(spark, d, scored=None):
     weak, ev = _weak(spark, d)
-    refs = _references(spark, d)
+    refs = _references(spark, d, scored)
     means, counts = M.interval_feature_means(weak, _features(ev), 24.0)
     return weak, refs, counts, M.feature_evidence(means, counts, SOURCE, refs)
 
@@ -182,10 +182,11 @@ RCH = f"{CHAIN}, {GAPS}, {FM}, {PR}, {RUL}, {REC}"
 
 
 def _recommendations(spark, d):
-    weak, refs, counts, found = _evidence(spark, d)
+    scored = _scored(spark, d)
+    weak, refs, counts, found = _evidence(spark, d, scored)
     events = _content_events(spark, d)
     present = M.event_presence(weak, events, SOURCE, refs, bucket_width(events, "start_t", "end_t"))
-    gaps = _gaps(spark, d)
+    gaps = durable(_gaps(spark, d, scored))
     return M.recommend(found, present, weak, gaps), found, present, weak, gaps
 
 
@@ -251,9 +252,10 @@ def k13(spark, d):
 def e27(spark, d):
     """Gaps, weak intervals, evidence, rules, checks, dedupe and ranking in one report."""
     weak, ev = _weak(spark, d)
+    scored = _scored(spark, d)
     events = _content_events(spark, d)
     verdicts, ranked = M.optimise(
-        SOURCE, weak, _gaps(spark, d), _features(ev), events, _references(spark, d), 24.0, 10, bundles=False,
+        SOURCE, weak, durable(_gaps(spark, d, scored)), _features(ev), events, _references(spark, d, scored), 24.0, 10, bundles=False,
         frozen_modalities=("audio",), preserve=((200.0, 300.0),), frozen_events=("cta",))
     verdict = F.when(F.size("reasons") > 0, "rejected").when(~F.col("kept"), "duplicate").otherwise("kept")
     return durable(verdicts).select("recommendation_id", "title", verdict.alias("verdict"), F.array_join("reasons", ";").alias("reasons")).join(
