@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import finite, pearson, safe_div, stable_id
-from tidemark.operators.ranks import exact_quantiles, top_k
+from tidemark.operators.ranks import HOT_ROWS, exact_quantiles, largest_group, top_k
 from tidemark.operators.sequence import islands, neighbours
 
 ROW = ["run_id", "row_idx", "t"]
@@ -47,14 +47,17 @@ def global_metrics(panel: DataFrame, unit_map: DataFrame, median: bool = True) -
     """Mean, median, population sd and variance, L2 and RMS over units, per step."""
     cells = unmasked(panel, unit_map)
     v = F.col("value")
+    # A step of ordinary size takes its median in the same pass as everything else.
+    in_pass = median and largest_group(cells, ["run_id", "row_idx"]) <= HOT_ROWS
     out = cells.groupBy(*ROW).agg(
         F.avg(v).alias("mean"),
         F.stddev_pop(v).alias("std"),
         F.var_pop(v).alias("spatial_variance"),
         F.sqrt(F.sum(v * v)).alias("l2_magnitude"),
         F.sqrt(F.avg(v * v)).alias("rms_magnitude"),
+        *([F.median(v).alias("median")] if in_pass else []),
     )
-    if not median:
+    if in_pass or not median:
         return out
     mid = exact_quantiles(cells, ["run_id", "row_idx"], "value", {"median": 0.5})
     return out.join(mid, ["run_id", "row_idx"], "left")

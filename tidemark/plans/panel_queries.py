@@ -60,7 +60,7 @@ def a02(spark, d):
  round(sqrt(sum(value * value)), 6) AS l2_magnitude, round(sqrt(avg(value * value)), 6) AS rms_magnitude,
  round(quantile_cont(value, 0.5), 6) AS median FROM sp JOIN um USING (unit_id) WHERE NOT excluded GROUP BY ALL""")
 def a03(spark, d):
-    out = P.global_metrics(ship_panel(spark, d), unit_map(spark, d))
+    out = P.global_metrics(durable(ship_panel(spark, d)), unit_map(spark, d))
     cols = ("mean", "std", "l2_magnitude", "rms_magnitude", "median")
     return out.select(*P.ROW, r("spatial_variance", 4).alias("spatial_variance"), *[r(c).alias(c) for c in cols])
 
