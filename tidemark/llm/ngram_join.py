@@ -5,7 +5,7 @@ A document's set holds its distinct word 5-grams; two documents link at Jaccard
 1. **Sets.** One pass over the texts hashes the shingles (64 bits) and writes the sorted sets.
    Documents with equal sets form one class and only one of them goes on.
 2. **Groups.** Classes that share a minimum under one of six hash orders are checked against
-   four drawn leaders with that minimum. The components of the links so found are groups; a class
+   four drawn leaders with that minimum, if they agree in three orders at least. The components of the links so found are groups; a class
    without such a link joins those that share its commonest minimum. Large groups are cut in
    blocks of about 16 to 32.
 3. **Token-group matrix.** Under one order of all shingles (frequent ones last) similar sets
@@ -41,6 +41,7 @@ BLOCK = 32
 QUERIES_PER_TASK_BLOCK = 256
 ORDERS = 6
 LEADERS = 4
+AGREEING = 3  # orders in which a class and a leader must have the same minimum
 COUNTED = 1 << 22  # shingles counted together in a task
 FREQUENT = 1 << 20  # most frequent shingles that can reach the tasks
 LEAST_FREQUENT = 16
@@ -137,8 +138,7 @@ def _prefixes(token: np.ndarray, count: np.ndarray):
                 sizes.append(n)
             held = [len(f) for f in firsts]
             out = {"token": np.concatenate(firsts).view(np.int64) if firsts else np.empty(0, np.int64)}
-            out |= {c: np.repeat(pdf[c].to_numpy(), held) for c in ("id", "comp", "grp", "block", "size")}
-            yield pd.DataFrame(out | {"n": np.repeat(np.array(sizes, dtype=np.int32), held)})
+            yield pd.DataFrame(out | {"id": np.repeat(pdf["id"].to_numpy(), held), "n": np.repeat(np.array(sizes, dtype=np.int32), held)})
 
     return run
 
@@ -222,7 +222,8 @@ def _leader_links(sets: DataFrame) -> DataFrame:
     asks = (
         minima.join(leaders, ["hash_order", "value"])
         .select("id", F.col("id").alias("comp"), F.explode("leaders").alias("grp"), F.lit(0).alias("block"))
-        .where("id <> grp").distinct()
+        .where("id <> grp").groupBy("id", "comp", "grp", "block").count()
+        .where(F.col("count") >= AGREEING).drop("count")
     )
     blocks = asks.select(F.col("grp").alias("id"), F.col("grp").alias("comp"), "grp", "block").distinct()
     return _opened(asks, blocks, sets)
@@ -249,17 +250,12 @@ def _membership(ids: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
     return placed.join(sizes, "grp").select("id", "comp", "grp", block.alias("block"), "size")
 
 
-def _matrix_candidates(sets: DataFrame, member: DataFrame, often: DataFrame) -> DataFrame:
+def _matrix_candidates(sets: DataFrame, member: DataFrame, often: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, comp, grp, block): queries and the blocks that may hold a link to another component."""
     token, count = _frequent_arrays(often)
-    rows = (
-        sets.join(member, "id")
-        .select("id", "comp", "grp", "block", "size", "tokens")
-        .mapInPandas(_prefixes(token, count), "token long, id long, comp long, grp long, block int, size int, n int")
-        .repartition("token")
-    )
-    shared = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
-    rows = rows.join(shared, "token", "left_semi")
+    firsts = sets.select("id", "tokens").mapInPandas(_prefixes(token, count), "token long, id long, n int").repartition("token")
+    shared = firsts.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("token")
+    rows = scratch.store(firsts.join(shared, "token", "left_semi").join(member, "id"))
     matrix = rows.groupBy("token", "grp", "block", "size").agg(
         F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("comp").alias("low"), F.max("comp").alias("high")
     )
@@ -302,7 +298,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         .groupBy("token").agg(F.sum("count").alias("total"))
         .where(F.col("total") >= max(LEAST_FREQUENT, total / FREQUENT))
     )
-    asks = scratch.store(_matrix_candidates(sets, member, often))
+    asks = scratch.store(_matrix_candidates(sets, member, often, scratch))
     blocks = member.join(asks.select("grp", "block").distinct(), ["grp", "block"]).select("id", "comp", "grp", "block")
     edges = scratch.store(_opened(asks, blocks, sets).union(stars).distinct())
     found = components(edges, scratch)
