@@ -7,20 +7,53 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ngram_join
+from tidemark.llm import bpe, langid, mixing, ngram_join, queries, toxicity
 from tidemark.llm.common import Scratch, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what the toxicity classifier rejects; it learns from the labels that are not held out."""
+    index = queries.learned_toxicity(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.scored(F.col("text"), index)
+    return docs.withColumn("_found", found).where("_found.predicted = 0").select(*docs.columns)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a recognised language (no letter)."""
+    found = langid.predicted(F.col("text"), queries.learned_languages(docs))
+    return docs.withColumn("_found", found).where("_found.lang_pred <> 'und'").select(*docs.columns)
+
+
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document whose id names its near-duplicate component."""
     found = ngram_join.jaccard_components(docs)
     keep = found.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi")
+    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+
+
+def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeat documents until 85 % of the expected words are of high quality, 15 % of low.
+
+    No document is dropped: rates are at least 1, their fractions settled by a hash of the id.
+    """
+    quality = F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
+    labelled = table(spark, sf_dir, "labels").select("doc_id", quality.alias("domain"))
+    rates = mixing.mixed(docs, labelled, {"high": 0.85, "low": 0.15}, keep_all=True)
+    times = rates.groupBy("doc_id").agg(F.max(mixing.copies(F.col("rate"), F.col("doc_id"))).alias("_times"))
+    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids of every document, ids as little-endian unsigned 32-bit integers."""
+    return bpe.encode_documents(docs, queries.vocabulary_path()).select("doc_id", "n_tokens", "ids")
 
 
-STAGES: list[tuple[str, Stage]] = [("ngram_jaccard_join", one_of_each_group)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", not_toxic), ("language_id", known_language), ("ngram_jaccard_join", one_of_each_group),
+    ("mixing_to_weights", mixed_to_weights), ("bpe_encoding", tokens),
+]
 ORACLE_SQL: str | None = None
 
 

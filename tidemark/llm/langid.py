@@ -141,4 +141,4 @@ def predicted(text: Column, model: LanguageModel) -> Column:
                     score[[i + k for k in known]] = p[np.arange(len(best)), best]
             yield pd.DataFrame({"lang_pred": names, "score": score})
 
-    return F.pandas_udf("lang_pred string, score double", F.PandasUDFType.SCALAR_ITER)(run)(text)
+    return F.pandas_udf("lang_pred string, score double")(run)(text)

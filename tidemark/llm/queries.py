@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import ngram_join
-from tidemark.llm.common import table
+from tidemark.llm import bpe, langid, mixing, ngram_join, toxicity
+from tidemark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +28,55 @@ def query(name: str, sql: str | None = None):
 def op10(spark: SparkSession, d: str) -> DataFrame:
     """Components of documents whose word 5-gram sets have Jaccard 0.8 or more."""
     return ngram_join.jaccard_components(table(spark, d, "documents"))
+
+
+def learned_languages(docs: DataFrame) -> langid.LanguageModel:
+    """Fitted on the documents that are not held out."""
+    return langid.fit(docs.where(~held_out()).select(F.col("lang").alias("label"), "text"))
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out."""
+    docs = table(spark, d, "documents")
+    found = docs.select("doc_id", held_out().alias("held_out"), langid.predicted(F.col("text"), learned_languages(docs)).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
+
+
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op3_bpe_tokens")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    """Token counts and digests of every document's ids and of their decoded text."""
+    found = bpe.encode_documents(table(spark, d, "documents"), vocabulary_path())
+    return found.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256")
+    )
+
+
+DOMAIN = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
+
+
+@query("op6_soft_mixing")
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    """Rates at which documents come to 80 % high, 15 % low and 5 % toxic words."""
+    labelled = table(spark, d, "labels").select("doc_id", DOMAIN.alias("domain"))
+    return mixing.mixed(table(spark, d, "documents"), labelled, {"high": 0.80, "low": 0.15, "toxic": 0.05})
+
+
+def learned_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity.Index:
+    """Fitted on the labels that are not held out."""
+    return toxicity.fit(docs, labels.where(~held_out()))
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    """Toxicity of every document, learned from labels that are not held out."""
+    docs = table(spark, d, "documents")
+    index = learned_toxicity(docs, table(spark, d, "labels"))
+    found = docs.select("doc_id", held_out().alias("held_out"), toxicity.scored(F.col("text"), index).alias("found"))
+    return found.select("doc_id", "held_out", "found.score", "found.predicted", "found.evidence")

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 SAMPLE = 8_000  # labelled texts that the model is fitted on, at most; half of each label if there are
 EXAMPLES = 2_000
-TERMS = 4096
-LEAST_CHI = 12.0
+TERMS = 1024
+LEAST_CHI = 15.0
 NEAREST = 15
 BLOCK = 64
 PRIOR = 0.5
@@ -44,10 +44,8 @@ class Index:
     idf: np.ndarray
     label: np.ndarray  # of each example, in block order
     ids: np.ndarray
-    start: np.ndarray  # of each term's postings
-    example: np.ndarray
-    weight: np.ndarray
-    block_max: np.ndarray  # blocks by terms
+    postings: np.ndarray  # block, term: the term's weight in each example of the block
+    block_max: np.ndarray  # block, term: the largest of these
     prior: float = 0.0
     curve: tuple[float, float] = (0.0, 1.0)
     place: dict[str, int] = field(default_factory=dict)
@@ -83,16 +81,13 @@ class Index:
             return []
         bound = weight @ self.block_max[:, term].T
         best: list[tuple[float, int]] = []
-        spans = [(self.example[a:b], self.weight[a:b]) for a, b in zip(self.start[term], self.start[term + 1], strict=True)]
         for block in np.argsort(-bound, kind="stable"):
             if bound[block] <= 0 or (len(best) == NEAREST and bound[block] < best[-1][0] - 1e-9):
                 break
-            low, high = block * BLOCK, (block + 1) * BLOCK
-            score = np.zeros(BLOCK)
-            for w, (example, stored) in zip(weight, spans, strict=True):
-                a, b = np.searchsorted(example, (low, high))
-                score[example[a:b] - low] += w * stored[a:b]
-            for at in np.flatnonzero(score > 0):
+            low = block * BLOCK
+            score = weight @ self.postings[block, term]
+            least = best[-1][0] if len(best) == NEAREST else 0.0
+            for at in np.flatnonzero(score > least):
                 best.append((float(score[at]), int(low + at)))
             best = sorted(best, key=lambda x: (-x[0], x[1]))[:NEAREST]
         return best
@@ -141,24 +136,18 @@ def build(rows: list[tuple[int, str, int]], share: float) -> Index:
     ones, zeros = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     examples = np.concatenate([ones[::2][:each], zeros[::2][:each]])
     rest = np.setdiff1d(np.arange(len(rows)), examples)
-    index = Index(terms, idf, np.empty(0), np.empty(0), np.empty(0), np.empty(0), np.empty(0), np.empty(0), share, (0.0, 1.0), place)
+    index = Index(terms, idf, np.empty(0), np.empty(0), np.empty(0), np.empty(0), share, (0.0, 1.0), place)
     vectors = [index.vector(rows[i][1]) for i in examples]
     # Blocks hold like examples: in order of the label and of the heaviest term.
     order = sorted(range(len(examples)), key=lambda k: (label[examples[k]], vectors[k][0][vectors[k][1].argmax()] if len(vectors[k][0]) else -1))
     blocks = -(-len(order) // BLOCK)
-    postings: list[list[tuple[int, float]]] = [[] for _ in terms]
-    top = np.zeros((blocks, len(terms)), dtype=np.float64)
+    index.postings = np.zeros((blocks, len(terms), BLOCK))
     for at, k in enumerate(order):
-        for t, w in zip(*vectors[k], strict=True):
-            postings[t].append((at, w))
-            top[at // BLOCK, t] = max(top[at // BLOCK, t], w)
+        t, w = vectors[k]
+        index.postings[at // BLOCK, t, at % BLOCK] = w
+    index.block_max = index.postings.max(axis=2, initial=0.0)
     index.label = label[examples[order]]
     index.ids = np.array([rows[i][0] for i in examples[order]], dtype=np.int64)
-    index.start = np.concatenate([[0], np.cumsum([len(p) for p in postings])]).astype(np.int64)
-    flat = [x for p in postings for x in p]
-    index.example = np.array([e for e, _ in flat], dtype=np.int64)
-    index.weight = np.array([w for _, w in flat], dtype=np.float64)
-    index.block_max = top
     if len(rest) and len(set(label[rest].tolist())) == 2:
         x = logit(np.array([index.raw(rows[i][1])[0] for i in rest]))
         y = label[rest]
@@ -218,4 +207,4 @@ def scored(text: Column, index: Index) -> Column:
             yield pd.DataFrame(out, columns=["score", "predicted", "evidence"])
 
     kind = "score double, predicted int, evidence array<struct<doc_id: long, cosine: double, label: int>>"
-    return F.pandas_udf(kind, F.PandasUDFType.SCALAR_ITER)(run)(text)
+    return F.pandas_udf(kind)(run)(text)
