@@ -19,8 +19,8 @@ A document's set holds its distinct word 5-grams; two documents link at Jaccard
 
 Of two groups the smaller asks the larger, so a third of all rows in one group costs a
 fixed number of leader checks per row. The order of shingles only decides how few candidates there are, never which
-links are found: counts come from all texts, with those below ``1 / 2**20`` of all shingles
-treated alike, so at most ``2**20`` frequent shingles reach the tasks.
+links are found: counts come from all texts, with those below ``2**-22`` of all shingles
+treated alike, so at most ``2**22`` frequent shingles reach the tasks.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ ORDERS = 6
 LEADERS = 4
 AGREEING = 3  # orders in which a class and a leader must have the same minimum
 COUNTED = 1 << 22  # shingles counted together in a task
-FREQUENT = 1 << 20  # most frequent shingles that can reach the tasks
+FREQUENT = 1 << 22  # most frequent shingles that can reach the tasks, 12 bytes each
 LEAST_FREQUENT = 16
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -125,7 +125,7 @@ def _prefixes(token: np.ndarray, count: np.ndarray):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            firsts, sizes = [], []
+            firsts, sizes, places = [], [], []
             for raw in pdf["tokens"]:
                 own = np.frombuffer(raw, dtype=np.uint64)
                 n = len(own)
@@ -136,9 +136,10 @@ def _prefixes(token: np.ndarray, count: np.ndarray):
                     first = own[np.argsort(often, kind="stable")]
                 firsts.append(first[: n - needed(n) + 1])
                 sizes.append(n)
+                places.append(n - np.arange(len(firsts[-1]), dtype=np.int32))
             held = [len(f) for f in firsts]
             out = {"token": np.concatenate(firsts).view(np.int64) if firsts else np.empty(0, np.int64)}
-            yield pd.DataFrame(out | {"id": np.repeat(pdf["id"].to_numpy(), held), "n": np.repeat(np.array(sizes, dtype=np.int32), held)})
+            yield pd.DataFrame(out | {"id": np.repeat(pdf["id"].to_numpy(), held), "n": np.repeat(np.array(sizes, dtype=np.int32), held), "rest": np.concatenate(places) if places else np.empty(0, np.int32)})
 
     return run
 
@@ -253,16 +254,19 @@ def _membership(ids: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
 def _matrix_candidates(sets: DataFrame, member: DataFrame, often: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, comp, grp, block): queries and the blocks that may hold a link to another component."""
     token, count = _frequent_arrays(often)
-    firsts = sets.select("id", "tokens").mapInPandas(_prefixes(token, count), "token long, id long, n int").repartition("token")
+    firsts = sets.select("id", "tokens").mapInPandas(_prefixes(token, count), "token long, id long, n int, rest int").repartition("token")
     shared = firsts.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("token")
     rows = scratch.store(firsts.join(shared, "token", "left_semi").join(member, "id"))
     matrix = rows.groupBy("token", "grp", "block", "size").agg(
-        F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.min("comp").alias("low"), F.max("comp").alias("high")
+        F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("rest"), F.min("comp").alias("low"), F.max("comp").alias("high")
     )
     q, g = rows.alias("q"), matrix.alias("g")
     # Of two blocks that of the smaller group asks; a block of several components asks itself too.
     turn = F.expr("(q.size, q.grp, q.block) <= (g.size, g.grp, g.block) AND (g.low <> q.comp OR g.high <> q.comp)")
-    fits = F.expr(f"100 * q.n >= {PERCENT} * g.least_n AND 100 * g.most_n >= {PERCENT} * q.n")
+    # Of two similar sets the first shared shingle leaves enough shingles from it on, on both sides.
+    fits = F.expr(f"100 * q.n >= {PERCENT} * g.least_n AND 100 * g.most_n >= {PERCENT} * q.n") & F.expr(
+        f"{100 + PERCENT} * least(q.rest, g.rest) >= {PERCENT} * (q.n + greatest(g.least_n, ceil({PERCENT} * q.n / 100)))"
+    )
     return q.join(g, (F.col("q.token") == F.col("g.token")) & turn & fits).select("q.id", "q.comp", "g.grp", "g.block").distinct()
 
 
@@ -271,7 +275,7 @@ def _frequent_arrays(often: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     found = often.toPandas()
     token = found["token"].to_numpy().astype(np.int64).view(np.uint64)
     order = np.argsort(token)
-    return token[order], found["total"].to_numpy().astype(np.int64)[order]
+    return token[order], np.minimum(found["total"].to_numpy(), 2**31 - 1).astype(np.int32)[order]
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

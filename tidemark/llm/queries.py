@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, mixing, ngram_join, toxicity
+from tidemark.llm import bpe, langid, metric_join, mixing, ngram_join, sharding, toxicity
 from tidemark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,18 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_sampled_splitters")
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in one of 24 shards of near-equal bytes."""
+    return sharding.sharded(table(spark, d, "documents"), 24)
+
+
+@query("op7_metric_range_join")
+def op7(spark: SparkSession, d: str) -> DataFrame:
+    """Links and components of embeddings with cosine 0.98 or more within a label."""
+    return metric_join.range_components(table(spark, d, "embeddings"))
+
+
 @query("op10_ngram_jaccard_join")
 def op10(spark: SparkSession, d: str) -> DataFrame:
     """Components of documents whose word 5-gram sets have Jaccard 0.8 or more."""

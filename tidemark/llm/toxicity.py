@@ -20,7 +20,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 8_000  # labelled texts that the model is fitted on, at most; half of each label if there are
+from tidemark.llm.common import Scratch
+
+SAMPLE = 6_000  # labelled texts that the model is fitted on, at most; half of each label if there are
 EXAMPLES = 2_000
 TERMS = 1024
 LEAST_CHI = 15.0
@@ -32,8 +34,8 @@ WORD = re.compile(r"\w+")
 
 
 def terms_of(word: str) -> list[str]:
-    """The word and its first 4, 5 and 6 letters, for forms that the sample lacks."""
-    return [word, *(f"{word[:n]}*" for n in (4, 5, 6) if len(word) > n)]
+    """The word and its first 4 and 6 letters, for forms that the sample lacks."""
+    return [word, *(f"{word[:n]}*" for n in (4, 6) if len(word) > n)]
 
 
 @dataclass
@@ -92,8 +94,8 @@ class Index:
             best = sorted(best, key=lambda x: (-x[0], x[1]))[:NEAREST]
         return best
 
-    def raw(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        found = self.nearest(*self.vector(text))
+    def raw(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[tuple[float, int]]]:
+        found = self.nearest(*vector)
         votes = sum(s * s * self.label[i] for s, i in found)
         return (votes + PRIOR * self.prior) / (sum(s * s for s, _ in found) + PRIOR), found
 
@@ -113,43 +115,62 @@ def normed(count: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return term, weight / np.sqrt((weight**2).sum()) if len(term) else weight
 
 
-def build(rows: list[tuple[int, str, int]], share: float) -> Index:
-    """Index over (doc_id, text, label) rows; ``share`` is the true share of label 1."""
-    words = [{f for w in set(WORD.findall(t.lower())) for f in terms_of(w)} for _, t, _ in rows]
-    label = np.array([y for _, _, y in rows], dtype=np.int64)
-    df: dict[str, list[int]] = {}
-    for w, y in zip(words, label.tolist(), strict=True):
-        for x in w:
-            df.setdefault(x, [0, 0])[y] += 1
-    n = np.maximum(np.bincount(label, minlength=2), 1)
-    names = sorted(w for w, c in df.items() if sum(c) >= 3)
-    held = np.array([df[w] for w in names], dtype=np.float64).reshape(-1, 2)
-    a, b = held[:, 1], held[:, 0]
-    c, d = n[1] - a, n[0] - b
-    chi = len(rows) * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * (a + c) * (b + d), 1e-9)
-    chosen = [i for i in np.lexsort((names, -chi))[:TERMS] if chi[i] >= LEAST_CHI] if names else []
-    terms = [names[i] for i in chosen]
-    idf = np.log((1 + len(rows)) / (1 + held[chosen].sum(axis=1))) if chosen else np.empty(0)
-    place = {t: i for i, t in enumerate(terms)}
+def chosen_terms(texts: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The terms of highest chi-square between labels, and their inverse document frequencies.
+
+    Counted in tasks and summed by Spark; only the chosen ones, at most ``TERMS``, reach the driver.
+    """
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            count: dict[str, list[int]] = {}
+            for text, y in zip(pdf["text"], pdf["label"], strict=True):
+                for f in {f for w in set(WORD.findall(text.lower())) for f in terms_of(w)}:
+                    count.setdefault(f, [0, 0])[y] += 1
+            yield pd.DataFrame({"term": list(count), "b": [c[0] for c in count.values()], "a": [c[1] for c in count.values()]})
+
+    n = texts.agg(F.sum("label").alias("ones"), F.count("*").alias("all")).first()
+    ones, every = n["ones"] or 0, n["all"]
+    if not 0 < ones < every:
+        return [], np.empty(0)
+    a, b = F.col("a"), F.col("b")
+    c, d = ones - a, every - ones - b
+    chi = every * F.pow(a * d - b * c, 2) / ((a + b) * (c + d) * ones * (every - ones))
+    counts = texts.select("text", "label").mapInPandas(held, "term string, b double, a double").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    best = counts.where((a + b >= 3) & (c + d > 0)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
+    rows = best.orderBy(F.desc("chi"), "term").limit(TERMS).collect()
+    return [r["term"] for r in rows], np.array([np.log((1 + every) / (1 + r["a"] + r["b"])) for r in rows])
+
+
+def build(texts: DataFrame, share: float) -> Index:
+    """Index over (doc_id, text, label, draw) rows; ``share`` is the true share of label 1."""
+    terms, idf = chosen_terms(texts)
+    index = Index(terms, idf, np.empty(0), np.empty(0), np.empty(0), np.empty(0), share, (0.0, 1.0), {t: i for i, t in enumerate(terms)})
+
+    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [index.vector(t) for t in pdf["text"]]
+            yield pdf[["doc_id", "label", "draw"]].assign(term=[t for t, _ in found], weight=[w for _, w in found])
+
+    rows = texts.select("doc_id", "text", "label", "draw").mapInPandas(vectors, "doc_id long, label int, draw long, term array<long>, weight array<double>").collect()
+    rows.sort(key=lambda r: (r["draw"], r["doc_id"]))
+    label = np.array([r["label"] for r in rows], dtype=np.int64)
+    found = [(np.array(r["term"], dtype=np.int64), np.array(r["weight"])) for r in rows]
     # Every second text of the sample may be an example, the others fit the curve.
     each = EXAMPLES // 2
     ones, zeros = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     examples = np.concatenate([ones[::2][:each], zeros[::2][:each]])
     rest = np.setdiff1d(np.arange(len(rows)), examples)
-    index = Index(terms, idf, np.empty(0), np.empty(0), np.empty(0), np.empty(0), share, (0.0, 1.0), place)
-    vectors = [index.vector(rows[i][1]) for i in examples]
     # Blocks hold like examples: in order of the label and of the heaviest term.
-    order = sorted(range(len(examples)), key=lambda k: (label[examples[k]], vectors[k][0][vectors[k][1].argmax()] if len(vectors[k][0]) else -1))
-    blocks = -(-len(order) // BLOCK)
-    index.postings = np.zeros((blocks, len(terms), BLOCK))
-    for at, k in enumerate(order):
-        t, w = vectors[k]
-        index.postings[at // BLOCK, t, at % BLOCK] = w
+    order = sorted(examples.tolist(), key=lambda i: (label[i], found[i][0][found[i][1].argmax()] if len(found[i][0]) else -1, i))
+    index.postings = np.zeros((-(-len(order) // BLOCK), len(terms), BLOCK))
+    for at, i in enumerate(order):
+        index.postings[at // BLOCK, found[i][0], at % BLOCK] = found[i][1]
     index.block_max = index.postings.max(axis=2, initial=0.0)
-    index.label = label[examples[order]]
-    index.ids = np.array([rows[i][0] for i in examples[order]], dtype=np.int64)
-    if len(rest) and len(set(label[rest].tolist())) == 2:
-        x = logit(np.array([index.raw(rows[i][1])[0] for i in rest]))
+    index.label = label[order]
+    index.ids = np.array([rows[i]["doc_id"] for i in order], dtype=np.int64)
+    if len(set(label[rest].tolist())) == 2:
+        x = logit(np.array([index.raw(found[i])[0] for i in rest]))
         y = label[rest]
         weight = np.where(y == 1, share / max((y == 1).mean(), 1e-9), (1 - share) / max((y == 0).mean(), 1e-9))
         index.curve = logistic(x, y, weight)
@@ -173,20 +194,23 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Index:
     """Fit on documents (doc_id, text) with labels (doc_id, toxic); null labels and texts are left out.
 
-    A document with several labels has their rounded mean. ``most`` bounds the sampled rows, and
-    with them what the driver holds; the sample's ids, as few, go to the tasks that read texts.
+    A document with several labels has their rounded mean. ``most`` bounds the sampled rows; the
+    driver holds their few chosen terms, not their texts; the sample's ids, as few, go to the tasks that read texts.
     """
     one = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.round(F.avg("toxic")).cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     if not total:
-        return build([], 0.0)
+        return Index([], np.empty(0), np.empty(0), np.empty(0), np.empty(0), np.empty(0))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, most / 2 / n))])
     few = one.where(F.xxhash64("doc_id", F.lit(11)) / 2.0**64 + 0.5 < share[F.col("toxic")]).limit(2 * most)
     found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(few), "doc_id")
-    rows = found.groupBy(F.xxhash64("text").alias("draw")).agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.round(F.avg("toxic")).cast("int").alias("toxic")).collect()
-    rows.sort(key=lambda r: (r["draw"], r["doc_id"]))
-    return build([(r["doc_id"], r["text"], r["toxic"]) for r in rows], counts.get(1, 0) / total)
+    texts = found.groupBy(F.xxhash64("text").alias("draw")).agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.round(F.avg("toxic")).cast("int").alias("label"))
+    scratch = Scratch(docs.sparkSession)
+    texts = scratch.store(texts)
+    index = build(texts, counts.get(1, 0) / total)
+    scratch.drop(texts)
+    return index
 
 
 def scored(text: Column, index: Index) -> Column:
@@ -201,7 +225,7 @@ def scored(text: Column, index: Index) -> Column:
         for texts in batches:
             out = []
             for t in texts:
-                raw, found = index.raw(t) if len(index.label) else (0.0, [])
+                raw, found = index.raw(index.vector(t)) if len(index.label) else (0.0, [])
                 p = index.probability(raw) if len(index.label) else 0.0
                 out.append((p, int(p >= 0.5), [{"doc_id": int(index.ids[i]), "cosine": s, "label": int(index.label[i])} for s, i in found]))
             yield pd.DataFrame(out, columns=["score", "predicted", "evidence"])
