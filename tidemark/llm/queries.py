@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, langid, metric_join, mixing, ngram_join, sharding, toxicity
+from tidemark.llm import bpe, fingerprint, langid, metric_join, mixing, ngram_join, sharding, toxicity
 from tidemark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,16 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
     return sharding.sharded(table(spark, d, "documents"), 24)
 
 
+@query("op5_invertible_sketch")
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likenesses."""
+    found = fingerprint.versions(table(spark, d, "documents"))
+    return found.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
 @query("op7_metric_range_join")
 def op7(spark: SparkSession, d: str) -> DataFrame:
     """Links and components of embeddings with cosine 0.98 or more within a label."""
