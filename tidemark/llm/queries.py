@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, fingerprint, langid, metric_join, mixing, ngram_join, sharding, toxicity
+from tidemark.llm import bpe, extraction, fingerprint, langid, metric_join, mixing, ngram_join, sharding, toxicity, urls
 from tidemark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,12 @@ def op1(spark: SparkSession, d: str) -> DataFrame:
     return sharding.sharded(table(spark, d, "documents"), 24)
 
 
+@query("op4_wrapper_induction")
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    """Main text of every page."""
+    return extraction.main_texts(table(spark, d, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op5_invertible_sketch")
 def op5(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprints of every document and its edited text, and their likenesses."""
@@ -95,6 +101,17 @@ def learned_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity.Index:
     return toxicity.fit(docs, labels.where(~held_out()))
 
 
+URL_RULES = [
+    ("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"),
+]
+
+
+@query("op8_host_segmentation")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    """Every page's url under fixed rules, and by the classifier where none fits."""
+    return urls.judged(table(spark, d, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 @query("op9_toxicity")
 def op9(spark: SparkSession, d: str) -> DataFrame:
     """Toxicity of every document, learned from labels that are not held out."""
