@@ -28,6 +28,7 @@ from tidemark.llm.common import Scratch
 from tidemark.llm.urls import host_of
 
 PAGES = 8  # of a host that its wrapper is learned from
+DEEPEST = 200  # levels; what is nested deeper counts as part of the last
 SKELETON = 400  # children of a node that are aligned; the text of all counts
 CONSTANT_IN = 4  # pages of a host from which on blocks that all repeat are template
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dd", "dt", "pre", "blockquote", "table", "figure", "figcaption", "address", "hr"}
@@ -58,6 +59,7 @@ def parse(page: str) -> Node:
     """Tree of the whole page; unclosed and misplaced tags are mended as browsers commonly do."""
     root = Node("#root", "#root", False)
     stack = [root]
+    deeper: list[str] = []  # open elements beyond the deepest level that is kept apart
     at = 0
     for m in TOKEN.finditer(page):
         if m.start() < at:
@@ -74,6 +76,10 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
+            if tag in deeper:
+                while deeper.pop() != tag:
+                    pass
+                continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
@@ -100,7 +106,10 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
             continue
         if tag not in VOID and not m[3].rstrip().endswith("/"):
-            stack.append(node)
+            if len(stack) < DEEPEST:
+                stack.append(node)
+            else:
+                deeper.append(tag)
     if at < len(page):
         stack[-1].children.append(page[at:])
     return root

@@ -111,7 +111,7 @@ def fitted_rates(table: DataFrame, n: int, targets: np.ndarray, floor: float = 0
 def mixed(
     docs: DataFrame, labelled: DataFrame, weights: dict[str, float], keep_all: bool = False, most: int = SAMPLE,
 ) -> DataFrame:
-    """(doc_id, n_words, domain, p_domain, rate) of every row of ``docs`` (doc_id, text; others ignored).
+    """(doc_id, n_words, domain, p_domain, rate, posterior) of every row of ``docs`` (doc_id, text; others ignored).
 
     ``weights`` are the wanted shares of the domains of ``labelled`` (doc_id, domain); domains
     without a weight aim at 0. The targets sum to the present number of words, or with
@@ -122,7 +122,7 @@ def mixed(
     """
     names, prior, ratio = domain_weights(docs, labelled, most)
     if not names:
-        return docs.select("doc_id", n_words(F.col("text")).alias("n_words"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("p_domain"), F.lit(1.0).alias("rate"))
+        return docs.select("doc_id", n_words(F.col("text")).alias("n_words"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("p_domain"), F.lit(1.0).alias("rate"), F.create_map().cast("map<string,double>").alias("posterior"))
     n = len(names)
     table = Scratch(docs.sparkSession).store(posteriors(docs, names, prior, ratio))
     now = table.agg(*[F.sum(F.col("n_words") * F.col(f"p_{i}")).alias(f"s_{i}") for i in range(n)]).first()
@@ -134,7 +134,11 @@ def mixed(
     targets = share / share.sum() * total if share.sum() else present
     steps, _ = fitted_rates(table, n, targets, 1.0 if keep_all else 0.0)
     best = F.greatest(*[F.struct(F.col(f"p_{i}").alias("p"), F.lit(-i).alias("turn"), F.lit(k).alias("name")) for i, k in enumerate(names)]) if n > 1 else F.struct(F.col("p_0").alias("p"), F.lit(names[0]).alias("name"))
-    return table.select("doc_id", "n_words", best["name"].alias("domain"), best["p"].alias("p_domain"), rate_after(steps, n, 1.0 if keep_all else 0.0).alias("rate"))
+    posterior = F.create_map(*[x for i, k in enumerate(names) for x in (F.lit(k), F.col(f"p_{i}"))])
+    return table.select(
+        "doc_id", "n_words", best["name"].alias("domain"), best["p"].alias("p_domain"),
+        rate_after(steps, n, 1.0 if keep_all else 0.0).alias("rate"), posterior.alias("posterior"),
+    )
 
 
 def copies(rate: Column, doc_id: Column, seed: int = 3) -> Column:

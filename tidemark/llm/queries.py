@@ -86,13 +86,14 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-DOMAIN = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
+def domain():
+    return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
 
 
 @query("op6_soft_mixing")
 def op6(spark: SparkSession, d: str) -> DataFrame:
     """Rates at which documents come to 80 % high, 15 % low and 5 % toxic words."""
-    labelled = table(spark, d, "labels").select("doc_id", DOMAIN.alias("domain"))
+    labelled = table(spark, d, "labels").select("doc_id", domain().alias("domain"))
     return mixing.mixed(table(spark, d, "documents"), labelled, {"high": 0.80, "low": 0.15, "toxic": 0.05})
 
 
