@@ -2,7 +2,8 @@
 
 A document's set holds its distinct word 5-grams; two documents link at Jaccard >= 0.8. Steps:
 
-1. **Sets.** One pass over the texts hashes the shingles (64 bits) and writes the sorted sets.
+1. **Sets.** One pass over the texts hashes the shingles (48 bits: by chance two of a pair of 500-shingle sets
+   agree once in about a billion pairs) and writes the sorted sets.
    Documents with equal sets form one class and only one of them goes on.
 2. **Groups.** Classes that share a minimum under one of six hash orders are checked against
    four drawn leaders with that minimum, if they agree in three orders at least. The components of the links so found are groups; a class
@@ -45,6 +46,7 @@ AGREEING = 3  # orders in which a class and a leader must have the same minimum
 COUNTED = 1 << 22  # shingles counted together in a task
 FREQUENT = 1 << 22  # most frequent shingles that can reach the tasks, 12 bytes each
 LEAST_FREQUENT = 16
+KEPT_BITS = np.uint64((1 << 48) - 1)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -68,11 +70,22 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     g = h[: len(h) - span + 1].copy()
     for i in range(1, span):
         g = mixed(g) + h[i : len(h) - span + 1 + i] * _MIX[0]
-    g = mixed(g + np.uint64(span))
+    g = mixed(g + np.uint64(span)) & KEPT_BITS
     g.sort()
     return g[np.concatenate(([True], g[1:] != g[:-1]))]
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """Six bytes a shingle."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def needed(n: np.ndarray | int) -> np.ndarray | int:
     """Least overlap of a set of n with any set it links with."""
     return -(-PERCENT * n // 100)
@@ -89,7 +102,7 @@ def _hash_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for doc_id, text in zip(pdf["doc_id"].astype("Int64"), pdf["text"], strict=True):
             tokens = shingle_set(text)
-            raw = tokens.tobytes()
+            raw = packed(tokens)
             key = xxh3_64_intdigest(raw)
             fresh = len(tokens) > 0 and key not in done
             if fresh:
@@ -111,7 +124,7 @@ def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     parts, held = [], 0
     for pdf in batches:
         for raw in pdf["tokens"]:
-            parts.append(np.frombuffer(raw, dtype=np.uint64))
+            parts.append(unpacked(raw))
             held += len(parts[-1])
             if held >= COUNTED:
                 yield counted(parts)
@@ -127,7 +140,7 @@ def _prefixes(token: np.ndarray, count: np.ndarray):
         for pdf in batches:
             firsts, sizes, places = [], [], []
             for raw in pdf["tokens"]:
-                own = np.frombuffer(raw, dtype=np.uint64)
+                own = unpacked(raw)
                 n = len(own)
                 first = own
                 if len(token):
@@ -167,7 +180,7 @@ def _open_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if (asks, doc_id) == last:
                 continue  # another task's copy of the set
             last = (asks, doc_id)
-            own = np.frombuffer(raw, dtype=np.uint64)
+            own = unpacked(raw)
             if not asks:
                 members.append((doc_id, comp, own))
                 continue
@@ -214,7 +227,7 @@ def _opened(asks: DataFrame, blocks: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _leader_links(sets: DataFrame) -> DataFrame:
     """Links of each class with a few classes that have the same minimum in some order."""
-    minima = sets.select("id", F.posexplode("least").alias("hash_order", "value")).distinct()
+    minima = sets.select("id", F.posexplode("least").alias("hash_order", "value"))
     drawn = [F.min(F.struct(F.xxhash64("id", F.lit(j)).alias("draw"), "id"))["id"].alias(f"l{j}") for j in range(LEADERS)]
     leaders = (
         minima.groupBy("hash_order", "value").agg(F.count("*").alias("size"), *drawn).where("size > 1")
@@ -235,7 +248,7 @@ def _membership(ids: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
 
     Linked classes are grouped by component; the others by the most shared of their minima.
     """
-    minima = sets.select("id", F.posexplode("least").alias("hash_order", "value")).distinct()
+    minima = sets.select("id", F.posexplode("least").alias("hash_order", "value"))
     shared = minima.groupBy("hash_order", "value").agg(F.count("*").alias("held")).where("held > 1")
     pack = (
         minima.join(shared, ["hash_order", "value"]).groupBy("id")
@@ -255,7 +268,9 @@ def _matrix_candidates(sets: DataFrame, member: DataFrame, often: DataFrame, scr
     """(id, comp, grp, block): queries and the blocks that may hold a link to another component."""
     token, count = _frequent_arrays(often)
     firsts = sets.select("id", "tokens").mapInPandas(_prefixes(token, count), "token long, id long, n int, rest int").repartition("token")
-    shared = firsts.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("token")
+    # The count reads every column so that this aggregate and the join below share one exchange.
+    facts = firsts.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.col("n") + F.col("rest")).alias("held"))
+    shared = facts.where("low < high AND held > 0").select("token")
     rows = scratch.store(firsts.join(shared, "token", "left_semi").join(member, "id"))
     matrix = rows.groupBy("token", "grp", "block", "size").agg(
         F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("rest"), F.min("comp").alias("low"), F.max("comp").alias("high")
