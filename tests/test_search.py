@@ -46,7 +46,7 @@ def test_crossover_takes_every_value_from_a_parent(points):
 
 
 def test_grid_is_complete_and_refuses_excess(spark):
-    g = K.grid(spark, SPACE, 3)
+    g = K.grid(spark, SPACE, 3, limit=10_000)
     assert g.count() == 3 * 3 * 5 * 3 and g.select(K.fingerprint(SPACE)).distinct().count() == 135
     with pytest.raises(ValueError):
         K.grid(spark, SPACE, 3, limit=100)

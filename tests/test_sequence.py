@@ -58,6 +58,31 @@ def test_chunk_width_only_for_large_runs(skewed):
     assert Q.chunk_width(skewed, ["run_id"], "t", target_rows=50) > 0
 
 
+@pytest.mark.parametrize("burst", ["one second", "one time"])
+def test_chunks_of_a_burst_stay_near_the_target(spark, burst):
+    span = 0.0 if burst == "one time" else 1.0
+    rows = spark.range(20_000).select(
+        F.lit("hot").alias("run_id"), F.col("id").alias("row_key"),
+        F.when(F.col("id") % 25 == 0, F.col("id") * 100.0 * span).otherwise(F.rand(1) * span).alias("t"),
+    )
+    chunks = Q.chunk_width(rows, ["run_id"], "t", target_rows=1000)
+    assert chunks == 20
+    sizes = Q._chunked(rows, ["run_id"], ["t"], chunks).groupBy("run_id", "_chunk").count()
+    assert sizes.agg(F.max("count")).first()[0] < 2000
+    got = Q.ordinal(rows, ["run_id"], ["t", "row_key"], "pos", chunks)
+    same(got, Q.ordinal(rows, ["run_id"], ["t", "row_key"], "pos"), ["row_key", "pos"])
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_row_chunks_equal_the_plain_window(skewed, reverse):
+    chunks = Q.chunk_width(skewed, ["run_id"], "t", target_rows=50)
+    specs = {"n": ("count", "value"), "hi": ("max", "value"), "last_": ("last", "value")}
+    plain = Q.running(skewed, ["run_id"], ["t", "i"], specs, None, reverse)
+    same(plain, Q.running(skewed, ["run_id"], ["t", "i"], specs, chunks, reverse), ["run_id", "i", *specs])
+    both = [Q.neighbours(skewed, ["run_id"], ["t", "i"], ["i"], w, lead=True) for w in (None, chunks)]
+    same(*both, ["run_id", "i", "prev", "next"])
+
+
 def test_asof_matches_brute_force(spark, skewed):
     table = skewed.where("i % 3 = 0").select("run_id", "t", "i")
     probes = skewed.select("run_id", (F.col("t") + (F.col("i") % 2) * 0.1).alias("p"), F.col("i").alias("probe"))

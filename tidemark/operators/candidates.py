@@ -21,7 +21,6 @@ from tidemark.session import durable
 
 # Share of a parameter's range used as perturbation scale.
 MAGNITUDE = {"small": 0.05, "medium": 0.15, "large": 0.35}
-MAX_GRID = 5_000_000
 
 
 @dataclass(frozen=True)
@@ -160,8 +159,8 @@ def axis_value(p: Parameter, steps: int, index: Column) -> Column:
     return quantize(p, F.lit(float(p.low)) + F.lit(float(p.high - p.low)) * index / F.lit(float(steps - 1)))
 
 
-def grid(spark: SparkSession, space: Sequence[Parameter], steps: int = 5, limit: float = MAX_GRID) -> DataFrame:
-    """Every grid point. A row number is taken apart axis by axis, so nothing is joined."""
+def grid(spark: SparkSession, space: Sequence[Parameter], steps: int, limit: float) -> DataFrame:
+    """Every grid point, refused above ``limit`` points. A row number is taken apart axis by axis, so nothing is joined."""
     check_space(space)
     size = cardinality(space, steps)
     if size > limit:

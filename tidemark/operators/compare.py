@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import finite, pearson, safe_div
 from tidemark.operators.panel import ordered_list
-from tidemark.operators.ranks import top_k
+from tidemark.operators.ranks import ranked, top_k
 from tidemark.operators.sequence import ordinal
 from tidemark.operators.timejoin import asof, tolerance_join
 
@@ -175,7 +175,7 @@ def rank_windows(
     )
     distinct = windows.dropDuplicates([*PAIR, "start_time", "end_time"])
     order = [F.col("mean_rms").desc(), F.col("start_time")]
-    return top_k(distinct.drop("centre"), PAIR, order, 1_000_000, "window_rank")
+    return ranked(distinct.drop("centre"), PAIR, [*order, F.col("end_time")], "window_rank")
 
 
 def comparability(manifests: DataFrame, pairs: DataFrame, fields: Sequence[str]) -> DataFrame:

@@ -215,15 +215,25 @@ def windowed(series: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def evaluate(
-    series: DataFrame, windows: DataFrame, objectives: Sequence[Objective], width: float | None = None
+    series: DataFrame, windows: DataFrame, objectives: Sequence[Objective], width: float | None = None,
+    baseline_run: str | int | None = None, panel: DataFrame | None = None, reference: DataFrame | None = None,
 ) -> DataFrame:
-    """Raw value of every objective on every run, all metrics in one grouped pass.
+    """Raw value of every objective on every run, one grouped pass for all metrics of one series.
 
-    Rows without a value carry a reason.
+    Rows without a value carry a reason. Metrics with a second input need it: a divergence the
+    ``baseline_run``, a pattern similarity the unit ``panel`` and ``reference`` (unit_id,
+    ref_value); they are refused without it.
     """
+    by_metric = {o.objective_id: o.metric for o in objectives}
+    diverging = [i for i, m in by_metric.items() if m == "DIVERGENCE_FROM_BASELINE"]
+    alike = [i for i, m in by_metric.items() if m == "PATTERN_SIMILARITY_TO_REFERENCE"]
+    if diverging and baseline_run is None:
+        raise ValueError("DIVERGENCE_FROM_BASELINE needs a baseline run")
+    if alike and (panel is None or reference is None):
+        raise ValueError("PATTERN_SIMILARITY_TO_REFERENCE needs a panel and a reference")
     inside = windowed(series, windows).where(F.col("value").isNotNull())
     stepped = neighbours(inside, ["run_id", "objective_id"], ["t"], ["value", "t"], width)
-    names = sorted({o.metric for o in objectives})
+    names = sorted(set(by_metric.values()))
     # Registered builders look one column deep, so every metric is one aggregate.
     sums = stepped.groupBy("run_id", "objective_id").agg(
         F.count("value").alias("samples"),
@@ -231,11 +241,27 @@ def evaluate(
         *[METRICS.get(n).build().alias(f"_m{i}") for i, n in enumerate(names)],
     )
     value = F.lit(None).cast("double")
-    for o in objectives:
-        value = F.when(F.col("objective_id") == o.objective_id, F.col(f"_m{names.index(o.metric)}")).otherwise(value)
+    for i, m in by_metric.items():
+        value = F.when(F.col("objective_id") == i, F.col(f"_m{names.index(m)}")).otherwise(value)
     out = windows.join(sums, ["run_id", "objective_id"], "left").withColumn("raw_value", value)
+    why = F.col("reason")
+    others = []
+    if diverging:
+        others.append(divergence_from_baseline(inside.where(F.col("objective_id").isin(diverging)), baseline_run, width).select(
+            "run_id", "objective_id", F.col("raw_value").alias("_other"), F.col("reason").alias("_why")))
+    for i in alike:
+        of_one = windows.where(F.col("objective_id") == i).select("run_id", "start_t", "end_t")
+        cells = panel.join(of_one, "run_id").where("t >= start_t AND t < end_t").select("run_id", "row_idx", "unit_id", "value")
+        others.append(pattern_similarity(cells, reference).select(
+            "run_id", F.lit(i).alias("objective_id"), F.col("raw_value").alias("_other"), F.lit(None).cast("string").alias("_why")))
+    if others:
+        both = others[0]
+        for other in others[1:]:
+            both = both.union(other)
+        out = out.join(both, ["run_id", "objective_id"], "left").withColumn("raw_value", F.coalesce("raw_value", "_other"))
+        why = F.coalesce("reason", "_why")
     reason = (
-        F.when(F.col("reason").isNotNull(), F.col("reason"))
+        F.when(why.isNotNull(), why)
         .when(F.col("samples").isNull(), "no samples in window")
         .when(F.col("raw_value").isNull(), "too few samples")
     )
@@ -441,13 +467,15 @@ def score_experiment(
     objectives: Sequence[Objective],
     baseline_run: str | int | None = None,
     width: float | None = None,
+    panel: DataFrame | None = None,
+    reference: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(scores per variant and objective, ranked totals per variant).
 
     Raw values (one row per variant and objective) are written once: statistics, percentiles,
     composites and ranks all read them, and the panel is scanned a single time.
     """
-    raw = durable(evaluate(series, windows, objectives, width))
+    raw = durable(evaluate(series, windows, objectives, width, baseline_run, panel, reference))
     scores = normalise(raw, objectives, baseline_run)
     totals = durable(composite(scores, len(objectives)))
     return scores, rank_variants(totals, baseline_run)

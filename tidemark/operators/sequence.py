@@ -1,48 +1,61 @@
 """Ordered operators over runs that do not need a whole run in one task.
 
 A run (one key) may hold a third of all rows, so ``Window.partitionBy(run)`` would put
-that run into a single task. Here every ordered operator works on ``(run, chunk)`` where
-``chunk = floor(t / width)``; a tiny per-chunk summary carries state across chunk borders.
-The only full shuffle is the one on ``(run, chunk)``; the summary join reuses it.
+that run into a single task. Here every ordered operator works on ``(run, chunk)``; a chunk
+is a stretch of about equally many rows, cut by Spark's own range partitioning over
+``(run, order)``, so bursts and rows of one time are split like any others. The layout is
+written to the checkpoint folder, so that every reader sees the same borders; a tiny
+per-chunk summary carries state across them.
 
 ``width=None`` means "no run is larger than the target": the plain window is then exact
-and cheaper, and it is used as is. ``chunk_width`` makes that check.
+and cheaper, and it is used as is. ``chunk_width`` makes that check. A plain number cuts
+chunks of so many seconds instead.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import durable
+
 TARGET_ROWS = 250_000
 
 
+class RowChunks(float):
+    """A number of chunks of about equally many rows, over all runs."""
+
+
 def chunk_width(
     df: DataFrame, keys: Sequence[str], t: str, target_rows: int = TARGET_ROWS
-) -> float | None:
-    """Seconds per chunk so that the densest run stays near ``target_rows`` a chunk.
+) -> RowChunks | None:
+    """Chunks of about ``target_rows`` rows; ``None`` when no run is larger than that.
 
-    One aggregate with map-side combine; a single number reaches the driver. Runs at or
-    below the target are ignored; ``None`` when there is no larger run.
+    One aggregate with map-side combine; two numbers reach the driver.
     """
-    per_key = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.percentile_approx(t, [0.01, 0.99], 200).alias("p"),
-    )
-    dense = per_key.where(F.col("n") > target_rows).select(
-        F.max(
-            F.try_divide(F.col("n").cast("double"), F.col("p")[1] - F.col("p")[0])
-        ).alias("density")
-    )
-    density = dense.first()["density"]
-    return None if not density else target_rows / float(density)
+    facts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.max("n").alias("most"), F.sum("n").alias("all")
+    ).first()
+    if (facts["most"] or 0) <= target_rows:
+        return None
+    return RowChunks(math.ceil(facts["all"] / target_rows))
+
 
+def _chunked(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float) -> DataFrame:
+    """``df`` with ``_chunk``, increasing along each run.
 
-def _chunked(df: DataFrame, t: str, width: float) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(F.col(t) / F.lit(float(width))).cast("long"))
+    Rows that tie in ``order`` are kept apart by ``row_key`` where there is one, so a run of one
+    time is cut as well.
+    """
+    if not isinstance(width, RowChunks):
+        return df.withColumn("_chunk", F.floor(F.col(order[0]) / F.lit(float(width))).cast("long"))
+    ties = [c for c in ("row_key",) if c in df.columns and c not in order]
+    laid_out = df.repartitionByRange(int(width), *keys, *order, *ties)
+    return durable(laid_out.withColumn("_chunk", F.spark_partition_id().cast("long")))
 
 
 def _order_key(order: Sequence[str]) -> Column:
@@ -63,7 +76,7 @@ def neighbours(
         w = Window.partitionBy(*keys).orderBy(*order)
         out = df.withColumn("prev", F.lag(payload).over(w))
         return out.withColumn("next", F.lead(payload).over(w)) if lead else out
-    base = _chunked(df, order[0], width)
+    base = _chunked(df, keys, order, width)
     part = [*keys, "_chunk"]
     w = Window.partitionBy(*part).orderBy(*order)
     inner = base.withColumn("_p", F.lag(payload).over(w))
@@ -126,7 +139,7 @@ def running(
         return df.select(
             "*", *[fold(kind, F.col(c)).over(w).alias(name) for name, (kind, c) in specs.items()]
         )
-    base = _chunked(df, order[0], width)
+    base = _chunked(df, keys, order, width)
     part = [*keys, "_chunk"]
     w = over(part, order, stop)
     inner = base.select(

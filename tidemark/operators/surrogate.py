@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.registry import Registry
 from tidemark.functions.stats import normal_cdf
 from tidemark.operators.candidates import Parameter, get, uniform
-from tidemark.operators.ranks import largest_group, ranked, top_k
+from tidemark.operators.ranks import exact_quantiles, largest_group, ranked, top_k
 from tidemark.operators.sequence import TARGET_ROWS, running
 from tidemark.session import durable
 
@@ -246,7 +246,8 @@ def cross_validated(train: DataFrame, names: Sequence[str], key: str, folds: int
 def prefix_validated(train: DataFrame, names: Sequence[str], order: str, cuts: int = 3, family: str = "forest") -> DataFrame:
     """Rolling origin: fit on what came before each cut, score the next block."""
     rows = durable(train)
-    edges = rows.agg(F.percentile_approx(order, [i / (cuts + 1) for i in range(1, cuts + 1)], 10_000).alias("e")).first()["e"]
+    wanted = {f"_e{i}": i / (cuts + 1) for i in range(1, cuts + 1)}
+    edges = list(exact_quantiles(rows.withColumn("_all", F.lit(0)), ["_all"], order, wanted).select(*wanted).first())
     bounds = [*edges, None]
     parts = []
     for start, end in zip(bounds[:-1], bounds[1:], strict=True):

@@ -281,7 +281,7 @@ def e32(spark, d):
  g AS (SELECT -10 + 5.0::DOUBLE * (i // 5) AS gain, -1 + 0.5::DOUBLE * (i % 5) AS bright FROM range(25) t(i)) SELECT round(g.gain, 6) + 0.0 AS gain, round(g.bright, 6) + 0.0 AS bright, coalesce(n, 0) AS evaluated FROM g LEFT JOIN c ON c.gain = g.gain AND c.bright = g.bright""")
 def e30(spark, d):
     """Grid points of two parameters with the evaluated candidates nearest to each."""
-    points = K.grid(spark, SPACE[:2], 5).select(*[r(K.get(p)).alias(p.name) for p in SPACE[:2]])
+    points = K.grid(spark, SPACE[:2], 5, limit=1_000_000).select(*[r(K.get(p)).alias(p.name) for p in SPACE[:2]])
     ev = _flat(evaluations(spark, d))
     near = ev.select(r(F.rint((F.col("gain") + 10) / 5) * 5 - 10).alias("gain"), r(F.rint((F.col("bright") + 1) / 0.5) * 0.5 - 1).alias("bright"))
     counts = near.groupBy("gain", "bright").agg(F.count(F.lit(1)).alias("n"))

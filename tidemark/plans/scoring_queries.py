@@ -165,14 +165,12 @@ def j12p(spark, d):
 BR = """br AS (SELECT p_brand, avg(p_size) AS a, avg(p_retailprice) AS b, count(*) + 0.0::DOUBLE AS c FROM part GROUP BY 1)"""
 
 
-@query("k16_successive_fronts", f"""WITH {BR}, f0 AS (SELECT * FROM br y WHERE NOT EXISTS (SELECT 1 FROM br x WHERE x.a >= y.a AND x.b >= y.b AND x.c >= y.c AND (x.a > y.a OR x.b > y.b OR x.c > y.c))),
- r1 AS (SELECT * FROM br WHERE p_brand NOT IN (SELECT p_brand FROM f0)),
- f1 AS (SELECT * FROM r1 y WHERE NOT EXISTS (SELECT 1 FROM r1 x WHERE x.a >= y.a AND x.b >= y.b AND x.c >= y.c AND (x.a > y.a OR x.b > y.b OR x.c > y.c)))
- SELECT p_brand, 0 AS front FROM f0 UNION ALL SELECT p_brand, 1 FROM f1""")
+@query("k16_successive_fronts", f"""WITH RECURSIVE {BR}, dm AS (SELECT x.p_brand AS u, y.p_brand AS v FROM br x, br y WHERE x.a >= y.a AND x.b >= y.b AND x.c >= y.c AND (x.a > y.a OR x.b > y.b OR x.c > y.c)),
+ ch AS (SELECT p_brand, 0 AS front FROM br UNION SELECT v, front + 1 FROM ch JOIN dm ON ch.p_brand = dm.u) SELECT p_brand, max(front) AS front FROM ch GROUP BY 1""")
 def k16(spark, d):
     brands = table(spark, d, "part").groupBy("p_brand").agg(
         F.avg("p_size").alias("a"), F.avg("p_retailprice").alias("b"), F.count(F.lit(1)).cast("double").alias("c"))
-    return PF.successive_fronts(brands, "p_brand", ["a", "b", "c"], max_fronts=2).select("p_brand", "front")
+    return PF.successive_fronts(brands, "p_brand", ["a", "b", "c"]).select("p_brand", "front")
 
 
 @query("e50_directional_dominance", f"""WITH {BR}, t AS (SELECT * FROM br WHERE p_brand = 'Brand#1'), v AS (SELECT br.p_brand, br.a AS x0, -br.b AS x1, -abs(br.c - 80) AS x2, t.a AS y0, -t.b AS y1, -abs(t.c - 80) AS y2 FROM br, t)
@@ -303,6 +301,30 @@ def e17(spark, d):
     return out.select("run_id", r("raw_value").alias("raw_value"), "reason")
 
 
+@query("e19_reference_metrics", f"""WITH {CV}, i AS (SELECT run_id, kind, floor(t / 24) AS day, avg(value) AS v FROM cv GROUP BY ALL), f AS (SELECT run_id, day, avg(v) AS value FROM i GROUP BY ALL),
+ w AS (SELECT run_id, value, row_number() OVER (PARTITION BY run_id ORDER BY day) AS i, count(*) OVER (PARTITION BY run_id) AS n FROM f WHERE day >= 2 AND day < 12),
+ b AS (SELECT i, value AS base, n AS bn FROM w WHERE run_id = 0),
+ dv AS (SELECT w.run_id, any_value(n) AS samples, CASE WHEN any_value(n) = (SELECT max(bn) FROM b) THEN round(sqrt(avg((value - base) * (value - base))), 6) END AS v,
+  CASE WHEN any_value(n) <> (SELECT max(bn) FROM b) THEN 'window lengths differ' END AS why FROM w LEFT JOIN b USING (i) GROUP BY 1),
+ p AS (SELECT * FROM i WHERE day >= 2 AND day < 12), full_rows AS (SELECT run_id, day FROM p GROUP BY ALL HAVING count(v) = (SELECT count(DISTINCT kind) FROM p)),
+ m AS (SELECT run_id, kind, avg(v) AS m FROM p JOIN full_rows USING (run_id, day) GROUP BY ALL), rf AS (SELECT event_type AS kind, count(*) / 100.0 AS b FROM events GROUP BY 1),
+ sm AS (SELECT run_id, round(sum(m * b) / (sqrt(sum(m * m)) * sqrt(sum(b * b))), 6) AS v FROM m JOIN rf USING (kind) GROUP BY 1),
+ us AS (SELECT DISTINCT run_id FROM cv)
+ SELECT run_id, 'd' AS objective_id, v AS raw_value, CASE WHEN samples IS NULL THEN 'no samples in window' ELSE why END AS reason FROM us LEFT JOIN dv USING (run_id)
+ UNION ALL SELECT us.run_id, 's', sm.v, CASE WHEN samples IS NULL THEN 'no samples in window' WHEN sm.v IS NULL THEN 'too few samples' END FROM us LEFT JOIN dv USING (run_id) LEFT JOIN sm ON sm.run_id = us.run_id""")
+def e19_reference(spark, d):
+    """Both metrics with a second input, scored beside each other."""
+    scope = Scope("absolute", 2.0, 12.0)
+    objectives = (Objective("d", "DIVERGENCE_FROM_BASELINE", scope=scope), Objective("s", "PATTERN_SIMILARITY_TO_REFERENCE", scope=scope))
+    ev = _events(spark, d)
+    daily = ev.groupBy("run_id", F.col("kind").alias("unit_id"), F.floor(F.col("t") / 24).alias("row_idx")).agg(F.avg("value").alias("value")).withColumn("t", F.col("row_idx").cast("double"))
+    durations = ev.select("run_id").distinct().withColumn("duration", F.lit(30.0))
+    reference = table(spark, d, "events").groupBy(F.col("event_type").alias("unit_id")).agg((F.count("*") / 100.0).alias("ref_value"))
+    windows = S.resolve_windows(daily, durations, objectives)
+    scores, _ = S.score_experiment(S.target_series(daily, objectives), windows, objectives, BASELINE, panel=daily, reference=reference)
+    return scores.select("run_id", "objective_id", r("raw_value").alias("raw_value"), "reason")
+
+
 @query("j11_ordinal_pairing", f"""WITH {CV}, w AS (SELECT run_id, idx, value, row_number() OVER (PARTITION BY run_id ORDER BY t) - 1 AS i FROM cv), b AS (SELECT i, value AS base FROM w WHERE run_id = 0)
  SELECT w.run_id, count(base) AS paired, round(avg(value - base), 6) + 0.0 AS mean_difference FROM w LEFT JOIN b USING (i) GROUP BY 1""")
 def j11(spark, d):

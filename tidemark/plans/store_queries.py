@@ -238,11 +238,11 @@ def w18(spark, d):
     return _scored(spark, d)[1].select("run_id", r("baseline_delta").alias("baseline_delta"))
 
 
-@query("a20_feature_coverage", "WITH m AS (SELECT l_returnflag AS run_id, date_trunc('month', l_shipdate) AS mo, avg(l_tax) AS tax FROM lineitem WHERE l_quantity > 40 GROUP BY ALL), a AS (SELECT * FROM m WHERE run_id = 'A'), b AS (SELECT * FROM m WHERE run_id = 'N') SELECT count(*) AS aligned, round(avg(CASE WHEN a.tax > 0.04 AND b.tax > 0.04 THEN 1.0::DOUBLE ELSE 0 END), 8) AS coverage_fraction, round(avg(CASE WHEN a.tax > 0.04 AND b.tax > 0.04 THEN b.tax - a.tax END), 8) + 0.0 AS mean_signed, round(avg(CASE WHEN a.tax > 0.04 AND b.tax > 0.04 THEN abs(b.tax - a.tax) END), 8) AS mean_absolute FROM a JOIN b USING (mo)")
+@query("a20_feature_coverage", "WITH m AS (SELECT l_returnflag AS run_id, date_trunc('month', l_shipdate) AS mo, avg(l_tax) AS tax FROM lineitem GROUP BY ALL), a AS (SELECT * FROM m WHERE run_id = 'A'), b AS (SELECT * FROM m WHERE run_id = 'N') SELECT count(*) AS aligned, round(avg(CASE WHEN a.tax > 0.04 AND b.tax > 0.04 THEN 1.0::DOUBLE ELSE 0 END), 8) AS coverage_fraction, round(avg(CASE WHEN a.tax > 0.04 AND b.tax > 0.04 THEN b.tax - a.tax END), 8) + 0.0 AS mean_signed, round(avg(CASE WHEN a.tax > 0.04 AND b.tax > 0.04 THEN abs(b.tax - a.tax) END), 8) AS mean_absolute FROM a JOIN b USING (mo)")
 def a20(spark, d):
     from tidemark.operators.compare import gated
 
-    m = table(spark, d, "lineitem").where("l_quantity > 40").groupBy(F.col("l_returnflag").alias("run_id"), F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("mo")).agg(F.avg("l_tax").alias("tax"))
+    m = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("run_id"), F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("mo")).agg(F.avg("l_tax").alias("tax"))
     a = m.where("run_id = 'A'").select("y", "mo", F.col("tax").alias("ref"))
     b = m.where("run_id = 'N'").select("y", "mo", F.col("tax").alias("cand"))
     mask = lambda c: F.when(F.col(c) > 0.04, 1.0).otherwise(0.0)

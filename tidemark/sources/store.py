@@ -21,7 +21,7 @@ MEDIA_TYPES = {
     "table": ("parquet",),
 }
 MAX_FILE_BYTES = 4_000_000_000
-MAX_HASH_BYTES = 1_000_000_000
+MAX_HASH_BYTES = 100_000_000
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -95,20 +95,20 @@ class Store:
         )
 
 
-def scan_files(spark: SparkSession, pattern: str, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+def scan_files(spark: SparkSession, pattern: str, max_bytes: int = MAX_FILE_BYTES, max_hashed: int = MAX_HASH_BYTES) -> DataFrame:
     """Content files with media type, size verdict and SHA-256.
 
-    Contents are read only for files small enough to hash in one record; the length filter
-    is pushed into the source.
+    Contents are read only for files of at most ``max_hashed`` bytes, which fit one record; larger
+    accepted files have the verdict ``not hashed``. The length filter is pushed into the source.
     """
     files = spark.read.format("binaryFile").load(pattern)
     listed = files.select("path", "length")
-    hashed = files.where(F.col("length") <= MAX_HASH_BYTES).select("path", F.sha2("content", 256).alias("sha256"))
+    hashed = files.where(F.col("length") <= max_hashed).select("path", F.sha2("content", 256).alias("sha256"))
     ext = F.lower(F.element_at(F.split("path", r"\."), -1))
     media = F.coalesce(*[F.when(ext.isin(list(x)), F.lit(name)) for name, x in MEDIA_TYPES.items()])
     verdict = (
         F.when(media.isNull(), "unsupported extension").when(F.col("length") == 0, "empty")
-        .when(F.col("length") > max_bytes, "too large").otherwise("ok")
+        .when(F.col("length") > max_bytes, "too large").when(F.col("length") > max_hashed, "not hashed").otherwise("ok")
     )
     return listed.join(hashed, "path", "left").select(
         F.element_at(F.split("path", "/"), -1).alias("file"), media.alias("media_type"), "length", verdict.alias("verdict"), "sha256"
