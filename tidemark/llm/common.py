@@ -49,12 +49,13 @@ class Scratch:
         return out
 
     def buckets(self, df: DataFrame, key: str) -> DataFrame:
-        """A table of the warehouse, bucketed by ``key``: joins on it move only the other side."""
+        """A table bucketed by ``key``, its files beside the others: joins on it move only the other side."""
         self.count += 1
         name = f"{self.root.rsplit('/', 1)[1].replace('-', '_')}_{self.count}"
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        df.write.format("parquet").option("compression", "lz4").bucketBy(parts, key).saveAsTable(name)
+        df.write.format("parquet").option("compression", "lz4").option("path", f"{self.root}/{self.count}").bucketBy(parts, key).saveAsTable(name)
         out = self.spark.table(name)
+        out._scratch_path = f"{self.root}/{self.count}"
         out._scratch_table = name
         return out
 
@@ -63,7 +64,6 @@ class Scratch:
         for table in tables:
             if hasattr(table, "_scratch_table"):
                 self.spark.sql(f"DROP TABLE {table._scratch_table}")
-                continue
             path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
