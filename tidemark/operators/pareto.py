@@ -75,8 +75,9 @@ def pareto_front(points: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
 
 
 def dominators(points: DataFrame, among: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
-    """For each dominated point the sorted ids in ``among`` (usually the front) that dominate it.
+    """For each dominated point how many of ``among`` dominate it, and the smallest id that does.
 
+    A count and a witness, not the list: that would hold a row for every dominated pair.
     ``among`` is spread over blocks when it is large; the block number is the join key.
     """
     blocks = max(1, -(-among.count() // BLOCK_ROWS))
@@ -87,7 +88,7 @@ def dominators(points: DataFrame, among: DataFrame, key: str, cols: Sequence[str
     cond = (F.col("a._block") == F.col("b._block")) & _dominates("a", "b", cols)
     hits = probes.alias("b").join(side.alias("a"), cond)
     return hits.groupBy(F.col(f"b.{key}").alias(key)).agg(
-        F.sort_array(F.collect_list(F.col(f"a.{key}"))).alias("dominated_by")
+        F.count(F.lit(1)).alias("dominators"), F.min(F.col(f"a.{key}")).alias("witness")
     )
 
 

@@ -524,15 +524,23 @@ def score_matrix(scores: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 
 def explain_top_two(scores: DataFrame, ranking: DataFrame) -> DataFrame:
-    """Per objective: the two best variants side by side with the measured difference."""
+    """The two best variants overall, side by side per objective with the measured difference.
+
+    ``leader`` is whichever of the two scores higher on that objective; the better rank wins a
+    tie, and a variant without a score comes second.
+    """
     top = ranking.where("rank <= 2").select("run_id", "rank")
-    s = scores.join(top, "run_id")
-    pick = lambda c, k: F.max(F.when(F.col("rank") == k, F.col(c)))
-    wide = s.groupBy("objective_id").agg(
-        pick("run_id", 1).alias("leader"), pick("run_id", 2).alias("runner_up"),
-        pick("raw_value", 1).alias("leader_raw"), pick("raw_value", 2).alias("runner_up_raw"),
-        pick("score", 1).alias("leader_score"), pick("score", 2).alias("runner_up_score"),
-        pick("peak_t", 1).alias("leader_peak_t"),
+    facts = F.struct("run_id", "raw_value", "score", "peak_t")
+    place = F.struct(F.col("score").isNotNull(), F.coalesce("score", F.lit(0.0)), -F.col("rank"))
+    pair = scores.join(top, "run_id").groupBy("objective_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.max_by(facts, place).alias("a"), F.min_by(facts, place).alias("b")
+    )
+    second = lambda c: F.when(F.col("_n") > 1, F.col(f"b.{c}"))
+    wide = pair.select(
+        "objective_id", F.col("a.run_id").alias("leader"), second("run_id").alias("runner_up"),
+        F.col("a.raw_value").alias("leader_raw"), second("raw_value").alias("runner_up_raw"),
+        F.col("a.score").alias("leader_score"), second("score").alias("runner_up_score"),
+        F.col("a.peak_t").alias("leader_peak_t"),
     )
     high, low = F.greatest("leader_raw", "runner_up_raw"), F.least("leader_raw", "runner_up_raw")
     both = F.col("leader_raw").isNotNull() & F.col("runner_up_raw").isNotNull()

@@ -143,16 +143,14 @@ def j12(spark, d):
     return front.select("run_id", *[r(i).alias(i) for i in IDS])
 
 
-@query("e20_pareto_analysis", f"""{SCORE}, {DOM} SELECT q.run_id, string_agg(CAST(fr.run_id AS VARCHAR), ',' ORDER BY fr.run_id) AS dominated_by, count(fr.run_id) = 0 AS on_front
- FROM q LEFT JOIN fr ON fr.m >= q.m AND fr.p >= q.p AND fr.s >= q.s AND (fr.m > q.m OR fr.p > q.p OR fr.s > q.s) GROUP BY q.run_id""")
+@query("e20_pareto_analysis", f"""{SCORE}, {DOM} SELECT q.run_id, count(x.run_id) AS dominators, min(x.run_id) AS witness, count(x.run_id) = 0 AS on_front
+ FROM q LEFT JOIN q x ON x.m >= q.m AND x.p >= q.p AND x.s >= q.s AND (x.m > q.m OR x.p > q.p OR x.s > q.s) GROUP BY q.run_id""")
 def e20(spark, d):
-    """Front membership, and which front members beat each dominated variant."""
+    """Front membership, and how many variants beat each dominated one, with one of them."""
     points = _points(spark, d).dropna(subset=IDS)
-    front = PF.pareto_front(points, "run_id", IDS)
-    beaten = PF.dominators(points, front, "run_id", IDS)
+    beaten = PF.dominators(points, points, "run_id", IDS)
     return points.join(beaten, "run_id", "left").select(
-        "run_id", F.array_join(F.col("dominated_by").cast("array<string>"), ",").alias("dominated_by"),
-        F.col("dominated_by").isNull().alias("on_front"))
+        "run_id", F.coalesce("dominators", F.lit(0)).alias("dominators"), "witness", F.col("witness").isNull().alias("on_front"))
 
 
 @query("j12_part_front", """SELECT p_partkey, p_size, p_retailprice FROM part b WHERE NOT EXISTS (SELECT 1 FROM part a WHERE a.p_size >= b.p_size AND a.p_retailprice >= b.p_retailprice
@@ -185,8 +183,9 @@ def e50(spark, d):
 
 
 @query("e21_explanation", f"""{SCORE}, px AS (SELECT run_id, arg_max(t, value) AS pt, 'm' AS o FROM cv GROUP BY 1),
- e AS (SELECT o AS objective_id, max(run_id) FILTER (rank = 1) AS leader, max(run_id) FILTER (rank = 2) AS runner_up, max(v) FILTER (rank = 1) AS a, max(v) FILTER (rank = 2) AS b,
-  max(s) FILTER (rank = 1) AS x, max(s) FILTER (rank = 2) AS y FROM sc JOIN rk USING (run_id) WHERE rank <= 2 GROUP BY 1)
+ z AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY s DESC NULLS LAST, rank) AS place FROM sc JOIN rk USING (run_id) WHERE rank <= 2),
+ e AS (SELECT o AS objective_id, max(run_id) FILTER (place = 1) AS leader, max(run_id) FILTER (place = 2) AS runner_up, max(v) FILTER (place = 1) AS a, max(v) FILTER (place = 2) AS b,
+  max(s) FILTER (place = 1) AS x, max(s) FILTER (place = 2) AS y FROM z GROUP BY 1)
  SELECT objective_id, leader, runner_up, round(x, 6) + 0.0 AS leader_score, round(y, 6) + 0.0 AS runner_up_score, round(greatest(a, b) - least(a, b), 6) AS difference,
  round((greatest(a, b) - least(a, b)) / abs(least(a, b)), 6) AS relative_difference, printf('%s: variant %d measured %.4f against %.4f for variant %d.', objective_id, leader, a, b, runner_up) AS statement FROM e""")
 def e21(spark, d):
