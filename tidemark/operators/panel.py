@@ -265,14 +265,15 @@ def detect_events(
     z: float = 1.5,
     min_distance: int = 2,
     max_events: int = 20,
+    width: float | None = None,
 ) -> DataFrame:
     """Response peaks and large transitions with their top three regions, best ``max_events``."""
     both = magnitude.select(*ROW, F.lit("response_peak").alias("event_type"), "value").unionByName(
         change.select(*ROW, F.lit("large_transition").alias("event_type"), "value")
     )
-    peaks = local_peaks(both, z, ["run_id", "event_type"])
+    peaks = local_peaks(both, z, ["run_id", "event_type"], width)
     # Two local peaks are never adjacent, so a distance of two or less suppresses nothing.
-    kept = suppress_close(peaks, min_distance, ["run_id", "event_type"]) if min_distance > 2 else peaks
+    kept = suppress_close(peaks, min_distance, ["run_id", "event_type"], width) if min_distance > 2 else peaks
     order = [F.col("score").desc(), F.col("event_type").desc(), F.col("row_idx")]
     best = top_k(kept, ["run_id"], order, max_events, "event_rank")
     top = top_per_row(

@@ -58,11 +58,16 @@ def _durations(ev):
     return ev.select("run_id").distinct().withColumn("duration", F.lit(DURATION))
 
 
-def _shots(ev, width=None):
+MEASURED = "measured"  # let the events decide whether runs are cut in chunks
+
+
+def _shots(ev, width=MEASURED):
+    width = chunk_width(ev, ["run_id"], "t") if width == MEASURED else width
     return I.spans_to(ev.where("kind = 'view'").select("run_id", "t", "idx", "value"), _durations(ev), width)
 
 
-def _intervals(ev, width=None):
+def _intervals(ev, width=MEASURED):
+    """All intervals; callers that keep no shots pass no width, as theirs are pruned."""
     shots = _shots(ev, width).select("run_id", F.lit("shot").alias("kind"), "idx", "start_t", "end_t", F.lit("shot").alias("label"))
     v = F.col("value")
     kinds = F.create_map(*[F.lit(x) for x in ("click", "speech", "signup", "overlay", "purchase", "cta", "error", "audio")])
@@ -119,7 +124,7 @@ def j07(spark, d):
 @query("j08_rows_over_interval", f"WITH {CV}, {SH}, {IV} SELECT iv.run_id, iv.idx, min(cv.idx) AS first_row, max(cv.idx) AS last_row FROM iv JOIN cv ON iv.run_id = cv.run_id AND iv.kind = 'audio' AND cv.t < iv.end_t AND cv.t + 2 > iv.start_t GROUP BY ALL")
 def j08(spark, d):
     ev = _events(spark, d)
-    spans = _intervals(ev).where("kind = 'audio'").select("run_id", "idx", "start_t", "end_t")
+    spans = _intervals(ev, None).where("kind = 'audio'").select("run_id", "idx", "start_t", "end_t")
     rows = ev.select("run_id", F.col("idx").alias("row_idx"), F.col("t").alias("row_start"), (F.col("t") + 2).alias("row_end"))
     hits = overlap_join(spans, rows, ["run_id"], ("start_t", "end_t"), ("row_start", "row_end"), bucket_width(spans, "start_t", "end_t"))
     return hits.groupBy("run_id", "idx").agg(F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"))
@@ -157,7 +162,7 @@ def k04(spark, d):
 def j16(spark, d):
     ev = _events(spark, d)
     shots = _shots(ev).select("run_id", "idx", "start_t")
-    speech = _intervals(ev).where("kind = 'speech'").select("run_id", F.col("start_t").alias("s"), F.col("end_t").alias("e"))
+    speech = _intervals(ev, None).where("kind = 'speech'").select("run_id", F.col("start_t").alias("s"), F.col("end_t").alias("e"))
     hit = stab_join(shots, speech, ["run_id"], "start_t", ("s", "e"), bucket_width(speech, "s", "e")).where("s < start_t")
     return hit.select("run_id", "idx", r("start_t").alias("boundary")).distinct()
 
@@ -199,7 +204,7 @@ COVER = """cl AS (SELECT run_id, kind, greatest(0, start_t) AS s, least(720, end
 @query("a18_covered_length", f"WITH {CV}, {SH}, {IV}, {COVER} SELECT run_id, round(covered, 6) AS covered FROM co WHERE kind = 'audio'")
 def a18(spark, d):
     ev = _events(spark, d)
-    audio = _intervals(ev).where("kind = 'audio'")
+    audio = _intervals(ev, None).where("kind = 'audio'")
     return I.covered_length(audio, _durations(ev), chunk_width(ev, ["run_id"], "t")).withColumn("covered", r("covered"))
 
 
@@ -288,7 +293,7 @@ def p25(spark, d):
 
 @query("p26_speech_spans", f"WITH {CV}, {SH}, {IV} SELECT run_id, round(start_t, 6) AS start_t, round(end_t, 6) AS end_t FROM iv WHERE kind = 'speech'")
 def p26(spark, d):
-    return _intervals(_events(spark, d)).where("kind = 'speech'").select("run_id", r("start_t").alias("start_t"), r("end_t").alias("end_t"))
+    return _intervals(_events(spark, d), None).where("kind = 'speech'").select("run_id", r("start_t").alias("start_t"), r("end_t").alias("end_t"))
 
 
 @query("e03_structural_markers", f"""WITH {CV}, {SH}, h AS (SELECT run_id, 'hook' AS event_type, min(start_t) AS start_t, arg_min(end_t, start_t) AS end_t, NULL AS label FROM sh GROUP BY 1),
@@ -307,7 +312,7 @@ def e03(spark, d):
 @query("e04_partition_check", f"WITH {CV}, {SH}, {IV}, c AS (SELECT run_id, start_t, start_t - lag(end_t) OVER (PARTITION BY run_id ORDER BY start_t) AS gap FROM iv WHERE kind = 'audio') SELECT run_id, round(start_t, 6) AS span_start, round(gap, 6) AS gap FROM c WHERE abs(gap) > 1e-6")
 def e04(spark, d):
     ev = _events(spark, d)
-    audio = _intervals(ev).where("kind = 'audio'").select("run_id", F.col("start_t").alias("span_start"), F.col("end_t").alias("span_end"))
+    audio = _intervals(ev, None).where("kind = 'audio'").select("run_id", F.col("start_t").alias("span_start"), F.col("end_t").alias("span_end"))
     out = I.partition_violations(audio, chunk_width(ev, ["run_id"], "t"))
     return out.select("run_id", r("span_start").alias("span_start"), r("gap").alias("gap"))
 
