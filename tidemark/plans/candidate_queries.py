@@ -336,9 +336,10 @@ def e47(spark, d):
     return out.select("candidate_id", "hit", r("cached_fitness").alias("cached_fitness"))
 
 
-@query("u05_exclude_seen", f"{E0}, {FPS} SELECT DISTINCT fp FROM fq WHERE generation >= 5 AND fp NOT IN (SELECT fp FROM fq WHERE generation < 5)")
+@query("u05_exclude_seen", f"{E0}, {FPS}, k AS (SELECT generation, printf('%s|%.6f', fp, bright + 0.0) AS fp FROM fq) SELECT DISTINCT fp FROM k WHERE generation >= 5 AND fp NOT IN (SELECT fp FROM k WHERE generation < 5)")
 def u05(spark, d):
     ev = _keyed(spark, d)
+    ev = ev.withColumn("fp", F.concat_ws("|", "fp", F.format_string("%.6f", F.col("bright") + 0.0)))
     return ev.where("generation >= 5").select("fp").distinct().join(ev.where("generation < 5").select("fp"), "fp", "left_anti")
 
 
