@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tidemark.functions.scalar import cosine
 from tidemark.operators.sequence import fold_sorted
 
+LISTS_PER_COPY = 16
 BLOCK = 512
 # Cluster distance threshold and the separation below which labels are withheld.
 DISTANCE_THRESHOLD, MIN_SEPARATION = 0.55, 0.10
@@ -131,7 +132,10 @@ def nearest_other(vectors: DataFrame, group: str, id_col: str, vec: str, cluster
             ])
         return pd.Series(out)
 
-    met = a.join(b, group).select(group, F.explode(nearest("left_rows", "right_rows")).alias("m"))
+    # Each left block goes to every right block's number, so one group is met by many tasks.
+    counts = b.groupBy(group).agg(F.max("_b_right_rows").alias("_last"))
+    a = a.join(counts, group).withColumn("_b_right_rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
+    met = a.join(b, [group, "_b_right_rows"]).select(group, F.explode(nearest("left_rows", "right_rows")).alias("m"))
     other = met.groupBy(group, F.col("m.id").alias(id_col)).agg(F.min("m.d").alias("other_distance"))
     return own.join(other, [group, id_col], "left")
 
@@ -195,5 +199,9 @@ def nearest_distance(
             out.append([{"id": x[key], "d": float(m)} for x, m in zip(cs, np.sqrt(best), strict=True)])
         return pd.Series(out)
 
-    met = grouped.join(packed, "_b").select(F.explode(nearest("_cands", "_rows")).alias("m"))
+    # A small training set is one block: copies of it, one for every few candidate lists, spread the work.
+    copies = max(1, -(-size // LISTS_PER_COPY))
+    grouped = grouped.withColumn("_s", F.pmod("_g", F.lit(copies)))
+    packed = packed.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
+    met = grouped.join(packed, ["_b", "_s"]).select(F.explode(nearest("_cands", "_rows")).alias("m"))
     return met.groupBy(F.col("m.id").alias(key)).agg(F.min("m.d").alias("distance"))
