@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import finite, pearson, safe_div
 from tidemark.operators.panel import ordered_list
 from tidemark.operators.ranks import ranked, top_k
-from tidemark.operators.sequence import ordinal
+from tidemark.operators.sequence import chunk_width, ordinal, running
 from tidemark.operators.timejoin import asof, tolerance_join
 
 PAIR = ["ref_run", "cand_run"]
@@ -294,19 +294,17 @@ def best_lag(tests: DataFrame) -> DataFrame:
 def multiplicity(tests: DataFrame, family: Sequence[str], p: str = "p_value") -> DataFrame:
     """Bonferroni and Benjamini-Hochberg adjustment over every test of a family.
 
-    Distinct p-values are counted first, so the ordered pass sees each value once.
+    Distinct p-values are counted first, so the ordered pass sees each value once; a large family
+    is passed in chunks.
     """
-    from pyspark.sql import Window
-
     family = list(family)
     counts = tests.groupBy(*family, p).agg(F.count(F.lit(1)).alias("_c"))
-    up = Window.partitionBy(*family).orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*family).orderBy(F.col(p).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum("_c").over(Window.partitionBy(*family))
-    stepped = counts.withColumn("_m", total).withColumn("_rank", F.sum("_c").over(up))
-    adjusted = stepped.withColumn(
-        "q_value", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(down))
-    )
+    total = counts.groupBy(*family).agg(F.sum("_c").alias("_m"))
+    width = chunk_width(counts, family, p)
+    stepped = running(counts, family, [p], {"_rank": ("sum", "_c")}, width).join(total, family)
+    stepped = stepped.withColumn("_q", F.col(p) * F.col("_m") / F.col("_rank"))
+    adjusted = running(stepped, family, [p], {"_low": ("min", "_q")}, width, reverse=True)
+    adjusted = adjusted.withColumn("q_value", F.least(F.lit(1.0), F.col("_low")))
     out = tests.join(adjusted.select(*family, p, "_m", "q_value"), [*family, p])
     return out.withColumn("p_bonferroni", F.least(F.lit(1.0), F.col(p) * F.col("_m"))).withColumnRenamed(
         "_m", "comparisons"

@@ -509,10 +509,16 @@ def structural_markers(
     return ended.where(F.col("end_t") > F.col("start_t"))
 
 
+SAMPLES_A_ROW = 4096
+
+
 def sample_times(durations: DataFrame, rate: float) -> DataFrame:
     """Evenly spaced mid-sample times ``(i + 0.5) / rate`` up to each run's duration."""
     count = F.greatest(F.lit(1), F.ceil(F.col("duration") * rate).cast("int"))
-    steps = durations.select("run_id", "duration", F.explode(F.sequence(F.lit(0), count - 1)).alias("step"))
+    # In two steps, so that no row holds a list that grows with the run.
+    parts = durations.select("run_id", "duration", count.alias("_n"), F.explode(F.sequence(F.lit(0), count - 1, F.lit(SAMPLES_A_ROW))).alias("_from"))
+    last = F.least(F.col("_from") + F.lit(SAMPLES_A_ROW - 1), F.col("_n") - 1)
+    steps = parts.select("run_id", "duration", F.explode(F.sequence("_from", last)).alias("step"))
     t = F.least((F.col("step") + 0.5) / F.lit(rate), F.col("duration"))
     return steps.select("run_id", "step", t.alias("t"))
 

@@ -49,7 +49,7 @@ def a46(spark, d):
     return evaluations(spark, d).where("usable").groupBy("search_id").agg(r(F.max("fitness") - F.min("fitness")).alias("spread"))
 
 
-@query("a40_dataset_hash", f"{E0}, h AS (SELECT search_id, sha256(candidate_id || '|' || printf('%.4f', fitness + 0.0)) AS h FROM ev WHERE usable), b AS (SELECT search_id, substr(h, 1, 3) AS b, sha256(string_agg(h, ',' ORDER BY h)) AS bh FROM h GROUP BY ALL) SELECT search_id, sha256(string_agg(bh, ',' ORDER BY b)) AS dataset_hash FROM b GROUP BY 1")
+@query("a40_dataset_hash", f"{E0}, h AS (SELECT search_id, sha256(candidate_id || '|' || printf('%.4f', fitness + 0.0)) AS h FROM ev WHERE usable) SELECT search_id, sha256(concat_ws('|', count(*), sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)), sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)), sum(CAST('0x' || substr(h, 31, 15) AS BIGINT)), sum(CAST('0x' || substr(h, 46, 15) AS BIGINT)))) AS dataset_hash FROM h GROUP BY 1")
 def a40(spark, d):
     ev = evaluations(spark, d).where("usable")
     return G.dataset_hash(ev, ["search_id"], [F.col("candidate_id").cast("string"), F.format_string("%.4f", F.col("fitness") + 0.0)], "candidate_id")
