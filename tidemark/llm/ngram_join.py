@@ -13,7 +13,9 @@ A document's set holds its distinct word 5-grams; two documents link at Jaccard
    share a shingle among their first ``n - ceil(0.8 n) + 1``. The union of these shingles over a
    group is its row of the matrix, kept as (shingle, group, block, sizes). A query meets the
    groups that share such a shingle and whose sizes allow the threshold.
-4. **Bound and open.** For a block the union of its whole sets is formed; if its overlap with the
+4. **Bound and open.** Each set has parity bits: those of two sets differ in no more places than
+   the sets differ in shingles, which bounds their overlap. Queries that pass this bound for some
+   member of a block go on with their whole sets. For a block the union of its whole sets is formed; if its overlap with the
    query cannot reach the threshold the block stays shut, otherwise the query is counted against
    each member. Of its links to one connected part of a block one is kept, so the components come
    out whole without all pairs of a group.
@@ -39,6 +41,7 @@ from tidemark.llm.common import Scratch, components
 WIDTH = 5
 PERCENT = 80
 BLOCK = 32
+PARITIES = 1024
 QUERIES_PER_TASK_BLOCK = 256
 ORDERS = 6
 LEADERS = 4
@@ -86,6 +89,14 @@ def unpacked(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def parities(tokens: np.ndarray) -> bytes:
+    """A bit for each of PARITIES classes of shingles: whether the set holds an odd number of them.
+
+    Two sets differ in at least as many shingles as these bits differ in places.
+    """
+    return np.packbits(np.bincount((tokens % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).tobytes()
+
+
 def needed(n: np.ndarray | int) -> np.ndarray | int:
     """Least overlap of a set of n with any set it links with."""
     return -(-PERCENT * n // 100)
@@ -110,8 +121,8 @@ def _hash_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     done.clear()
                 done.add(key)
             least = [int(mixed(tokens ^ _SALTS[i]).min().astype(np.int64)) for i in range(ORDERS)] if fresh else None
-            out.append((doc_id, key - (key >> 63 << 64), len(tokens), raw if fresh else None, least))
-        frame = pd.DataFrame(out, columns=["doc_id", "id", "n", "tokens", "least"])
+            out.append((doc_id, key - (key >> 63 << 64), len(tokens), raw if fresh else None, parities(tokens) if fresh else None, least))
+        frame = pd.DataFrame(out, columns=["doc_id", "id", "n", "tokens", "bits", "least"])
         yield frame.astype({"doc_id": "Int64", "id": "int64", "n": "int32"})
 
 
@@ -209,23 +220,52 @@ def _open_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(found, columns=["src", "dst"])
 
 
-def _opened(asks: DataFrame, blocks: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (src, dst): asks (id, comp, grp, block) against blocks (id, comp, grp, block).
+def _bound_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Queries that may link with a member of their block, by the members' parity bits."""
+    key = members = sizes = comps = bits = None
+    for pdf in batches:
+        left = []
+        for grp, block, salt, asks, doc_id, comp, n, raw in pdf.itertuples(index=False, name=None):
+            if (grp, block, salt) != key:
+                key, members, bits = (grp, block, salt), [], None
+            if not asks:
+                members.append((comp, n, raw))
+                continue
+            if bits is None:
+                comps = np.array([c for c, _, _ in members], dtype=np.int64)
+                sizes = np.array([m for _, m, _ in members], dtype=np.int64)
+                bits = np.frombuffer(b"".join(r for _, _, r in members), dtype=np.uint64).reshape(len(members), -1)
+            differ = np.bitwise_count(bits ^ np.frombuffer(raw, dtype=np.uint64)).sum(axis=1, dtype=np.int64)
+            most = np.minimum((n + sizes - differ) // 2, np.minimum(n, sizes))
+            if ((comps != comp) & links(most, n, sizes)).any():
+                left.append((doc_id, comp, grp, block))
+        if left:
+            yield pd.DataFrame(left, columns=["id", "comp", "grp", "block"])
+
+
+def _laid_out(asks: DataFrame, blocks: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """Members of each block, then the queries to it, each with columns of its set.
 
     A block with many queries is dealt to several tasks, each with the block's members.
     """
     wanted = asks.groupBy("grp", "block").count().select("grp", "block", F.ceil(F.col("count") / QUERIES_PER_TASK_BLOCK).cast("int").alias("salts"))
     members = blocks.join(wanted, ["grp", "block"]).select("grp", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("asks"), "id", "comp")
     queries = asks.join(wanted, ["grp", "block"]).select("grp", "block", F.pmod(F.xxhash64("id"), "salts").cast("int").alias("salt"), F.lit(True).alias("asks"), "id", "comp")
-    rows = members.union(queries).join(sets.select("id", "tokens"), "id").select("grp", "block", "salt", "asks", "id", "comp", "tokens")
-    return (
-        rows.repartition("grp", "block", "salt")
-        .sortWithinPartitions("grp", "block", "salt", "asks", "id")
-        .mapInPandas(_open_blocks, "src long, dst long")
-    )
+    rows = members.union(queries).join(sets.select("id", *columns), "id").select("grp", "block", "salt", "asks", "id", "comp", *columns)
+    return rows.repartition("grp", "block", "salt").sortWithinPartitions("grp", "block", "salt", "asks", "id")
+
+
+def _opened(asks: DataFrame, blocks: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (src, dst): asks (id, comp, grp, block) against blocks (id, comp, grp, block).
+
+    First the short parity bits meet and rule out most queries; whole sets move for the others.
+    """
+    left = _laid_out(asks, blocks, sets, ["n", "bits"]).mapInPandas(_bound_blocks, "id long, comp long, grp long, block int")
+    left = scratch.store(left.distinct())
+    return _laid_out(left, blocks, sets, ["tokens"]).mapInPandas(_open_blocks, "src long, dst long")
 
 
-def _leader_links(sets: DataFrame) -> DataFrame:
+def _leader_links(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """Links of each class with a few classes that have the same minimum in some order."""
     minima = sets.select("id", F.posexplode("least").alias("hash_order", "value"))
     drawn = [F.min(F.struct(F.xxhash64("id", F.lit(j)).alias("draw"), "id"))["id"].alias(f"l{j}") for j in range(LEADERS)]
@@ -240,7 +280,7 @@ def _leader_links(sets: DataFrame) -> DataFrame:
         .where(F.col("count") >= AGREEING).drop("count")
     )
     blocks = asks.select(F.col("grp").alias("id"), F.col("grp").alias("comp"), "grp", "block").distinct()
-    return _opened(asks, blocks, sets)
+    return _opened(asks, blocks, sets, scratch)
 
 
 def _membership(ids: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
@@ -305,10 +345,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     hashed = scratch.buckets(
-        docs.select("doc_id", "text").mapInPandas(_hash_sets, "doc_id long, id long, n int, tokens binary, least array<long>"), "id"
+        docs.select("doc_id", "text").mapInPandas(_hash_sets, "doc_id long, id long, n int, tokens binary, bits binary, least array<long>"), "id"
     )
-    sets = hashed.where("tokens IS NOT NULL").select("id", "tokens", "least")
-    stars = scratch.store(_leader_links(sets))
+    sets = hashed.where("tokens IS NOT NULL").select("id", "n", "tokens", "bits", "least")
+    stars = scratch.store(_leader_links(sets, scratch))
     ids = hashed.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("rep"))
     member = scratch.store(_membership(ids.select("id"), components(stars, scratch), sets))
     total = hashed.where("tokens IS NOT NULL").agg(F.sum("n")).first()[0] or 0
@@ -319,7 +359,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     )
     asks = scratch.store(_matrix_candidates(sets, member, often, scratch))
     blocks = member.join(asks.select("grp", "block").distinct(), ["grp", "block"]).select("id", "comp", "grp", "block")
-    edges = scratch.store(_opened(asks, blocks, sets).union(stars).distinct())
+    edges = scratch.store(_opened(asks, blocks, sets, scratch).union(stars).distinct())
     found = components(edges, scratch)
     reps = ids.join(found, "id", "left").select("id", "rep", F.coalesce("component_id", "id").alias("root"))
     least = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
