@@ -14,6 +14,7 @@ doc_id, sorted, and only the first row of a range is also sent to the range befo
 
 from __future__ import annotations
 
+import base64
 import re
 from collections.abc import Iterator
 
@@ -25,8 +26,8 @@ from xxhash import xxh3_64_intdigest
 
 CELLS = 48  # of a fingerprint, a multiple of the hashes
 HASHES = 3
-WORDS = 6  # longest run of words in a paragraph piece
-RANGE_BYTES = 8 << 20
+WORDS = 8  # longest run of words in a paragraph piece
+RANGE_BYTES = 2 << 20
 SENTENCES = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
 _K = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
 _MULTIPLIERS = np.array(_K[:HASHES], dtype=np.uint64)[:, None]
@@ -116,12 +117,13 @@ class Sketch:
         return cells / HASHES * np.log(cells / empty) if empty else 2.0 * cells
 
     def text(self, n: int) -> str:
-        """Hexadecimal form: number of digests, then the cells."""
-        return f"{n:08x}" + self.count.astype("<i4").tobytes().hex() + self.sum.astype("<u8").tobytes().hex() + self.check.astype("<u8").tobytes().hex()
+        """The number of digests in hexadecimal, then the cells in base 64."""
+        raw = self.count.astype("<i4").tobytes() + self.sum.astype("<u8").tobytes() + self.check.astype("<u8").tobytes()
+        return f"{n:08x}" + base64.b64encode(raw).decode()
 
     @classmethod
     def read(cls, text: str) -> tuple[int, Sketch]:
-        raw = bytes.fromhex(text[8:])
+        raw = base64.b64decode(text[8:])
         cells = len(raw) // 20
         out = cls(cells)
         out.count = np.frombuffer(raw, "<i4", cells).copy()
@@ -137,10 +139,11 @@ def difference(a: np.ndarray, b: np.ndarray, first: tuple[Sketch, Sketch] | None
         pair = first if first and cells == CELLS else (Sketch(cells, a), Sketch(cells, b))
         left = pair[0].minus(pair[1])
         held = left.held()
-        # Far above 0.82 digests a cell peeling cannot succeed and is not begun.
-        if held < 1.1 * cells and (found := left.peel()) is not None:
+        # Above 0.82 digests a cell peeling cannot succeed and is not begun; with few digests a cell
+        # it takes few rounds.
+        if held < 0.9 * cells and (found := left.peel()) is not None:
             return found
-        cells = HASHES * max(int(held * 1.5 / HASHES) + 1, 2 * cells // HASHES)
+        cells = HASHES * max(int(held * 2.5 / HASHES) + 1, 2 * cells // HASHES)
 
 
 def likeness(a: np.ndarray, b: np.ndarray, first: tuple[Sketch, Sketch] | None = None) -> float:
