@@ -87,7 +87,8 @@ def sharded(docs: DataFrame, shards: int) -> DataFrame:
     inside = keys.join(full.select("range"), "range")
     large = inside.where(F.col("bytes") > aim).select("range", "key", F.greatest(F.lit(1), F.when(F.col("bytes") * shards > total, F.ceil(F.col("bytes") / aim)).otherwise(1)).cast("int").alias("pieces"))
     cuts = inside.where(F.col("bytes") <= aim).groupBy("range").agg(F.percentile_approx("key", [i / SPLIT_KEYS for i in range(1, SPLIT_KEYS)], 1000).alias("cuts"))
-    placed = rows.join(large, ["range", "key"], "left").join(cuts, "range", "left").select(
+    # Large keys exceed the aimed size and cuts are a row for each range: at most ``ranges`` rows each.
+    placed = rows.join(F.broadcast(large), ["range", "key"], "left").join(F.broadcast(cuts), "range", "left").select(
         "doc_id", "size", "text_crc32", "key", "range",
         F.when(F.col("pieces").isNotNull(), F.col("key")).alias("own_key"),
         F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int"))
