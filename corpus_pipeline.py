@@ -27,22 +27,32 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document whose id names its near-duplicate component."""
-    found = ngram_join.jaccard_components(docs)
-    keep = found.where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*docs.columns)
+    """Keep one row of each near-duplicate component: of the smallest id, of equal ids by the text's hash.
+
+    Components are found and chosen by row and not by id, so a null or repeated id loses no text
+    and keeps no copy. A row with an id is preferred to one without. Texts without a word link
+    with nothing and all stay.
+    """
+    rows = Scratch(spark).store(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = ngram_join.jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("text"), F.col("_row"))
+    order = rows.select("_row", order.alias("_order"))
+    keep = found.select(F.col("doc_id").alias("_row"), "component_id").join(order, "_row")
+    keep = keep.groupBy("component_id").agg(F.min_by("_row", "_order").alias("_row")).select("_row")
+    return rows.join(keep, "_row", "left_semi").select(*docs.columns)
 
 
 def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents until 85 % of the expected words are of high quality, 15 % of low.
 
-    No document is dropped: rates are at least 1, their fractions settled by a hash of the id.
+    No row is dropped: each carries its own rate, at least 1, whose fraction is settled by a hash
+    of the id, or of the text where the id is null.
     """
     quality = F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
     labelled = table(spark, sf_dir, "labels").select("doc_id", quality.alias("domain"))
-    rates = mixing.mixed(docs, labelled, {"high": 0.85, "low": 0.15}, keep_all=True)
-    times = rates.groupBy("doc_id").agg(F.max(mixing.copies(F.col("rate"), F.col("doc_id"))).alias("_times"))
-    return docs.join(times, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    rates = mixing.mixed(docs, labelled, {"high": 0.85, "low": 0.15}, keep_all=True, carried=docs.columns)
+    times = mixing.copies(F.col("rate"), F.coalesce(F.col("doc_id"), F.xxhash64("text")))
+    return rates.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,19 @@ def test_an_empty_table_passes_all_stages(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_null_and_repeated_ids_lose_no_text_and_keep_no_copy(spark, tmp_path):
+    word = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [
+        (None, word("a")), (None, word("a")), (None, word("b")), (1, word("c")), (1, word("c")), (None, word("c")),
+        (2, word("d")), (2, word("e")), (3, word("e")), (3, word("f")), (4, word("d")), (4, word("g")),
+    ]
+    docs = spark.createDataFrame([(i, t, "x", "y", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    single = Scratch(spark).store(P.one_of_each_group(spark, docs, str(tmp_path)))
+    first = lambda df: sorted(((r["doc_id"], r["text"].split()[0]) for r in df.collect()), key=str)
+    want = sorted([(None, "a0"), (None, "b0"), (1, "c0"), (2, "d0"), (2, "e0"), (3, "f0"), (4, "g0")], key=str)
+    assert single.columns == docs.columns and first(single) == want
+    mixed = P.mixed_to_weights(spark, single, str(tmp_path))
+    assert mixed.columns == docs.columns and sorted(set(first(mixed)), key=str) == want

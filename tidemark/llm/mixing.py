@@ -12,6 +12,8 @@ rounds is the list of steps, not a column: a lost executor costs a recomputation
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,19 +65,21 @@ def domain_weights(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE) ->
     return names, prior, {k: ratio[i].round(6).tolist() for i, k in enumerate(names)}
 
 
-def posteriors(docs: DataFrame, names: list[str], prior: dict[str, float], ratio: dict[str, list[float]]) -> DataFrame:
-    """(doc_id, n_words, p_<i> per domain); without words the prior."""
-    out = docs.select("doc_id", n_words(F.col("text")).alias("n_words"), bucket_set(F.col("text")).alias("held"))
+def posteriors(
+    docs: DataFrame, names: list[str], prior: dict[str, float], ratio: dict[str, list[float]], carried: Sequence[str] = ("doc_id",),
+) -> DataFrame:
+    """(the columns carried, n_words, p_<i> per domain); without words the prior."""
+    out = docs.select(*carried, n_words(F.col("text")).alias("n_words"), bucket_set(F.col("text")).alias("held"))
     def log_odds(k: str) -> Column:
         weights = F.expr(f"array({', '.join(f'{x}D' for x in ratio[k])})")
         return F.aggregate("held", F.lit(prior[k]), lambda acc, b: acc + F.element_at(weights, b + 1))
 
     logs = [log_odds(k).alias(f"l_{i}") for i, k in enumerate(names)]
-    out = out.select("doc_id", "n_words", *logs)
+    out = out.select(*carried, "n_words", *logs)
     top = F.greatest(*[F.col(f"l_{i}") for i in range(len(names))]) if len(names) > 1 else F.col("l_0")
-    out = out.select("doc_id", "n_words", *[F.exp(F.col(f"l_{i}") - top).alias(f"e_{i}") for i in range(len(names))])
+    out = out.select(*carried, "n_words", *[F.exp(F.col(f"l_{i}") - top).alias(f"e_{i}") for i in range(len(names))])
     norm = sum((F.col(f"e_{i}") for i in range(1, len(names))), F.col("e_0"))
-    return out.select("doc_id", "n_words", *[(F.col(f"e_{i}") / norm).alias(f"p_{i}") for i in range(len(names))])
+    return out.select(*carried, "n_words", *[(F.col(f"e_{i}") / norm).alias(f"p_{i}") for i in range(len(names))])
 
 
 def rate_after(steps: list[list[float]], n: int, floor: float) -> Column:
@@ -109,7 +113,7 @@ def fitted_rates(table: DataFrame, n: int, targets: np.ndarray, floor: float = 0
 
 
 def mixed(
-    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], keep_all: bool = False, most: int = SAMPLE,
+    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], keep_all: bool = False, most: int = SAMPLE, carried: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
     """(doc_id, n_words, domain, p_domain, rate, posterior) of every row of ``docs`` (doc_id, text; others ignored).
 
@@ -118,13 +122,14 @@ def mixed(
     ``keep_all`` to the least number at which no domain must shrink, and then no rate falls below
     1. ``domain`` is the likeliest domain (of equal ones the first by name), ``p_domain`` its
     posterior. Null and empty texts have 0 words and the prior. Without labels all rates are 1
-    and the domain is null. Repeated rows each have their row.
+    and the domain is null. Repeated rows each have their row. ``carried`` are the columns of
+    ``docs`` that come back with each row in place of doc_id.
     """
     names, prior, ratio = domain_weights(docs, labelled, most)
     if not names:
-        return docs.select("doc_id", n_words(F.col("text")).alias("n_words"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("p_domain"), F.lit(1.0).alias("rate"), F.create_map().cast("map<string,double>").alias("posterior"))
+        return docs.select(*carried, n_words(F.col("text")).alias("n_words"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("p_domain"), F.lit(1.0).alias("rate"), F.create_map().cast("map<string,double>").alias("posterior"))
     n = len(names)
-    table = Scratch(docs.sparkSession).store(posteriors(docs, names, prior, ratio))
+    table = Scratch(docs.sparkSession).store(posteriors(docs, names, prior, ratio, carried))
     now = table.agg(*[F.sum(F.col("n_words") * F.col(f"p_{i}")).alias(f"s_{i}") for i in range(n)]).first()
     present = np.array([now[f"s_{i}"] or 0.0 for i in range(n)])
     share = np.array([weights.get(k, 0.0) for k in names])
@@ -136,7 +141,7 @@ def mixed(
     best = F.greatest(*[F.struct(F.col(f"p_{i}").alias("p"), F.lit(-i).alias("turn"), F.lit(k).alias("name")) for i, k in enumerate(names)]) if n > 1 else F.struct(F.col("p_0").alias("p"), F.lit(names[0]).alias("name"))
     posterior = F.create_map(*[x for i, k in enumerate(names) for x in (F.lit(k), F.col(f"p_{i}"))])
     return table.select(
-        "doc_id", "n_words", best["name"].alias("domain"), best["p"].alias("p_domain"),
+        *carried, "n_words", best["name"].alias("domain"), best["p"].alias("p_domain"),
         rate_after(steps, n, 1.0 if keep_all else 0.0).alias("rate"), posterior.alias("posterior"),
     )
 
