@@ -6,9 +6,12 @@ id, so a filter on the id prunes folders; manifests and the run index are JSON l
 
 from __future__ import annotations
 
+import hashlib
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,8 @@ MEDIA_TYPES = {
     "table": ("parquet",),
 }
 MAX_FILE_BYTES = 4_000_000_000
-MAX_HASH_BYTES = 100_000_000
+RECORD_BYTES = 100_000_000  # larger files are hashed in pieces
+PIECE_BYTES = 1 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -95,15 +99,55 @@ class Store:
         )
 
 
-def scan_files(spark: SparkSession, pattern: str, max_bytes: int = MAX_FILE_BYTES, max_hashed: int = MAX_HASH_BYTES) -> DataFrame:
+def _streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """SHA-256 of files below file: paths (unescaped, as Spark lists them), read in pieces."""
+    for pdf in batches:
+        found = []
+        for path in pdf["path"]:
+            digest = hashlib.sha256()
+            with open("/" + path.removeprefix("file:").lstrip("/"), "rb") as f:
+                while piece := f.read(PIECE_BYTES):
+                    digest.update(piece)
+            found.append(digest.hexdigest())
+        yield pdf[["path"]].assign(sha256=found)
+
+
+def _digest_by_hadoop(spark: SparkSession, path: str) -> str:
+    """SHA-256 of a file in a store that only Hadoop's file systems reach, streamed by the driver's JVM."""
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    conf = spark._jsc.hadoopConfiguration()
+    digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+    sink = jvm.java.security.DigestOutputStream(jvm.java.io.OutputStream.nullOutputStream(), digest)
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(where.getFileSystem(conf).open(where), sink, PIECE_BYTES, True)
+    return bytes(digest.digest()).hex()
+
+
+def scan_files(
+    spark: SparkSession, pattern: str, max_bytes: int = MAX_FILE_BYTES, max_hashed: int | None = None, record_bytes: int = RECORD_BYTES,
+) -> DataFrame:
     """Content files with media type, size verdict and SHA-256.
 
-    Contents are read only for files of at most ``max_hashed`` bytes, which fit one record; larger
-    accepted files have the verdict ``not hashed``. The length filter is pushed into the source.
+    Every file of at most ``max_bytes`` is hashed, unless the caller sets a lower ``max_hashed``;
+    accepted files above that have the verdict ``not hashed``. Files of up to ``record_bytes`` are
+    read as one record, with the length filter pushed into the source. Larger ones are streamed in
+    pieces: below file: paths one task a file, in other stores by the driver, eight at a time,
+    since Python tasks cannot open them.
     """
+    max_hashed = max_bytes if max_hashed is None else max_hashed
     files = spark.read.format("binaryFile").load(pattern)
     listed = files.select("path", "length")
-    hashed = files.where(F.col("length") <= max_hashed).select("path", F.sha2("content", 256).alias("sha256"))
+    hashed = files.where(F.col("length") <= min(record_bytes, max_hashed)).select("path", F.sha2("content", 256).alias("sha256"))
+    large = [r["path"] for r in listed.where((F.col("length") > record_bytes) & (F.col("length") <= min(max_bytes, max_hashed))).collect()]
+    local = [(p,) for p in large if p.startswith("file:")]
+    other = [p for p in large if not p.startswith("file:")]
+    if local:
+        paths = spark.sparkContext.parallelize(local, len(local)).toDF("path string")
+        hashed = hashed.unionByName(paths.mapInPandas(_streamed, "path string, sha256 string"))
+    if other:
+        with ThreadPoolExecutor(8) as pool:
+            digests = list(pool.map(lambda p: _digest_by_hadoop(spark, p), other))
+        hashed = hashed.unionByName(spark.createDataFrame(list(zip(other, digests, strict=True)), "path string, sha256 string"))
     ext = F.lower(F.element_at(F.split("path", r"\."), -1))
     media = F.coalesce(*[F.when(ext.isin(list(x)), F.lit(name)) for name, x in MEDIA_TYPES.items()])
     verdict = (
