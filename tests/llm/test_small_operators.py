@@ -140,6 +140,26 @@ def test_tree_matching_is_the_largest_ordered_match():
     assert extraction.matching(a, b) == (4, [(1, 0), (2, 2)])
 
 
+def test_an_article_after_many_blocks_is_found():
+    page = "<body><div>" + "".join(f"<div><a>link {i}</a></div>" for i in range(900)) + "<article><p>Head {0}<p>" + "text {0} " * 50 + "</article></div>"
+    for wrapper in (None, extraction.learned([page.format(k) for k in "abcd"])):
+        assert extraction.extracted(page.format("z"), wrapper) == "Head z\n" + " ".join(["text z"] * 50)
+
+
+def test_long_lists_match_as_short_ones(monkeypatch):
+    rng = random.Random(7)
+    tree = lambda depth: (rng.choice("ab"), tuple(tree(depth - 1) for _ in range(rng.randint(0, 6))) if depth else (), None)
+    for _ in range(60):
+        a, b = (("r", tuple(tree(2) for _ in range(rng.randint(0, 25))), None) for _ in range(2))
+        monkeypatch.setattr(extraction, "CELLS", 160_000)
+        size = extraction.matching(a, b)[0]
+        whole = {(i, j): extraction.matching(x, y)[0] for i, x in enumerate(a[1]) for j, y in enumerate(b[1])}
+        monkeypatch.setattr(extraction, "CELLS", 12)
+        got, pairs = extraction.matching(a, b)
+        assert got == size == 1 + sum(whole[p] for p in pairs)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+
+
 def test_deep_and_broken_pages():
     assert extraction.extracted("<div>" * 3000 + "deep" + "</div>" * 10, None) == "deep"
     assert extraction.extracted("a < b <p>c</q></div>d<!-- x", None) == "a < b\nc d".replace("c d", "cd")

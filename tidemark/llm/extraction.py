@@ -17,8 +17,9 @@ from __future__ import annotations
 import html as html_text
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from tidemark.llm.urls import host_of
 
 PAGES = 8  # of a host that its wrapper is learned from
 DEEPEST = 200  # levels; what is nested deeper counts as part of the last
-SKELETON = 400  # children of a node that are aligned; the text of all counts
+CELLS = 160_000  # pairs of children that one table of the alignment holds; longer lists are halved
 CONSTANT_IN = 4  # pages of a host from which on blocks that all repeat are template
 LEAVES = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dd", "dt", "pre", "blockquote", "table", "figure", "figcaption", "address", "hr"}
 SKIPPED = {"script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "head", "title", "select", "textarea", "button"}
@@ -129,7 +130,7 @@ def outline(node: Node) -> tuple:
 
     if not node.junk:
         gather(node)
-    return (node.label, tuple(kids[:SKELETON]), node)
+    return (node.label, tuple(kids), node)
 
 
 def blocks_of(node: Node, junk: bool = False) -> list[str]:
@@ -173,6 +174,8 @@ def matching(a: tuple, b: tuple) -> tuple[int, list[tuple[int, int]]]:
     if a[0] != b[0]:
         return 0, []
     rows, columns = len(a[1]), len(b[1])
+    if rows * columns > CELLS:
+        return _long_matching(a[1], b[1])
     best = [[0] * (columns + 1) for _ in range(rows + 1)]
     won = [[0] * columns for _ in range(rows)]
     for i in range(rows):
@@ -191,6 +194,75 @@ def matching(a: tuple, b: tuple) -> tuple[int, list[tuple[int, int]]]:
     return best[rows][columns] + 1, pairs[::-1]
 
 
+def _long_matching(a: tuple, b: tuple) -> tuple[int, list[tuple[int, int]]]:
+    """As ``matching``, for long lists of children: whole, in memory that grows with their length.
+
+    Children of equal shape are matched once, a row of the table is one vector, and beyond
+    ``CELLS`` pairs the first list is halved where the best scores from both ends meet.
+    """
+    ids: dict[tuple, int] = {}
+    seen: dict[int, tuple] = {}
+
+    def shape(t: tuple) -> int:
+        return ids.setdefault((t[0], tuple(map(shape, t[1]))), len(ids))
+
+    left, right = ([shape(k) for k in side] for side in (a, b))
+    for sides, trees in ((left, a), (right, b)):
+        seen |= dict(zip(sides, trees, strict=True))
+    kinds = sorted(set(right))
+    place = np.searchsorted(kinds, right)
+    by_label: dict[str, list[int]] = {}
+    for i, k in enumerate(kinds):
+        by_label.setdefault(seen[k][0], []).append(i)
+    worth: dict[int, np.ndarray] = {}
+
+    def won(i: int) -> np.ndarray:
+        """Match sizes of the i-th child of a with every kind of b's children."""
+        if left[i] not in worth:
+            row = np.zeros(len(kinds), dtype=np.int32)
+            for k in by_label.get(a[i][0], ()):
+                row[k] = matching(a[i], seen[kinds[k]])[0]
+            worth[left[i]] = row
+        return worth[left[i]]
+
+    def scores(order: Iterable[int], at: np.ndarray) -> Iterator[np.ndarray]:
+        """Best totals of the children so far with every prefix of b's children ``at``."""
+        best = np.zeros(len(at) + 1, dtype=np.int64)
+        for i in order:
+            grown = np.maximum(best[1:], best[:-1] + won(i)[at])
+            best = np.concatenate(([0], np.maximum.accumulate(grown)))
+            yield best
+
+    pairs: list[tuple[int, int]] = []
+    total = 0
+    stack = [(0, len(a), 0, len(b))]
+    while stack:
+        top, end, first, last = stack.pop()
+        rows, columns = end - top, last - first
+        if not rows or not columns:
+            continue
+        at = place[first:last]
+        if rows * columns > CELLS and rows > 1:
+            middle = top + rows // 2
+            *_, upper = scores(range(top, middle), at)
+            *_, lower = scores(range(end - 1, middle - 1, -1), at[::-1])
+            cut = first + int(np.argmax(upper + lower[::-1]))
+            stack += [(top, middle, first, cut), (middle, end, cut, last)]
+            continue
+        best = [np.zeros(columns + 1, dtype=np.int64), *scores(range(top, end), at)]
+        i, j = rows, columns
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                total += int(best[i][j] - best[i - 1][j - 1])
+                pairs.append((top + i - 1, first + j - 1))
+                i, j = i - 1, j - 1
+    return total + 1, sorted(pairs)
+
+
 def _size(tree: tuple) -> int:
     return sum(map(len, blocks_of(tree[2])))
 
