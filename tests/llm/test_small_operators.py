@@ -285,6 +285,21 @@ def test_hosts_paths_and_rules(spark):
     assert urls.judged(spark.createDataFrame([], "page_id long, url string, html string"), URL_RULES).count() == 0
 
 
+def test_rare_words_and_tokens_count_as_common_ones(spark, monkeypatch):
+    html = "news news news shop shop telecommunications garden flower flower river"
+    names = ["telecommunicationsnews", "flowershop", "gardenriver", "rivernews", "shop1garden"]
+    rows = [(i, f"http://{n}.com/{w}/x{i % 3}", html) for i, (n, w) in enumerate((n, w) for n in names for w in ("sale", "sport", "art"))]
+    rows += [(50 + i, f"http://{n}.net/fr/{w}/{w}", html) for i, (n, w) in enumerate((n, w) for n in names for w in ("casino", "win", "sale"))]
+    rows += [(90, "http://flowershop.org/casino", html), (91, "http://telecommunicationsnews.org/art/win", html), (90, "http://flowershop.org/casino", html), (92, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    found = lambda: sorted((r["page_id"], round(r["score"], 9), r["verdict"], r["tokens"]) for r in urls.judged(pages, URL_RULES).collect())
+    whole = found()
+    assert next(t for i, *_, t in whole if i == 91)[:2] == ["h:telecommunications", "h:news"]
+    monkeypatch.setattr(urls, "WORDS", 2)
+    monkeypatch.setattr(urls, "TOKENS", 3)
+    assert len(whole) == len(rows) and found() == whole
+
+
 def test_segmentation_is_the_cheapest_split():
     import itertools
 
