@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, extraction, fingerprint, langid, metric_join, mixing, ngram_join, sharding, toxicity, urls
+from tidemark.llm import bpe, divergence, extraction, fingerprint, langid, metric_join, mixing, ngram_join, sharding, toxicity, urls
 from tidemark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,49 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
     index = learned_toxicity(docs, table(spark, d, "labels"))
     found = docs.select("doc_id", held_out().alias("held_out"), toxicity.scored(F.col("text"), index).alias("found"))
     return found.select("doc_id", "held_out", "found.score", "found.predicted", "found.evidence")
+
+
+@query("op13_source_divergence", r"""
+WITH d AS (
+    SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+    FROM documents
+), words AS (
+    SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+    SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT rid) >= 30
+), sizes AS (
+    SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), grp AS (
+    SELECT DISTINCT lang, source FROM d
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term
+), totals AS (
+    SELECT lang, source, sum(n) AS total FROM counts GROUP BY lang, source
+), share AS (
+    SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(t.total, 0) + 5 * s.v) AS p
+    FROM grp g JOIN kept k USING (lang) JOIN sizes s USING (lang)
+    LEFT JOIN totals t ON t.lang = g.lang AND t.source = g.source
+    LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), lang_share AS (
+    SELECT x.lang, x.term, 1 + (1000000000::HUGEINT * (x.n + 5)) // (t.total + 5 * s.v) AS q
+    FROM (SELECT lang, term, sum(n) AS n FROM counts GROUP BY lang, term) x
+    JOIN (SELECT lang, sum(total) AS total FROM totals GROUP BY lang) t USING (lang) JOIN sizes s USING (lang)
+), distance AS (
+    SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+    FROM share a JOIN share b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), found AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+    FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN distance x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+    UNION ALL
+    SELECT s.lang, s.source, 'term', s.term, (s.p - l.q)::BIGINT FROM share s JOIN lang_share l USING (lang, term) WHERE s.n > 0 AND s.p > l.q
+), ranked AS (
+    SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM found
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+""")
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    """Divergence of every source from the others of its language and its most typical terms."""
+    return divergence.divergences(table(spark, d, "documents"))
