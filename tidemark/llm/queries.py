@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, divergence, extraction, fingerprint, langid, metric_join, mixing, ngram_join, sharding, toxicity, urls
+from tidemark.llm import bpe, conversation, divergence, extraction, fingerprint, langid, metric_join, mixing, ngram_join, sharding, toxicity, urls
 from tidemark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,6 +122,12 @@ def op9(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.score", "found.predicted", "found.evidence")
 
 
+@query("op11_conversation_repair")
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    """Every conversation, damaged by a fixed draw, with its faults and its cheapest repair."""
+    return conversation.summaries(conversation.repaired(conversation.damaged(table(spark, d, "conversations"))))
+
+
 @query("op13_source_divergence", r"""
 WITH d AS (
     SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
