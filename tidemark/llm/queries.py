@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, conversation, divergence, extraction, fingerprint, langid, metric_join, mixing, ngram_join, sharding, toxicity, urls
+from tidemark.llm import bpe, conversation, divergence, extraction, fingerprint, langid, metric_join, mixing, ngram_join, sharding, suffix_dedup, toxicity, urls
 from tidemark.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,16 @@ def op11(spark: SparkSession, d: str) -> DataFrame:
     return conversation.summaries(conversation.repaired(conversation.damaged(table(spark, d, "conversations"))))
 
 
+@query("op12_suffix_dedup")
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without the 50-byte strings that a smaller doc_id has."""
+    found = suffix_dedup.without_repeats(table(spark, d, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, x: total + x["stop"] - x["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 @query("op13_source_divergence", r"""
 WITH d AS (
     SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
