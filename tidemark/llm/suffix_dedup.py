@@ -19,6 +19,7 @@ Nothing is collected per text but its own spans and digits, which its length bou
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 from functools import partial
 
@@ -234,8 +235,13 @@ def _owned(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Rec
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written."""
+    """Let Spark delete the shuffle files of steps whose results are written.
+
+    It does so when the driver's JVM finds their plans unused; Python hands back the plans it has
+    dropped only once a second.
+    """
     gc.collect()
+    time.sleep(2)
     spark._jvm.System.gc()
 
 
