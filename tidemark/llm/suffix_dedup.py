@@ -238,11 +238,12 @@ def _release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are written.
 
     It does so when the driver's JVM finds their plans unused; Python hands back the plans it has
-    dropped only once a second.
+    dropped within a second or two.
     """
     gc.collect()
-    time.sleep(2)
-    spark._jvm.System.gc()
+    for _ in range(3):
+        time.sleep(1.5)
+        spark._jvm.System.gc()
 
 
 def _kept(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
