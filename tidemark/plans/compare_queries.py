@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import r
 from tidemark.functions.stats import pearson_p
 from tidemark.operators import compare as C
+from tidemark.operators import comparison as V
 from tidemark.operators import panel as P
 from tidemark.operators.sequence import chunk_width
 from tidemark.operators.timejoin import covering, interpolate, nearest, tolerance_join
@@ -283,6 +284,139 @@ def e07(spark, d):
                       F.array_join(F.col("top_region_ids").cast("array<string>"), ",").alias("top_region_ids"))
 
 
+# Linear alignment: N runs a quarter of a month late and is interpolated, R an eighth and is taken as observed.
+NEAR, GAP = 0.13, 1.5
+LA = f"""rw AS (SELECT DISTINCT run_id, row_idx, t + CASE run_id WHEN 'N' THEN 0.25 WHEN 'R' THEN 0.125 ELSE 0 END AS t FROM sp),
+ tg AS (SELECT a.run_id AS ref_run, c.cand_run, a.row_idx AS ref_row, a.t FROM rw a JOIN (SELECT DISTINCT run_id AS cand_run FROM rw WHERE run_id <> 'A') c ON a.run_id = 'A'),
+ tl AS (SELECT tg.*, b.row_idx AS l_row, b.t AS l_t FROM tg ASOF LEFT JOIN rw b ON b.run_id = tg.cand_run AND tg.t >= b.t),
+ th AS (SELECT tl.*, b.row_idx AS h_row, b.t AS h_t FROM tl ASOF LEFT JOIN rw b ON b.run_id = tl.cand_run AND tl.t <= b.t),
+ tn AS (SELECT *, coalesce(t - l_t <= {NEAR}, false) AS nl, coalesce(h_t - t <= {NEAR}, false) AS nh FROM th),
+ la AS (SELECT ref_run, cand_run, ref_row, t, CASE WHEN nl OR NOT nh THEN l_row ELSE h_row END AS left_row, CASE WHEN nl THEN l_row ELSE h_row END AS right_row,
+  CASE WHEN nl OR nh THEN 0 ELSE (t - l_t) / (h_t - l_t) END AS weight, nl OR nh AS observed FROM tn
+  WHERE NOT (nl AND nh AND l_row <> h_row) AND (nl OR nh OR h_t - l_t <= {GAP}))"""
+LD = """ld AS (SELECT la.ref_run, la.cand_run, la.ref_row, la.t, a.unit_id, a.value AS rv, CASE WHEN observed THEN l.value ELSE l.value * (1 - weight) + h.value * weight END AS cv
+  FROM la JOIN sp a ON a.run_id = la.ref_run AND a.row_idx = la.ref_row JOIN um ON um.unit_id = a.unit_id
+  JOIN sp l ON l.run_id = la.cand_run AND l.row_idx = la.left_row AND l.unit_id = a.unit_id
+  JOIN sp h ON h.run_id = la.cand_run AND h.row_idx = la.right_row AND h.unit_id = a.unit_id WHERE NOT excluded),
+ rd AS (SELECT ref_run, cand_run, ref_row, t, sqrt(sum((cv - rv) * (cv - rv))) AS l2, sqrt(avg((cv - rv) * (cv - rv))) AS rms, count(*) AS finite_count FROM ld GROUP BY ALL)"""
+
+
+def _shifted(spark, d):
+    shift = F.when(F.col("run_id") == "N", 0.25).when(F.col("run_id") == "R", 0.125).otherwise(0.0)
+    panel = durable(ship_panel(spark, d).withColumn("t", F.col("t") + shift))
+    candidates = panel.select(F.col("run_id").alias("cand_run")).distinct().where("cand_run <> 'A'")
+    return panel, candidates.withColumn("ref_run", F.lit("A")).select("ref_run", "cand_run")
+
+
+def _linear(spark, d):
+    panel, pairs = _shifted(spark, d)
+    rows = panel.select("run_id", "row_idx", "t").distinct()
+    return panel, rows, durable(V.align(rows, pairs, V.LINEAR, NEAR, GAP).where("problem IS NULL"))
+
+
+@query("j05_linear_alignment", f"WITH {SP}, {LA} SELECT cand_run, ref_row, t, left_row, right_row, round(weight, 8) AS weight, observed FROM la")
+def j05_linear(spark, d):
+    return _linear(spark, d)[2].select("cand_run", "ref_row", "t", "left_row", "right_row", r("weight", 8).alias("weight"), "observed")
+
+
+@query("a16_linear_coverage", f"""WITH {SP}, {LA}, n AS (SELECT run_id, count(*) AS n FROM rw GROUP BY 1),
+ us AS (SELECT cand_run, count(DISTINCT x) AS used FROM (SELECT cand_run, unnest([left_row, right_row]) AS x FROM la) GROUP BY 1)
+ SELECT la.cand_run, count(*) AS aligned_samples, count(*) FILTER (NOT observed) AS interpolated_samples, any_value(a.n) AS reference_samples, any_value(b.n) AS candidate_samples,
+ min(t) AS first_time, max(t) AS last_time, round(count(*) / any_value(a.n), 8) AS reference_fraction, round(any_value(used) / any_value(b.n), 8) AS candidate_fraction
+ FROM la JOIN us USING (cand_run) JOIN n a ON a.run_id = ref_run JOIN n b ON b.run_id = la.cand_run GROUP BY la.cand_run""")
+def a16_linear(spark, d):
+    _, rows, aligned = _linear(spark, d)
+    fractions = [r(c, 8).alias(c) for c in ("reference_fraction", "candidate_fraction")]
+    return V.coverage(aligned, rows).drop("ref_run", "reference_fraction", "candidate_fraction").join(
+        V.coverage(aligned, rows).select("cand_run", *fractions), "cand_run")
+
+
+@query("a13_linear_row_differences", f"""WITH {SP}, {UM}, {LA}, {LD}
+ SELECT cand_run, ref_row, t, round(l2, 6) AS l2, round(rms, 6) AS rms, finite_count FROM rd""")
+def a13_linear(spark, d):
+    panel, _, aligned = _linear(spark, d)
+    cells = panel.join(unit_map(spark, d).where("NOT excluded").select("unit_id"), "unit_id", "left_semi")
+    out = C.row_differences(V.difference(aligned, cells))
+    return out.select("cand_run", "ref_row", "t", r("l2").alias("l2"), r("rms").alias("rms"), "finite_count")
+
+
+# A manifest for each brand: every field of the gate from counts of its parts, nulls included.
+MANIFEST = {
+    "synthetic_status": "k % 11 = 0", "model_fingerprint": "concat('m', CAST(c % 2 AS STRING))", "preprocessing_config": "CASE WHEN k % 4 > 0 THEN CAST(k % 4 AS STRING) END",
+    "compatibility_patches": "CASE WHEN s > 49 THEN 'p' END", "surface_space": "'fs5'", "vertex_count": "CAST(s AS BIGINT)", "hemisphere_order": "'left,right'",
+    "hemisphere_ranges": "concat('0,', CAST(s AS STRING))", "prediction_semantics": "'response'", "prediction_units": "CASE WHEN k % 3 = 0 THEN 'z' END",
+    "prediction_normalization": "CASE WHEN c % 3 = 0 THEN 'unit' ELSE 'none' END", "includes_subcortex": "k % 2 = 0", "medial_wall_handling": "'kept'",
+    "tr_seconds": "1.0 + (k % 2) / 2.0", "output_is_stimulus_aligned": "c % 2 = 0", "hemodynamic_offset_seconds": "5.0", "hemodynamic_offset_applied_to_raw": "false",
+    "analytics_schema": "1", "analytics_version": "CAST(c % 4 AS STRING)", "analytics_aggregation": "'mean'", "atlas_name": "'a'", "atlas_version": "'1'",
+    "atlas_surface": "'fs5'", "ordered_regions": "CAST(k % 2 AS STRING)", "stimulus_sha256": "sha2_of_size",
+}
+LISTED = ("run_id", "stimulus_sha256", *(f for f in V.SAME if f in MANIFEST))
+_SQL_MANIFEST = ", ".join(f"{e.replace('sha2_of_size', 'sha256(CAST(s AS STRING))')} AS {f}" for f, e in MANIFEST.items())
+_SQL_FAILED = ", ".join(
+    f"CASE WHEN {'a.' + f + ' IS NOT DISTINCT FROM b.' + f if f in V.OTHER else 'a.' + f + ' IS DISTINCT FROM b.' + f} THEN '{f}' END" for f in LISTED)
+
+
+def _manifests(spark, d):
+    facts = table(spark, d, "part").groupBy(F.col("p_brand").alias("run_id")).agg(
+        F.min("p_partkey").alias("k"), F.countDistinct("p_type").alias("c"), F.max("p_size").alias("s"))
+    return facts.select("run_id", *[F.expr(e.replace("sha2_of_size", "sha2(CAST(s AS STRING), 256)")).alias(f) for f, e in MANIFEST.items()])
+
+
+@query("j15_gate_report", f"""WITH g AS (SELECT p_brand AS run_id, min(p_partkey) AS k, count(DISTINCT p_type) AS c, max(p_size) AS s FROM part GROUP BY 1),
+ ma AS (SELECT run_id, {_SQL_MANIFEST} FROM g), rp AS (SELECT b.run_id AS cand_run, concat_ws(',', {_SQL_FAILED}) AS fields FROM ma a JOIN ma b ON a.run_id = 'Brand#1')
+ SELECT cand_run, fields = '' AS comparable, fields, {len(LISTED)} AS checks FROM rp""")
+def j15_gate(spark, d):
+    """Every brand against the first, itself included: that pair fails both must-differ rules."""
+    manifests = durable(_manifests(spark, d))
+    pairs = manifests.select(F.lit("Brand#1").alias("ref_run"), F.col("run_id").alias("cand_run"))
+    out = V.comparability_report(manifests, pairs)
+    fields = F.array_join(F.transform("issues", lambda x: x["field"]), ",")
+    return out.select("cand_run", "comparable", fields.alias("fields"), F.size("checks").alias("checks"))
+
+
+RUNS = """mf AS (SELECT l_returnflag AS run_id, sha256(CAST(sum(l_orderkey) AS STRING)) AS stimulus_sha256, CASE WHEN l_returnflag = 'R' AND count(*) > 0 THEN 'other' ELSE 'same' END AS model_fingerprint FROM lineitem GROUP BY 1)"""
+
+
+def _comparison(spark, d, method, refuse=False, gate=True):
+    panel, pairs = _shifted(spark, d)
+    facts = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("run_id")).agg(F.sum("l_orderkey").alias("k"))
+    fingerprint = F.when((F.col("run_id") == "R") & F.lit(gate), "other").otherwise("same")
+    manifests = facts.select("run_id", F.sha2(F.col("k").cast("string"), 256).alias("stimulus_sha256"), fingerprint.alias("model_fingerprint"))
+    near = NEAR if method == V.LINEAR else 0.3
+    return V.compare_variants(panel, unit_map(spark, d), pairs, manifests, method, near, GAP, max_events=10, refuse=refuse)
+
+
+SUM = """SELECT p.cand_run, p.cand_run <> 'R' AS comparable, CASE WHEN p.cand_run = 'R' THEN 'model_fingerprint' ELSE '' END AS refused_fields, aligned_samples, interpolated_samples, events, peak_rms, peak_time, windows, window_rms
+ FROM (SELECT DISTINCT run_id AS cand_run FROM sp WHERE run_id <> 'A') p LEFT JOIN
+ (SELECT cand_run, count(*) AS aligned_samples, count(*) FILTER (NOT observed) AS interpolated_samples FROM {al} WHERE cand_run <> 'R' GROUP BY 1) USING (cand_run) LEFT JOIN
+ (SELECT cand_run, count(*) AS events, round(max(rms), 6) AS peak_rms, arg_min(t, event_rank) AS peak_time FROM ev WHERE cand_run <> 'R' GROUP BY 1) USING (cand_run) LEFT JOIN
+ (SELECT cand_run, count(*) AS windows, round(max(m), 6) AS window_rms FROM (SELECT DISTINCT e.cand_run, min(a.t) AS st, max(a.t) AS en, avg(a.rms) AS m
+   FROM ev e JOIN ai a ON a.cand_run = e.cand_run AND abs(a.ix - e.ix) <= 1 WHERE e.cand_run <> 'R' GROUP BY e.cand_run, e.ix) GROUP BY 1) USING (cand_run)"""
+SUM_COLS = ("cand_run", "comparable", "refused_fields", "aligned_samples", "interpolated_samples", "events", "peak_time", "windows")
+
+
+def _summary(found):
+    return V.summary(found).select(*SUM_COLS, r("peak_rms").alias("peak_rms"), r("window_rms").alias("window_rms"))
+
+
+@query("e07_gated_comparison", f"""WITH RECURSIVE {SP}, {UM}, {AL}, {DE}, {RD}, {EVT}, ax AS (SELECT *, true AS observed FROM al) {SUM.format(al='ax')}""")
+def e07_gated(spark, d):
+    """Both candidates at once; R has another model, is refused before the panel is read and keeps its row."""
+    return _summary(_comparison(spark, d, V.EXACT))
+
+
+@query("e07_linear_comparison", f"""WITH RECURSIVE {SP}, {UM}, {LA}, {LD}, {EVT} {SUM.format(al='la')}""")
+def e07_linear(spark, d):
+    return _summary(_comparison(spark, d, V.LINEAR))
+
+
+@query("e07_linear_events", f"""WITH RECURSIVE {SP}, {UM}, {LA}, {LD}, {EVT}
+ SELECT cand_run, event_rank, ix AS aligned_index, t, round(rms, 6) AS score, round(l2, 6) AS l2, finite_count FROM ev""")
+def e07_events(spark, d):
+    events = _comparison(spark, d, V.LINEAR, gate=False).events
+    return events.select("cand_run", "event_rank", "aligned_index", "t", r("rms").alias("score"), r("l2").alias("l2"), "finite_count")
+
+
 COR = """fe AS (SELECT l_returnflag AS run_id, CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS DOUBLE) AS t,
   avg(l_quantity) AS quantity, avg(l_discount) AS discount FROM lineitem GROUP BY ALL),
  me AS (SELECT run_id, t, avg(value) AS mean_value, sqrt(sum(value * value)) AS magnitude FROM sp GROUP BY ALL),
