@@ -1,5 +1,8 @@
 import math
+import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import compare as C
@@ -87,7 +90,7 @@ def test_suppression_matches_greedy(spark):
         if all(abs(i - w) >= 5 for w in want):
             want.append(i)
     assert sorted(r.row_idx for r in P.suppress_close(peaks, 5).collect()) == sorted(want)
-    assert sorted(r.row_idx for r in P.suppress_close(peaks, 5, width=7.0).collect()) == sorted(want)
+    assert sorted(r.row_idx for r in P.suppress_close(peaks, 5, span=7).collect()) == sorted(want)
 
 
 def test_constant_series_has_no_correlation(spark):
@@ -95,3 +98,31 @@ def test_constant_series_has_no_correlation(spark):
     got = {(r.region_id_a, r.region_id_b): r.correlation for r in P.correlation_matrix(s, "region_id").collect()}
     assert got[(0, 1)] is None and got[(0, 0)] is None and abs(got[(1, 1)] - 1) < 1e-12
     assert s.where(F.col("region_id") == 1).count() == 5
+
+
+def brute_suppression(rows, distance):
+    kept = np.zeros(max(r for r, _ in rows) + 1, dtype=bool)
+    for row, _ in sorted(rows, key=lambda x: (-x[1], x[0])):
+        if not kept[max(0, row - distance + 1) : row + distance].any():
+            kept[row] = True
+    return set(np.flatnonzero(kept).tolist())
+
+
+@pytest.mark.parametrize("shape", ["random", "rising", "ties", "waves"])
+@pytest.mark.parametrize("span", [9, 64])
+def test_suppression_over_span_borders(spark, shape, span):
+    rng = random.Random(3)
+    value = {"random": lambda i: rng.random(), "rising": lambda i: float(i), "ties": lambda i: float(i % 3), "waves": lambda i: math.sin(i / 9.0) + i / 1e6}[shape]
+    rows = [(i, value(i)) for i in range(400) if rng.random() < 0.8]
+    df = spark.createDataFrame([("a", i, v) for i, v in rows] + [("b", i, -v) for i, v in rows], "run_id string, row_idx int, value double")
+    got = P.suppress_close(df, 6, span=span).collect()
+    for run, sign in (("a", 1), ("b", -1)):
+        assert {r.row_idx for r in got if r.run_id == run} == brute_suppression([(i, sign * v) for i, v in rows], 6)
+
+
+def test_suppression_of_a_chain_of_a_million_peaks(spark):
+    n, distance = 1_000_000, 10
+    peaks = spark.range(n).select(F.lit("a").alias("run_id"), F.col("id").cast("int").alias("row_idx"), F.pmod(F.xxhash64("id"), F.lit(1_000_003)).cast("double").alias("value"))
+    rows = [(r.row_idx, r.value) for r in peaks.toPandas().itertuples()]
+    got = {r[0] for r in P.suppress_close(peaks, distance).select("row_idx").toPandas().itertuples(index=False)}
+    assert got == brute_suppression(rows, distance)

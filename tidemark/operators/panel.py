@@ -9,14 +9,17 @@ excluded``; its size is left to the planner, which broadcasts it only when small
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import finite, pearson, safe_div, stable_id
 from tidemark.operators.ranks import HOT_ROWS, exact_quantiles, largest_group, top_k
-from tidemark.operators.sequence import islands, neighbours
+from tidemark.operators.sequence import neighbours
+from tidemark.session import durable
 
 ROW = ["run_id", "row_idx", "t"]
 
@@ -227,35 +230,81 @@ def local_peaks(
     return near.join(stats, keys).where(peak).select(*series.columns, score.alias("score"))
 
 
-def suppress_close(
-    peaks: DataFrame, min_distance: int, keys: Sequence[str] = ("run_id",), width: float | None = None
-) -> DataFrame:
+SUPPRESS_ROWS = 100_000  # row positions that one task of the suppression spans, at least the distance
+_UNDECIDED, _KEPT, _DROPPED = 0, 1, 2
+
+
+def _settle(row: np.ndarray, value: np.ndarray, status: np.ndarray, own: np.ndarray, distance: int) -> np.ndarray:
+    """Decide what can be decided here: highest value first, ties to the earlier row.
+
+    A row is dropped next to a kept one and kept when nothing higher beside it is undecided. Rows
+    that are not ``own`` stay as they came. One pass is enough, since a decision waits for higher
+    rows only.
+    """
+    place = np.lexsort((value, row))
+    row, value, status, own = row[place], value[place], status[place].copy(), own[place]
+    low = np.searchsorted(row, row - distance, side="right")
+    high = np.searchsorted(row, row + distance, side="left")
+    for i in np.lexsort((row, -value)):
+        if not own[i] or status[i]:
+            continue
+        near = status[low[i] : high[i]]
+        if (near == _KEPT).any():
+            status[i] = _DROPPED
+            continue
+        open_rows = np.flatnonzero(near == _UNDECIDED) + low[i]
+        higher = (value[open_rows] > value[i]) | ((value[open_rows] == value[i]) & (row[open_rows] < row[i]))
+        if not higher.any():
+            same = open_rows[(open_rows != i) & (row[open_rows] == row[i]) & (value[open_rows] == value[i])]
+            status[same] = _DROPPED  # of equal rows one stays
+            status[i] = _KEPT
+    out = np.empty_like(status)
+    out[place] = status
+    return out
+
+
+def suppress_close(peaks: DataFrame, min_distance: int, keys: Sequence[str] = ("run_id",), span: int = SUPPRESS_ROWS) -> DataFrame:
     """Greedy minimum-distance suppression: higher values win, ties to the earlier row.
 
-    Rows further apart than the distance cannot affect each other, so each run is first cut
-    at such gaps; only a chain of close peaks is decided together.
+    Exact for chains of any length: row positions are cut into spans, each span decides all that
+    does not hang on an undecided higher peak beyond its border, and only peaks within the
+    distance of a border go to the neighbouring span in the next round. A round is one job over
+    what is still undecided; with values in no particular order two or three suffice, values that
+    rise over many spans need a round for each span they rise over. No task holds more than a
+    span and two distances of positions.
     """
     keys = list(keys)
-    chained = islands(
-        peaks, keys, ["t"], lambda p: F.col("row_idx") - p["row_idx"] >= min_distance, ["row_idx"], width
-    )
+    span = max(int(span), int(min_distance))
+    if min_distance <= 0:
+        return peaks
+    columns = peaks.columns
+    placed = durable(peaks.withColumn("_peak", F.monotonically_increasing_id()))
+    slim = placed.select(*keys, "_peak", F.col("row_idx").cast("long").alias("_row"), F.col("value").cast("double").alias("_value"))
+    state = slim.select("*", F.lit(_UNDECIDED).alias("_status"), F.floor(F.col("_row") / span).cast("long").alias("_span"))
+    schema = state.schema
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[int] = []
-        picked = []
-        for pos in pdf.sort_values(["value", "row_idx"], ascending=[False, True]).index:
-            row = int(pdf.at[pos, "row_idx"])
-            if all(abs(row - other) >= min_distance for other in kept):
-                kept.append(row)
-                picked.append(pos)
-        return pdf.loc[picked].drop(columns=["island"])
-
-    alone = F.count(F.lit(1)).over(Window.partitionBy(*keys, "island"))
-    sized = chained.withColumn("_size", alone)
-    single = sized.where("_size = 1").drop("island", "_size")
-    several = sized.where("_size > 1").drop("_size")
-    decided = several.groupBy(*keys, "island").applyInPandas(decide, single.schema)
-    return single.unionByName(decided)
+        own = (pdf["_span"] == pdf["_home"]).to_numpy()
+        status = _settle(pdf["_row"].to_numpy(), pdf["_value"].to_numpy(), pdf["_status"].to_numpy(), own, min_distance)
+        return pdf.assign(_status=status)[own][schema.names]
+
+    kept: list[DataFrame] = []
+    while True:
+        offset = F.col("_row") - F.col("_span") * span
+        sides = F.filter(
+            F.array(F.col("_span"), F.when(offset < min_distance, F.col("_span") - 1), F.when(offset >= span - min_distance, F.col("_span") + 1)),
+            lambda x: x.isNotNull(),
+        )
+        spread = state.withColumn("_at", F.explode(sides)).withColumnRenamed("_span", "_home").withColumnRenamed("_at", "_span")
+        found = spread.groupBy(*keys, "_span").applyInPandas(decide, schema)
+        found = durable(found.where(F.col("_status") != _DROPPED))
+        kept.append(found.where(F.col("_status") == _KEPT).select("_peak"))
+        if found.where(F.col("_status") == _UNDECIDED).isEmpty():
+            break
+        # What is kept matters on from here only beside a border; it is settled and is not decided again.
+        border = (offset < min_distance) | (offset >= span - min_distance)
+        state = found.where((F.col("_status") == _UNDECIDED) | border)
+    return placed.join(reduce(DataFrame.unionByName, kept).distinct(), "_peak", "left_semi").select(*columns)
 
 
 def detect_events(
@@ -273,7 +322,7 @@ def detect_events(
     )
     peaks = local_peaks(both, z, ["run_id", "event_type"], width)
     # Two local peaks are never adjacent, so a distance of two or less suppresses nothing.
-    kept = suppress_close(peaks, min_distance, ["run_id", "event_type"], width) if min_distance > 2 else peaks
+    kept = suppress_close(peaks, min_distance, ["run_id", "event_type"]) if min_distance > 2 else peaks
     order = [F.col("score").desc(), F.col("event_type").desc(), F.col("row_idx")]
     best = top_k(kept, ["run_id"], order, max_events, "event_rank")
     top = top_per_row(

@@ -92,30 +92,122 @@ def dominators(points: DataFrame, among: DataFrame, key: str, cols: Sequence[str
     )
 
 
+DEPTH_ROWS = 20_000  # points of one block of the front numbering
+
+
+def _depths(points: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Front numbers of points in an order in which dominators come first; ``least`` is known from elsewhere."""
+    depth = least.copy()
+    if not least.any():  # fronts are nested here: who is beaten by one front is beaten by all before it
+        fronts: list[np.ndarray] = []
+        sizes: list[int] = []
+        for i, p in enumerate(points):
+            low, high = 0, len(fronts)
+            while low < high:
+                middle = (low + high) // 2
+                front = fronts[middle][: sizes[middle]]
+                if (np.all(front >= p, axis=1) & np.any(front > p, axis=1)).any():
+                    low = middle + 1
+                else:
+                    high = middle
+            depth[i] = low
+            if low == len(fronts):
+                fronts.append(np.empty((4, points.shape[1])))
+                sizes.append(0)
+            if sizes[low] == len(fronts[low]):
+                fronts[low] = np.concatenate((fronts[low], np.empty_like(fronts[low])))
+            fronts[low][sizes[low]] = p
+            sizes[low] += 1
+        return depth
+    for i in range(1, len(points)):
+        before = points[:i]
+        beaten = np.all(before >= points[i], axis=1) & np.any(before > points[i], axis=1)
+        if beaten.any():
+            depth[i] = max(depth[i], depth[:i][beaten].max() + 1)
+    return depth
+
+
+def _dominance_order(points: pd.DataFrame, names: Sequence[str]) -> pd.DataFrame:
+    """Largest sum first, equal sums by the coordinates: a dominator is never after what it beats."""
+    total = points[list(names)].sum(axis=1)
+    return points.assign(_s=total).sort_values(["_s", *names], ascending=False, kind="stable").drop(columns="_s")
+
+
 def successive_fronts(
-    points: DataFrame, key: str, cols: Sequence[str], max_fronts: int | None = None, want: int | None = None
+    points: DataFrame, key: str, cols: Sequence[str], max_fronts: int | None = None, want: int | None = None, block_rows: int = DEPTH_ROWS
 ) -> DataFrame:
-    """Fronts peeled one after another; stops when all, ``max_fronts`` or ``want`` points are placed.
-
-    Each round is written to the checkpoint folder, so the plan does not grow.
+    """``key``, ``cols`` and ``front`` (from 0) of every point, or of the first fronts only.
+
+    A point's front is the length of the longest chain of dominators above it. Points go to
+    blocks by their coordinate sum, largest first, so a block depends on earlier blocks only: its
+    points ask every earlier block, side by side, for the deepest dominator, and are then
+    numbered in one pass, searching the fronts by bisection where that is exact. There is a round
+    of jobs for each block of ``block_rows`` points, however many fronts there are. With
+    ``max_fronts`` or ``want`` every partition first drops what its own points already put deeper.
+    Points with a NULL are left out; ``want`` keeps whole fronts until that many points are placed.
     """
-    usable = points.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in cols]))
-    rest = durable(usable.select(key, *cols))
+    names = list(cols)
+    usable = points.where(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in names])).select(key, *names)
+    schema = usable.withColumn("front", F.lit(0)).schema
+    deepest = min([x for x in (max_fronts, want) if x is not None], default=None)
+    if deepest is not None:
+
+        def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                pdf = _dominance_order(pdf, names)
+                yield pdf[_depths(pdf[names].to_numpy(dtype=float), np.zeros(len(pdf), dtype=np.int32)) < deepest]
+
+        usable = usable.mapInPandas(prune, usable.schema)
+    total = reduce(lambda x, y: x + y, [F.col(c).cast("double") for c in names])
+    laid = durable(usable.withColumn("_sum", total))
+    blocks = max(1, -(-laid.count() // block_rows))
+    if blocks > 1:
+        laid = laid.repartitionByRange(blocks, F.desc("_sum"), *[F.desc(c) for c in names], key)
+        laid = durable(laid.withColumn("_block", F.spark_partition_id()))
+    else:
+        laid = laid.withColumn("_block", F.lit(0))
+    numbered = laid.drop("_sum").withColumn("front", F.lit(0)).schema
+
+    def number(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = _dominance_order(pdf, names)
+        return pdf.assign(front=_depths(pdf[names].to_numpy(dtype=float), pdf["front"].to_numpy(dtype=np.int32)))[numbered.names]
+
+    def ask(done: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
+        known, front = done[names].to_numpy(dtype=float), done["front"].to_numpy()
+        out = np.zeros(len(asking), dtype=np.int32)
+        for i, p in enumerate(asking[names].to_numpy(dtype=float)):
+            beaten = np.all(known >= p, axis=1) & np.any(known > p, axis=1)
+            if beaten.any():
+                out[i] = front[beaten].max() + 1
+        return asking.assign(front=out)[numbered.names]
+
     placed: list[DataFrame] = []
-    total, number = 0, 0
-    while not rest.isEmpty() and (max_fronts is None or number < max_fronts) and (want is None or total < want):
-        front = durable(pareto_front(rest, key, cols).withColumn("front", F.lit(number)))
-        placed.append(front)
-        total += front.count()
-        number += 1
-        rest = durable(rest.join(front.select(key), key, "left_anti"))
-    if not placed:
-        return points.select(key, *cols).withColumn("front", F.lit(0)).limit(0)
-    return reduce(DataFrame.unionByName, placed)
+    for block in range(blocks):
+        here = laid.drop("_sum").where(F.col("_block") == block).withColumn("front", F.lit(0))
+        if placed:
+            earlier = reduce(DataFrame.unionByName, placed)
+            asking = here.withColumn("_with", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
+            answers = earlier.groupBy("_block").cogroup(asking.groupBy("_with")).applyInPandas(ask, numbered)
+            same = [c for c in numbered.names if c != "front"]
+            here = answers.groupBy(*same).agg(F.max("front").alias("front")).select(*numbered.names)
+        found = here.groupBy("_block").applyInPandas(number, numbered)
+        # Who lies below the wanted fronts is beaten by someone in the last of them, so he tells nothing more.
+        found = durable(found if deepest is None else found.where(F.col("front") < deepest))
+        placed.append(found)
+    out = reduce(DataFrame.unionByName, placed).select(*schema.names)
+    if want is not None:
+        sizes = [(r["front"], r["n"]) for r in out.groupBy("front").agg(F.count("*").alias("n")).orderBy("front").collect()]
+        before, last = 0, -1
+        for front, n in sizes:
+            if before >= want:
+                break
+            before, last = before + n, front
+        out = out.where(F.col("front") <= last)
+    return out
 
 
 def take_by_front(fronts: DataFrame, key: str, order: Sequence[Column], n: int) -> DataFrame:
-    """Best ``n`` front by front; inside the last front by ``order`` then id."""
+    """Best ``n`` front by front; inside the last front by ``order`` then id (a top-n, so never a full sort)."""
     return fronts.orderBy("front", *order, key).limit(n)
 
 

@@ -334,7 +334,7 @@ def w02(spark, d):
 def w03(spark, d):
     ix, width = _indexed_events(spark, d)
     peaks = P.local_peaks(ix, 1.5, width=width)
-    return P.suppress_close(peaks, 6, width=width).select("run_id", "row_idx", "row_key", "value")
+    return P.suppress_close(peaks, 6).select("run_id", "row_idx", "row_key", "value")
 
 
 DETECT = """l2 AS (SELECT run_id, row_idx, t, 'response_peak' AS event_type, sqrt(sum(value * value)) AS value

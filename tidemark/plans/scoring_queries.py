@@ -171,6 +171,18 @@ def k16(spark, d):
     return PF.successive_fronts(brands, "p_brand", ["a", "b", "c"]).select("p_brand", "front")
 
 
+@query("k16_take_by_front", """WITH RECURSIVE pt AS (SELECT o_custkey, sum(o_totalprice) AS a, count(*) + 0.0::DOUBLE AS b FROM orders GROUP BY 1),
+ dm AS (SELECT x.o_custkey AS u, y.o_custkey AS v FROM pt x JOIN pt y ON x.a >= y.a AND x.b >= y.b AND (x.a > y.a OR x.b > y.b)),
+ ch AS (SELECT o_custkey, 0 AS front FROM pt UNION SELECT v, front + 1 FROM ch JOIN dm ON ch.o_custkey = dm.u WHERE front < 12),
+ fr AS (SELECT o_custkey, max(front) AS front FROM ch GROUP BY 1)
+ SELECT o_custkey, front FROM fr JOIN pt USING (o_custkey) ORDER BY front, a DESC, o_custkey LIMIT 12""")
+def k16_take(spark, d):
+    """The best 12 customers front by front, larger spending first within the last front."""
+    points = table(spark, d, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("a"), F.count(F.lit(1)).cast("double").alias("b"))
+    fronts = PF.successive_fronts(points, "o_custkey", ["a", "b"], want=12)
+    return PF.take_by_front(fronts, "o_custkey", [F.desc("a")], 12).select("o_custkey", "front")
+
+
 @query("e50_directional_dominance", f"""WITH {BR}, t AS (SELECT * FROM br WHERE p_brand = 'Brand#1'), v AS (SELECT br.p_brand, br.a AS x0, -br.b AS x1, -abs(br.c - 80) AS x2, t.a AS y0, -t.b AS y1, -abs(t.c - 80) AS y2 FROM br, t)
  SELECT p_brand, x0 >= y0 AND x1 >= y1 AND x2 >= y2 AND (x0 > y0 OR x1 > y1 OR x2 > y2) AS beats_reference FROM v""")
 def e50(spark, d):
