@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -149,6 +150,39 @@ def cardinality(space: Sequence[Parameter], steps: int) -> float:
     return total
 
 
+def space_size(space: Sequence[Parameter]) -> int | None:
+    """How many different points a space has, exactly; None when it has no end.
+
+    A continuous axis counts its bounds and the multiples of its resolution between them, as
+    ``quantize`` and ``clamp`` leave no others. An axis without a positive resolution has no end.
+    """
+    total = 1
+    for p in space:
+        if p.kind == "integer":
+            total *= int(p.high) - int(p.low) + 1
+        elif not p.ranged:
+            total *= len(set(p.choices))
+        elif p.resolution and p.resolution > 0:
+            low, high, step = (Fraction(str(x)) for x in (p.low, p.high, p.resolution))
+            first, last = -(-low // step), high // step
+            inside = max(0, int(last - first + 1))
+            total *= inside + (low % step != 0) + (high % step != 0)
+        else:
+            return None
+    return total
+
+
+def space_left(evaluations: DataFrame, keys: Sequence[str], space: Sequence[Parameter], fp: str = "fp") -> DataFrame:
+    """(keys, seen, size, left): distinct fingerprints of each search against the size of its space.
+
+    ``fp`` is a column of fingerprints or is made of ``values``. Null size and left mean a space without end.
+    """
+    marked = evaluations if fp in evaluations.columns else evaluations.withColumn(fp, fingerprint(space))
+    size = F.lit(None if (n := space_size(space)) is None else float(n)).cast("double")
+    seen = marked.select(*keys, fp).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("seen"))
+    return seen.select(*keys, "seen", size.alias("size"), F.greatest(F.lit(0.0), size - F.col("seen")).alias("left"))
+
+
 def axis_value(p: Parameter, steps: int, index: Column) -> Column:
     if not p.ranged:
         return F.element_at(F.array(*[F.lit(float(c)) for c in p.choices]), index.cast("int") + 1)
@@ -563,8 +597,8 @@ def admit(requested: Column, remaining_candidates: Column, remaining_runs: Colum
 STOP_ORDER = ("max_candidates", "max_runs", "max_wall_seconds", "max_cost", "max_generations")
 
 
-def stop_verdict(books: DataFrame, best: DataFrame, stale: DataFrame, keys: Sequence[str], target: float | None, patience_limit: int, user_stopped: bool = False) -> DataFrame:
-    """First reason to stop: user, budgets, target, patience; NULL to go on."""
+def stop_verdict(books: DataFrame, best: DataFrame, stale: DataFrame, keys: Sequence[str], target: float | None, patience_limit: int, user_stopped: bool = False, left: DataFrame | None = None) -> DataFrame:
+    """First reason to stop: user, budgets, target, patience, a searched-out space (``space_left``); NULL to go on."""
     keys = list(keys)
     flags = books.groupBy(*keys).agg(*[F.max(F.when(F.col("limit") == n, F.col("exhausted"))).alias(f"_{n}") for n in STOP_ORDER])
     verdict = F.when(F.lit(user_stopped), "user_stopped")
@@ -573,7 +607,11 @@ def stop_verdict(books: DataFrame, best: DataFrame, stale: DataFrame, keys: Sequ
     if target is not None:
         verdict = verdict.when(F.col("best_fitness") >= target, "target_reached")
     verdict = verdict.when(F.col("generations_without_gain") >= patience_limit, "no_improvement")
-    return flags.join(best, keys, "left").join(stale, keys, "left").select(*keys, verdict.alias("stop_reason"))
+    joined = flags.join(best, keys, "left").join(stale, keys, "left")
+    if left is not None:
+        verdict = verdict.when(F.col("left") <= 0, "space_exhausted")
+        joined = joined.join(left.select(*keys, "left"), keys, "left")
+    return joined.select(*keys, verdict.alias("stop_reason"))
 
 
 def cache_lookup(candidates: DataFrame, cache: DataFrame, prefix: Sequence[str]) -> DataFrame:

@@ -246,6 +246,21 @@ def e45(spark, d):
     return K.stop_verdict(books, K.best_of(ev, ["search_id"]), stale, ["search_id"], 5.0, 3)
 
 
+COARSE = (Parameter("speed", "integer", 0, 6, modality="pace"), Parameter("style", "categorical", choices=(0.0, 1.0, 2.0)), Parameter("flip", "boolean", choices=(0.0, 1.0)))
+
+
+@query("e45_space_exhausted", f"""{E0}, se AS (SELECT search_id, count(*) AS seen FROM (SELECT DISTINCT search_id, speed, style, flip FROM ev WHERE candidate_id % 2 = 0 OR search_id < 'M') GROUP BY 1)
+ SELECT search_id, seen, 42.0::DOUBLE AS size, greatest(0, 42.0 - seen)::DOUBLE AS "left", CASE WHEN seen >= 42 THEN 'space_exhausted' END AS stop_reason FROM se""")
+def e45_space(spark, d):
+    """Searches over 7 x 3 x 2 points: done when every point was seen, whatever the order and the repeats."""
+    ev = evaluations(spark, d).where("candidate_id % 2 = 0 OR search_id < 'M'")
+    left = K.space_left(ev.withColumn("fp", K.fingerprint(COARSE)), ["search_id"], COARSE)
+    books = K.ledger(ev, ["search_id"], {"max_generations": 1e9}, 0.0)
+    best = K.best_of(ev, ["search_id"])
+    stale = ev.select("search_id").distinct().withColumn("generations_without_gain", F.lit(0))
+    return left.join(K.stop_verdict(books, best, stale, ["search_id"], None, 10**9, left=left), "search_id")
+
+
 @query("e45_partial_admission", f"{E0}, {LED} SELECT search_id, CAST(greatest(0, least(40, floor(greatest(0, max(ceiling - spent) FILTER (\"limit\" = 'max_candidates'))), floor(greatest(0, max(ceiling - spent) FILTER (\"limit\" = 'max_runs'))))) AS INTEGER) AS admitted FROM bk GROUP BY 1")
 def e45a(spark, d):
     books = K.ledger(evaluations(spark, d), ["search_id"], LIMITS, 12.0)

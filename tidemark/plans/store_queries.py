@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 from tidemark import schemas
 from tidemark.functions.registry import METRICS
 from tidemark.functions.scalar import r
+from tidemark.operators import candidates as K
 from tidemark.operators import panel as P
-from tidemark.plans.candidate_queries import E0, evaluations
-from tidemark.plans.content_queries import BASE, FU, OV, _fused
+from tidemark.operators import surrogate as G
+from tidemark.plans.candidate_queries import E0, SPACE, evaluations
+from tidemark.plans.content_queries import ASSOC, BASE, FU, OV, _fused
 from tidemark.plans.registry import RT, SP, UM, query
 from tidemark.plans.scoring_queries import SCORE, _scored
 from tidemark.sources.store import Store, map_report, region_dimension, scan_files, scratch
 from tidemark.sources.tables import ship_panel, table, unit_map
+from tidemark.sources.versions import ModelStore, SearchStore, TimelineStore
 
 MAN = "mf AS (SELECT run_id, count(*) AS cells, count(DISTINCT unit_id) AS units, min(t) AS first_t, max(t) AS last_t, sum(value) AS total FROM sp GROUP BY 1)"
 IDX = "ri AS (SELECT 'r' || o_orderkey AS run_id, 'k' || (o_custkey % 50) AS cache_key, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'completed' END AS status, o_orderkey AS seq FROM orders)"
@@ -249,3 +252,101 @@ def a20(spark, d):
     delta = a.join(b, ["y", "mo"]).select(gated(F.col("ref"), F.col("cand"), mask("ref"), mask("cand")).alias("x"))
     x = F.col("x")
     return delta.agg(F.count(F.lit(1)).alias("aligned"), r(F.avg(F.when(x.isNotNull(), 1.0).otherwise(0.0)), 8).alias("coverage_fraction"), r(F.avg(x), 8).alias("mean_signed"), r(F.avg(F.abs(x)), 8).alias("mean_absolute"))
+
+
+def _stored_timeline(spark, d):
+    """Fused spans and raw intervals of all runs, written once by run group and time bucket."""
+    ev, iv, fused, _, _ = _fused(spark, d)
+    store = TimelineStore(spark, scratch(spark, "timeline"), width=12.0, levels=3, groups=4)
+    store.write("fused", fused.drop("text"), "span_start", "span_end")
+    store.write("intervals", iv.where("end_t > start_t"), "start_t", "end_t")
+    return ev, store
+
+
+@query("s18_stored_context", f"{BASE}, {OV}, {FU} SELECT run_id, span_start, event_type, modalities FROM fu WHERE span_start < 101 AND span_end > 99")
+def s18_stored(spark, d):
+    _, store = _stored_timeline(spark, d)
+    return store.window("fused", 99.0, 101.0).select("run_id", "span_start", "event_type", F.array_join("modalities", ",").alias("modalities"))
+
+
+@query("j09_stored_context", f"{BASE}, {OV}, {FU}, {ASSOC} SELECT * FROM asx")
+def j09_stored(spark, d):
+    ev, store = _stored_timeline(spark, d)
+    t = F.col("t")
+    points = ev.where("kind = 'purchase'").select("run_id", F.col("idx").alias("event_idx"), F.col("value").alias("score"), F.greatest(F.lit(0.0), t - 2).alias("a"), (t + 2).alias("b"))
+    near = store.around("fused", points, "a", "b", 1e-9)
+    ordered = F.array_sort(F.collect_list(F.struct("span_start", "event_type")))
+    return near.groupBy("run_id", "event_idx", "score").agg(
+        F.count(F.lit(1)).alias("nearby"), F.array_join(F.array_distinct(F.transform(ordered, lambda x: x["event_type"])), ">").alias("contexts"))
+
+
+@query("s17_read_lookups", f"""{BASE}, {OV}, {FU}, lk AS (
+ SELECT 'events' AS lookup, run_id, span_start AS start_t, span_end AS end_t, event_type AS label FROM fu WHERE span_start < 48 AND span_end > 24 AND event_type = 'cta'
+ UNION ALL SELECT 'context', run_id, span_start, span_end, modalities FROM fu WHERE span_start < 101 AND span_end > 99
+ UNION ALL SELECT 'state', run_id, span_start, span_end, audio_label FROM fu WHERE span_start <= 200 AND span_end > 200
+ UNION ALL SELECT 'transcript', run_id, start_t, end_t, CAST(idx AS VARCHAR) FROM iv WHERE kind = 'speech' AND start_t < 96 AND end_t > 48 AND end_t > start_t
+ UNION ALL SELECT 'shots', run_id, start_t, end_t, CAST(idx AS VARCHAR) FROM iv WHERE kind = 'shot' AND start_t < 310 AND end_t > 300 AND end_t > start_t
+ UNION ALL SELECT 'overlays', run_id, start_t, end_t, CAST(idx AS VARCHAR) FROM iv WHERE kind = 'overlay' AND start_t < 424 AND end_t > 400 AND end_t > start_t
+ UNION ALL SELECT 'audio', run_id, start_t, end_t, label FROM iv WHERE kind = 'audio' AND label = 'silence' AND start_t < 720 AND end_t > 600 AND end_t > start_t)
+ SELECT lookup, run_id, round(start_t, 6) AS start_t, round(end_t, 6) AS end_t, label FROM lk""")
+def s17_lookups(spark, d):
+    """The read interface's seven lookups, each by window from the tables written once."""
+    _, store = _stored_timeline(spark, d)
+    fused = lambda a, b: store.window("fused", a, b).select("run_id", F.col("span_start").alias("start_t"), F.col("span_end").alias("end_t"), "event_type", "modalities", "audio_label")
+    raw = lambda a, b, kind: store.window("intervals", a, b).where(F.col("kind") == kind)
+    state = store.window("fused", 200.0, 200.0 + 1e-9).where("span_start <= 200 AND span_end > 200")
+    found = {
+        "events": fused(24.0, 48.0).where("event_type = 'cta'").withColumn("label", F.col("event_type")),
+        "context": fused(99.0, 101.0).withColumn("label", F.array_join("modalities", ",")),
+        "state": state.select("run_id", F.col("span_start").alias("start_t"), F.col("span_end").alias("end_t"), F.col("audio_label").alias("label")),
+        "transcript": raw(48.0, 96.0, "speech").withColumn("label", F.col("text")),
+        "shots": raw(300.0, 310.0, "shot").withColumn("label", F.col("text")),
+        "overlays": raw(400.0, 424.0, "overlay").withColumn("label", F.col("text")),
+        "audio": raw(600.0, 720.0, "audio").where("label = 'silence'"),
+    }
+    out = None
+    for name, rows in found.items():
+        part = rows.select(F.lit(name).alias("lookup"), "run_id", r("start_t").alias("start_t"), r("end_t").alias("end_t"), "label")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("s12_committed_generations", f"""{E0}, la AS (SELECT max(generation) AS g FROM ev), ok AS (SELECT ev.* FROM ev, la WHERE generation < g OR g = 0),
+ ra AS (SELECT *, row_number() OVER (PARTITION BY search_id, generation ORDER BY fitness DESC, candidate_id) AS k FROM ok WHERE eligible),
+ st AS (SELECT search_id, generation, count(*) AS n, max(fitness) FILTER (eligible) AS best FROM ok GROUP BY ALL),
+ cu AS (SELECT search_id, max(generation) AS generation, arg_max(n, generation) AS n, arg_max(coalesce(best, -1e18), generation) AS best FROM st GROUP BY 1),
+ po AS (SELECT search_id, count(*) AS members, count(DISTINCT generation) AS generations FROM ra WHERE k <= 5 GROUP BY 1)
+ SELECT cu.search_id, cu.generation, n, round(best, 6) + 0.0 AS best, members, generations FROM cu LEFT JOIN po USING (search_id)""")
+def s12_committed(spark, d):
+    """Each generation is staged and then committed; the last one is left half written and stays unseen."""
+    ev = evaluations(spark, d)
+    store = SearchStore(spark, scratch(spark, "generations"))
+    last = ev.agg(F.max("generation")).first()[0]
+    for g in range(last + 1):  # a search appends its generations one by one
+        now = ev.where(F.col("generation") == g).drop("values")
+        members = K.population(now, ["search_id"], keep=5).where("reason = 'kept'").select("search_id", "candidate_id", F.lit(g).alias("generation"))
+        states = now.groupBy("search_id").agg(F.lit(g).alias("generation"), F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.when(F.col("eligible"), F.col("fitness"))), F.lit(-1e18)).alias("best"))
+        store.write_generation(g, now, members, states, commit=g < last or last == 0)
+    sizes = store.read("populations").groupBy("search_id").agg(F.count(F.lit(1)).alias("members"), F.countDistinct("generation").alias("generations"))
+    out = store.current_states().join(sizes, "search_id", "left")
+    return out.select("search_id", "generation", "n", (r("best") + 0.0).alias("best"), "members", "generations")
+
+
+@query("s20_model_store", f"{E0} SELECT 2 AS version, count(*) AS training_rows, 0 AS changed_predictions, 2 AS rounds FROM ev WHERE usable")
+def s20_model(spark, d):
+    """A forest written, read back by the newest commit and predicting as before."""
+    enc, names = G.encode(evaluations(spark, d).where("usable"), SPACE)
+    train = enc.select("candidate_id", "fitness", *names)
+    store = ModelStore(spark, scratch(spark, "models"))
+    rounds = spark.createDataFrame([(1, "explore"), (2, "exploit")], "round int, mode string")
+    first, second = G.fit(train.where("candidate_id % 2 = 0"), names, seed=1), G.fit(train, names, seed=2)
+    store.save(1, first, train.where("candidate_id % 2 = 0"), rounds.where("round = 1"))
+    store.save(2, second, train, rounds)
+    again = store.load(type(second))
+    before = G.predict(second, train, names).select("candidate_id", "predicted", "sigma")
+    after = G.predict(again, train, names).select("candidate_id", F.col("predicted").alias("p"), F.col("sigma").alias("s"))
+    changed = before.join(after, "candidate_id").where("predicted <> p OR sigma <> s").agg(F.count(F.lit(1)).alias("changed_predictions"))
+    version = store.latest()
+    dataset = store.read("dataset").where(F.col("part") == version["part"]).agg(F.count(F.lit(1)).alias("training_rows"))
+    log = store.read("rounds").where(F.col("part") == version["part"]).agg(F.count(F.lit(1)).cast("int").alias("rounds"))
+    return dataset.crossJoin(changed).crossJoin(log).withColumn("version", F.lit(int(version["seq"])))  # one row each
