@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import finite, pearson, safe_div, stable_id
+from tidemark.operators.products import pair_sums
 from tidemark.operators.ranks import HOT_ROWS, exact_quantiles, largest_group, top_k
 from tidemark.operators.sequence import neighbours
 from tidemark.session import durable
@@ -133,35 +134,18 @@ def series_summary(series: DataFrame, keys: Sequence[str]) -> DataFrame:
 def correlation_matrix(series: DataFrame, key: str) -> DataFrame:
     """Pairwise-complete Pearson matrix between the series of a run (upper triangle).
 
-    The result itself is R x R for a region dimension; sums combine map-side.
+    Series are multiplied in blocks, so only the R x R sums leave a task.
     """
-    a = series.select("run_id", "row_idx", F.col(key).alias(f"{key}_a"), F.col("value").alias("x"))
-    b = series.select("run_id", "row_idx", F.col(key).alias(f"{key}_b"), F.col("value").alias("y"))
-    pairs = a.join(b, ["run_id", "row_idx"]).where(
-        (F.col(f"{key}_a") <= F.col(f"{key}_b")) & F.col("x").isNotNull() & F.col("y").isNotNull()
-    )
-    x, y = F.col("x"), F.col("y")
-    return pairs.groupBy("run_id", f"{key}_a", f"{key}_b").agg(
-        pearson(
-            F.count(x).cast("double"), F.sum(x), F.sum(y), F.sum(x * x), F.sum(y * y), F.sum(x * y)
-        ).alias("correlation"),
-        F.count(x).alias("n_pairs"),
-    )
+    sums = pair_sums(series.where(F.col("value").isNotNull()), ["run_id"], key, "row_idx")
+    correlation = pearson(*[F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+    return sums.select("run_id", f"{key}_a", f"{key}_b", correlation.alias("correlation"), F.col("n").cast("long").alias("n_pairs"))
 
 
 def temporal_similarity(series: DataFrame, key: str) -> DataFrame:
-    """Cosine between the patterns of any two rows of a run (upper triangle)."""
-    a = series.select("run_id", key, F.col("row_idx").alias("row_a"), F.col("value").alias("x"))
-    b = series.select("run_id", key, F.col("row_idx").alias("row_b"), F.col("value").alias("y"))
-    x, y = F.col("x"), F.col("y")
-    return (
-        a.join(b, ["run_id", key])
-        .where("row_a <= row_b")
-        .groupBy("run_id", "row_a", "row_b")
-        .agg(
-            safe_div(F.sum(x * y), F.sqrt(F.sum(x * x)) * F.sqrt(F.sum(y * y))).alias("cosine")
-        )
-    )
+    """Cosine between the patterns of any two rows of a run (upper triangle), in blocks of rows."""
+    sums = pair_sums(series, ["run_id"], "row_idx", key)
+    length = F.sqrt("sxx") * F.sqrt("syy")
+    return sums.select("run_id", F.col("row_idx_a").alias("row_a"), F.col("row_idx_b").alias("row_b"), safe_div(F.col("sxy"), length).alias("cosine"))
 
 
 def window_summary(
