@@ -62,3 +62,10 @@ def test_null_and_repeated_ids_lose_no_text_and_keep_no_copy(spark, tmp_path):
     assert single.columns == docs.columns and first(single) == want
     mixed = P.mixed_to_weights(spark, single, str(tmp_path))
     assert mixed.columns == docs.columns and sorted(set(first(mixed)), key=str) == want
+
+
+def test_columns_named_like_the_stages_own(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"word{i} and some more text {i}", 0.5, 1, "r", 2.0) for i in range(20)], "doc_id long, text string, rate double, n_words int, row string, p_0 double")
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0, 20, 3)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    mixed = P.mixed_to_weights(spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} == set(range(20)) and mixed.first().rate == 0.5

@@ -220,6 +220,40 @@ def test_rates_meet_targets_and_bounds(spark):
     assert (kept.rate >= 1).all()
 
 
+def test_softmax_finds_calibrated_weights():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(4000, 3)) * [1.0, 50.0, 0.01]
+    logit = np.column_stack((np.zeros(4000), 1.0 + 2.0 * x[:, 0] - 0.04 * x[:, 1], -1.0 + 100.0 * x[:, 2]))
+    true = np.exp(logit) / np.exp(logit).sum(axis=1, keepdims=True)
+    y = np.array([rng.choice(3, p=p) for p in true])
+    w = mixing.softmax_fit(x, y, 3, np.ones(4000))
+    p = np.exp(w[:, 0] + x @ w[:, 1:].T)
+    p /= p.sum(axis=1, keepdims=True)
+    assert np.abs(p - true).mean() < 0.03 and np.abs(p.mean(axis=0) - np.bincount(y) / 4000).max() < 0.01
+    assert np.allclose(np.exp(mixing.softmax_fit(x[:2], y[:2], 3, np.ones(2))[:, 0]).sum(), 1)
+
+
+@pytest.mark.skipif(not os.path.isdir(f"{DATA}/sf0.01"), reason="no test tables")
+def test_mixing_meets_its_targets_with_honest_posteriors(spark):
+    from tidemark.llm.queries import domain
+
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/sf0.01/labels.parquet").select("doc_id", domain().alias("domain"))
+    away = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0  # never shown to the classifier
+    weights = {"high": 0.8, "low": 0.15, "toxic": 0.05}
+    got = mixing.mixed(docs, labels.where(~away), weights).toPandas().set_index("doc_id")
+    words = got.n_words * got.rate
+    for k, share in weights.items():
+        assert abs((words * [dict(p)[k] for p in got.posterior]).sum() / words.sum() - share) < 0.01
+    assert got.rate.max() < 10
+    held = labels.where(away).toPandas().set_index("doc_id").domain
+    sure = np.array([dict(got.posterior[i])[k] for i, k in held.items()])
+    prior = held.value_counts(normalize=True)
+    assert -np.log(sure).mean() < -(prior * np.log(prior)).sum()
+    low = held[held == "low"].index
+    assert (got.domain[low] == "low").mean() > 0.5
+
+
 def test_mixing_without_labels_or_rows(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, domain string")
     assert {r["rate"] for r in mixing.mixed(odd, none, {"x": 1.0}).collect()} == {1.0}

@@ -1,7 +1,11 @@
 """Mixing to target weights by soft membership; DataFrame functions only.
 
-A table of labelled documents names the domain of some. A naive Bayes classifier over hashed
-words, fitted on a bounded sample of them, gives each document a posterior over the domains.
+A table of labelled documents names the domain of some. A classifier fitted on a bounded sample
+of them gives each document a posterior over the domains: log ratios of hashed words from one
+half of the sample, and from the other half a softmax over these, length, repetition, capitals
+and symbols, each row weighted by what it stands for. Fitting on rows that the ratios have not
+seen keeps the posteriors honest, so their totals are near the true shares.
+
 With ``t`` words and posterior ``p`` a document at rate ``r`` adds ``r t p`` to the expected
 words of the domains. The rates solve a least-squares problem by projected gradient: every
 round is one aggregation over all documents (the domain totals), a small linear system on the
@@ -12,7 +16,9 @@ rounds is the list of steps, not a column: a lost executor costs a recomputation
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -23,63 +29,115 @@ from tidemark.llm.common import Scratch
 BUCKETS = 4096
 SAMPLE = 6000  # labelled documents that the classifier is fitted on, at most
 SHRINK = 10.0
-DAMP = 0.5
 ROUNDS = 60
 CLOSE = 1e-6
-
-
-def bucket_set(text: Column) -> Column:
-    """Distinct hashed words of the whole text."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")
-    return F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
-
-
-def n_words(text: Column) -> Column:
-    text = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long")
-
-
-def domain_weights(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE) -> tuple[list[str], dict[str, float], dict[str, list[float]]]:
-    """Domains, their log priors and log ratios per bucket, from labelled (doc_id, domain).
-
-    The ratio of a rare bucket is drawn to 0. What reaches the driver is a row per domain and
-    bucket. A document with several domains counts for the smallest name.
+RESIDUAL = 0.01  # share of the target total that may be missed without a warning
+
+
+def with_evidence(docs: DataFrame, kept: Sequence[str]) -> DataFrame:
+    """(the kept columns, n_words, held, f_0 .. f_3): words, distinct hashed words, and four shapes of the whole text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    count = lambda pattern: F.length(F.regexp_replace(text, pattern, "")) / (F.length(text) + 1)
+    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+    out = docs.select(*kept, words.alias("words"), count("[^A-Z]+").alias("f_2"), count(r"[\p{L}\p{N}\s]+").alias("f_3"))
+    held = F.array_distinct(F.transform("words", lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")))
+    out = out.select(*kept, F.size("words").cast("long").alias("n_words"), held.alias("held"), "f_2", "f_3")
+    return out.select(*kept, "n_words", "held", F.log1p("n_words").alias("f_0"), (F.size("held") / (F.col("n_words") + 1)).alias("f_1"), "f_2", "f_3")
+
+
+@dataclass
+class Domains:
+    """A fitted classifier: ratios of the buckets per domain, and a softmax over the evidence."""
+
+    names: list[str]
+    ratio: list[list[float]]
+    weight: np.ndarray  # domain x (1 + evidence)
+
+    def evidence(self) -> list[Column]:
+        size = F.size("held") + F.lit(1.0)
+        logs = [_sum_at(F.expr(f"array({', '.join(f'{x}D' for x in ratio)})")) for ratio in self.ratio]
+        return [F.col(f"f_{i}") for i in range(4)] + [x / F.sqrt(size) for x in logs]
+
+
+def _sum_at(weights: Column) -> Column:
+    return F.aggregate("held", F.lit(0.0), lambda acc, b: acc + F.element_at(weights, b + 1))
+
+
+def softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, importance: np.ndarray, ridge: float = 1e-3, rounds: int = 400) -> np.ndarray:
+    """Weights (class x 1 + feature) of a softmax regression on raw features, by accelerated gradient."""
+    prior = np.array([importance[y == k].sum() for k in range(classes)]) + 1e-9
+    bias = np.log(prior / prior.sum())
+    out = np.zeros((classes, x.shape[1] + 1))
+    out[:, 0] = bias
+    if len(x) < 2 * classes:
+        return out
+    middle, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
+    z = np.column_stack((np.ones(len(x)), (x - middle) / scale))
+    w, before = np.zeros((classes, z.shape[1])), np.zeros((classes, z.shape[1]))
+    w[:, 0] = before[:, 0] = bias
+    share = importance / importance.sum()
+    wanted = np.eye(classes)[y]
+    step = 2.0 / (share @ (z * z).sum(axis=1))
+    for turn in range(rounds):
+        ahead = w + turn / (turn + 3) * (w - before)
+        logit = z @ ahead.T
+        p = np.exp(logit - logit.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        slope = ((p - wanted) * share[:, None]).T @ z
+        slope[:, 1:] += ridge * ahead[:, 1:]
+        w, before = ahead - step * slope, w
+    out[:, 1:] = w[:, 1:] / scale
+    out[:, 0] = w[:, 0] - out[:, 1:] @ middle
+    return out
+
+
+def fit_domains(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE) -> Domains | None:
+    """From labelled (doc_id, domain), at most about ``most`` of them; None without labels.
+
+    What reaches the driver is a row per domain and bucket, and a row of numbers for each sampled
+    document. A document with several domains counts for the smallest name.
     """
     one = labelled.where("domain IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("domain").alias("domain"))
     size = {r["domain"]: r["n"] for r in one.groupBy("domain").agg(F.count("*").alias("n")).collect()}
-    names, total = sorted(size), sum(size.values())
+    names = sorted(size)
     if not names:
-        return [], {}, {}
+        return None
     share = F.create_map(*[F.lit(x) for k in names for x in (k, min(1.0, most / len(names) / size[k]))])
     few = one.where(F.xxhash64("doc_id", F.lit(5)) / 2.0**64 + 0.5 < share[F.col("domain")]).limit(2 * most)
+    few = few.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(2)))
     found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    held = found.select("domain", F.explode(F.concat(bucket_set(F.col("text")), F.array(F.lit(-1)))).alias("bucket"))
-    rows = held.groupBy("domain", "bucket").agg(F.count("*").alias("n")).collect()
+    found = Scratch(docs.sparkSession).store(with_evidence(found, ["doc_id", "domain", "half"]))
+    held = found.where("half = 0").select("domain", F.explode(F.concat("held", F.array(F.lit(-1)))).alias("bucket"))
     n = np.zeros((len(names), BUCKETS + 1))
-    for r in rows:
+    for r in held.groupBy("domain", "bucket").agg(F.count("*").alias("n")).collect():
         n[names.index(r["domain"]), r["bucket"]] = r["n"]  # bucket -1, in the last place, counts the documents
     each, n = n[:, -1], n[:, :-1]
     overall = (n / np.maximum(each, 1)[:, None]).mean(axis=0)
-    ratio = DAMP * np.log((n + SHRINK) / (each[:, None] * overall + SHRINK))
-    prior = {k: float(np.log(size[k] / total)) for k in names}
-    return names, prior, {k: ratio[i].round(6).tolist() for i, k in enumerate(names)}
-
-
-def posteriors(
-    docs: DataFrame, names: list[str], prior: dict[str, float], ratio: dict[str, list[float]], carried: Sequence[str] = ("doc_id",),
-) -> DataFrame:
-    """(the columns carried, n_words, p_<i> per domain); without words the prior."""
-    out = docs.select(*carried, n_words(F.col("text")).alias("n_words"), bucket_set(F.col("text")).alias("held"))
-    def log_odds(k: str) -> Column:
-        weights = F.expr(f"array({', '.join(f'{x}D' for x in ratio[k])})")
-        return F.aggregate("held", F.lit(prior[k]), lambda acc, b: acc + F.element_at(weights, b + 1))
-
-    logs = [log_odds(k).alias(f"l_{i}") for i, k in enumerate(names)]
-    out = out.select(*carried, "n_words", *logs)
-    top = F.greatest(*[F.col(f"l_{i}") for i in range(len(names))]) if len(names) > 1 else F.col("l_0")
-    out = out.select(*carried, "n_words", *[F.exp(F.col(f"l_{i}") - top).alias(f"e_{i}") for i in range(len(names))])
-    norm = sum((F.col(f"e_{i}") for i in range(1, len(names))), F.col("e_0"))
-    return out.select(*carried, "n_words", *[(F.col(f"e_{i}") / norm).alias(f"p_{i}") for i in range(len(names))])
+    ratio = np.log((n + SHRINK) / (each[:, None] * overall + SHRINK)).round(6).tolist()
+    model = Domains(names, ratio, np.zeros((len(names), 5 + len(names))))
+    rows = found.where("half = 1").select("domain", F.array(*model.evidence()).alias("x")).collect()
+    y = np.array([names.index(r["domain"]) for r in rows], dtype=np.int64)
+    x = np.array([r["x"] for r in rows], dtype=float).reshape(len(rows), 4 + len(names))
+    taken = np.bincount(y, minlength=len(names))
+    importance = np.array([size[k] for k in names]) / np.maximum(taken, 1)
+    model.weight = softmax_fit(x, y, len(names), importance[y])
+    if not len(rows):
+        model.weight[:, 0] = np.log(np.array([size[k] for k in names]) / sum(size.values()))
+    return model
+
+
+def posteriors(docs: DataFrame, model: Domains, carried: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """(the columns carried, n_words, p_<i> per domain)."""
+    n = len(model.names)
+    out = with_evidence(docs, carried)
+    evidence = model.evidence()
+    out = out.select(*carried, "n_words", *[e.alias(f"e_{i}") for i, e in enumerate(evidence)])
+    logit = lambda k: sum((F.col(f"e_{i}") * float(model.weight[k, i + 1]) for i in range(len(evidence))), F.lit(float(model.weight[k, 0])))
+    out = out.select(*carried, "n_words", *[logit(k).alias(f"l_{k}") for k in range(n)])
+    top = F.greatest(*[F.col(f"l_{i}") for i in range(n)]) if n > 1 else F.col("l_0")
+    out = out.select(*carried, "n_words", *[F.exp(F.col(f"l_{i}") - top).alias(f"x_{i}") for i in range(n)])
+    norm = sum((F.col(f"x_{i}") for i in range(1, n)), F.col("x_0"))
+    return out.select(*carried, "n_words", *[(F.col(f"x_{i}") / norm).alias(f"p_{i}") for i in range(n)])
 
 
 def rate_after(steps: list[list[float]], n: int, floor: float) -> Column:
@@ -125,11 +183,11 @@ def mixed(
     and the domain is null. Repeated rows each have their row. ``carried`` are the columns of
     ``docs`` that come back with each row in place of doc_id.
     """
-    names, prior, ratio = domain_weights(docs, labelled, most)
-    if not names:
+    model = fit_domains(docs, labelled, most)
+    if model is None:
         return docs.select(*carried, n_words(F.col("text")).alias("n_words"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("p_domain"), F.lit(1.0).alias("rate"), F.create_map().cast("map<string,double>").alias("posterior"))
-    n = len(names)
-    table = Scratch(docs.sparkSession).store(posteriors(docs, names, prior, ratio, carried))
+    names, n = model.names, len(model.names)
+    table = Scratch(docs.sparkSession).store(posteriors(docs, model, carried))
     now = table.agg(*[F.sum(F.col("n_words") * F.col(f"p_{i}")).alias(f"s_{i}") for i in range(n)]).first()
     present = np.array([now[f"s_{i}"] or 0.0 for i in range(n)])
     share = np.array([weights.get(k, 0.0) for k in names])
@@ -137,7 +195,11 @@ def mixed(
     if keep_all:
         total = max([present[i] / share[i] for i in range(n) if share[i] > 0], default=total)
     targets = share / share.sum() * total if share.sum() else present
-    steps, _ = fitted_rates(table, n, targets, 1.0 if keep_all else 0.0)
+    steps, reached = fitted_rates(table, n, targets, 1.0 if keep_all else 0.0)
+    missed = np.abs(reached - targets).max(initial=0.0)
+    if missed > RESIDUAL * targets.sum():
+        shares = dict(zip(names, (reached / max(reached.sum(), 1e-9)).round(4).tolist(), strict=True))
+        warnings.warn(f"the mix misses its targets: reached shares {shares}", stacklevel=2)
     best = F.greatest(*[F.struct(F.col(f"p_{i}").alias("p"), F.lit(-i).alias("turn"), F.lit(k).alias("name")) for i, k in enumerate(names)]) if n > 1 else F.struct(F.col("p_0").alias("p"), F.lit(names[0]).alias("name"))
     posterior = F.create_map(*[x for i, k in enumerate(names) for x in (F.lit(k), F.col(f"p_{i}"))])
     return table.select(
