@@ -46,13 +46,15 @@ def mixed_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Repeat documents until 85 % of the expected words are of high quality, 15 % of low.
 
     No row is dropped: each carries its own rate, at least 1, whose fraction is settled by a hash
-    of the id, or of the text where the id is null.
+    of the id, or of the text where the id is null. Rows travel whole in one column, so no name
+    of theirs can clash. Repeated rows have the same rate; no rows and no labels change nothing.
     """
     quality = F.when(F.col("quality") == 1, "high").when(F.col("quality") == 0, "low")
     labelled = table(spark, sf_dir, "labels").select("doc_id", quality.alias("domain"))
-    rates = mixing.mixed(docs, labelled, {"high": 0.85, "low": 0.15}, keep_all=True, carried=docs.columns)
-    times = mixing.copies(F.col("rate"), F.coalesce(F.col("doc_id"), F.xxhash64("text")))
-    return rates.withColumn("_copy", F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    rates = mixing.mixed(rows, labelled, {"high": 0.85, "low": 0.15}, keep_all=True, carried=["row"])
+    times = mixing.copies(F.col("rate"), F.coalesce(F.col("row.doc_id"), F.xxhash64("row.text")))
+    return rates.select("row", F.explode(F.sequence(F.lit(1), times))).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
