@@ -179,13 +179,14 @@ def mixed(
     without a weight aim at 0. The targets sum to the present number of words, or with
     ``keep_all`` to the least number at which no domain must shrink, and then no rate falls below
     1. ``domain`` is the likeliest domain (of equal ones the first by name), ``p_domain`` its
-    posterior. Null and empty texts have 0 words and the prior. Without labels all rates are 1
+    posterior. Null and empty texts have 0 words and the posterior of an empty text. Targets that
+    the documents cannot reach within ``RESIDUAL`` give a warning with the shares reached. Without labels all rates are 1
     and the domain is null. Repeated rows each have their row. ``carried`` are the columns of
     ``docs`` that come back with each row in place of doc_id.
     """
     model = fit_domains(docs, labelled, most)
     if model is None:
-        return docs.select(*carried, n_words(F.col("text")).alias("n_words"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("p_domain"), F.lit(1.0).alias("rate"), F.create_map().cast("map<string,double>").alias("posterior"))
+        return with_evidence(docs, carried).select(*carried, "n_words", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("p_domain"), F.lit(1.0).alias("rate"), F.create_map().cast("map<string,double>").alias("posterior"))
     names, n = model.names, len(model.names)
     table = Scratch(docs.sparkSession).store(posteriors(docs, model, carried))
     now = table.agg(*[F.sum(F.col("n_words") * F.col(f"p_{i}")).alias(f"s_{i}") for i in range(n)]).first()
