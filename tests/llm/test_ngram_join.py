@@ -1,6 +1,8 @@
 import re
 
-from tidemark.llm.ngram_join import jaccard_components, shingle_set
+import pandas as pd
+
+from tidemark.llm.ngram_join import _in_several_sets, jaccard_components, shingle_set
 
 
 def brute(rows):
@@ -53,3 +55,14 @@ def test_shingles_are_whole_texts():
     assert len(shingle_set("a b c d")) == 1
     assert len(shingle_set("x y z w v " * 1000)) == 5
     assert len(shingle_set("\x1c ")) == 1  # not white space here
+
+
+def test_shingles_of_one_set_are_dropped_across_batches():
+    rows = pd.DataFrame(
+        [(1, 10, 0), (2, 10, 0), (2, 10, 0), (3, 10, 0), (3, 11, 0), (3, 12, 0), (4, 10, 5), (5, 10, 0), (5, 10, 0), (6, 9, 0)],
+        columns=["token", "id", "salt"],
+    ).assign(n=7, rest=3)
+    for size in range(1, len(rows) + 1):
+        batches = (rows.iloc[i : i + size].reset_index(drop=True) for i in range(0, len(rows), size))
+        got = pd.concat([rows.iloc[:0], *_in_several_sets(batches)])
+        assert list(zip(got["token"], got["id"], strict=True)) == [(3, 10), (3, 11), (3, 12), (4, 10)]

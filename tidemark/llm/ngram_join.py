@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tidemark.llm.common import Scratch, components
+from tidemark.llm.common import Scratch, components, release
 
 WIDTH = 5
 PERCENT = 80
@@ -49,6 +49,7 @@ AGREEING = 3  # orders in which a class and a leader must have the same minimum
 COUNTED = 1 << 22  # shingles counted together in a task
 FREQUENT = 1 << 22  # most frequent shingles that can reach the tasks, 12 bytes each
 LEAST_FREQUENT = 16
+SALTS = 64  # tasks that the rows of a frequent shingle are dealt to
 KEPT_BITS = np.uint64((1 << 48) - 1)
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -145,29 +146,65 @@ def _frequent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _prefixes(token: np.ndarray, count: np.ndarray):
-    """Task that lists each set's first shingles, rare ones first."""
+    """Task that lists each set's first shingles, rare ones first.
+
+    The salt is 0 for a shingle that may be in one set only, and 1 to SALTS by the set's id for
+    one known to be frequent, so that its rows are dealt to several tasks.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            firsts, sizes, places = [], [], []
+            firsts, sizes, places, known = [], [], [], []
             for raw in pdf["tokens"]:
                 own = unpacked(raw)
                 n = len(own)
-                first = own
+                keep = n - needed(n) + 1
+                often = np.zeros(n, dtype=np.int32)
                 if len(token):
                     at = np.minimum(np.searchsorted(token, own), len(token) - 1)
                     often = np.where(token[at] == own, count[at], 0)
-                    first = own[np.argsort(often, kind="stable")]
-                firsts.append(first[: n - needed(n) + 1])
+                first = np.argsort(often, kind="stable")[:keep]
+                firsts.append(own[first])
+                known.append(often[first] > 0)
                 sizes.append(n)
-                places.append(n - np.arange(len(firsts[-1]), dtype=np.int32))
+                places.append(n - np.arange(keep, dtype=np.int32))
+            if not firsts:
+                continue
             held = [len(f) for f in firsts]
-            out = {"token": np.concatenate(firsts).view(np.int64) if firsts else np.empty(0, np.int64)}
-            yield pd.DataFrame(out | {"id": np.repeat(pdf["id"].to_numpy(), held), "n": np.repeat(np.array(sizes, dtype=np.int32), held), "rest": np.concatenate(places) if places else np.empty(0, np.int32)})
+            ids = np.repeat(pdf["id"].to_numpy(), held)
+            salt = (mixed(ids.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32) + 1
+            yield pd.DataFrame({
+                "token": np.concatenate(firsts).view(np.int64), "id": ids, "n": np.repeat(np.array(sizes, dtype=np.int32), held),
+                "rest": np.concatenate(places), "salt": np.where(np.concatenate(known), salt, 0),
+            })
 
     return run
 
 
+def _in_several_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by (token, id), without repeats and without shingles of one set only.
+
+    At most one row is held back: that of a shingle whose next row may come in the next batch.
+    """
+    waits: pd.DataFrame | None = None
+    last: tuple[int, int] | None = None  # the last row given on
+    for pdf in batches:
+        rows = pdf if waits is None else pd.concat([waits, pdf], ignore_index=True)
+        token, own = rows["token"].to_numpy(), rows["id"].to_numpy()
+        if not len(rows):
+            continue
+        same = token[1:] == token[:-1]
+        fresh = np.concatenate(([last != (token[0], own[0])], ~same | (own[1:] != own[:-1])))
+        rows = rows[fresh]
+        token, own = token[fresh], own[fresh]
+        if not len(rows):
+            continue
+        same = token[1:] == token[:-1]
+        shared = (rows["salt"].to_numpy() > 0) | np.concatenate(([last is not None and last[0] == token[0]], same)) | np.concatenate((same, [False]))
+        waits, last = (None, (token[-1], own[-1])) if shared[-1] else (rows.iloc[-1:], None)
+        yield rows.loc[shared, ["token", "id", "n", "rest"]]
+
+
 def _local_parts(matrix: np.ndarray, sizes: np.ndarray, comps: np.ndarray) -> np.ndarray:
     """A label per member of a block: linked members and members of one group have the same."""
     counts = matrix.astype(np.float32)
@@ -262,6 +299,7 @@ def _opened(asks: DataFrame, blocks: DataFrame, sets: DataFrame, scratch: Scratc
     """
     left = _laid_out(asks, blocks, sets, ["n", "bits"]).mapInPandas(_bound_blocks, "id long, comp long, grp long, block int")
     left = scratch.store(left.distinct())
+    release(scratch.spark)
     return _laid_out(left, blocks, sets, ["tokens"]).mapInPandas(_open_blocks, "src long, dst long")
 
 
@@ -307,11 +345,10 @@ def _membership(ids: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame
 def _matrix_candidates(sets: DataFrame, member: DataFrame, often: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, comp, grp, block): queries and the blocks that may hold a link to another component."""
     token, count = _frequent_arrays(often)
-    firsts = sets.select("id", "tokens").mapInPandas(_prefixes(token, count), "token long, id long, n int, rest int").repartition("token")
-    # The count reads every column so that this aggregate and the join below share one exchange.
-    facts = firsts.groupBy("token").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.max(F.col("n") + F.col("rest")).alias("held"))
-    shared = facts.where("low < high AND held > 0").select("token")
-    rows = scratch.store(firsts.join(shared, "token", "left_semi").join(member, "id"))
+    firsts = sets.select("id", "tokens").mapInPandas(_prefixes(token, count), "token long, id long, n int, rest int, salt int")
+    firsts = firsts.repartition("token", "salt").sortWithinPartitions("token", "id")
+    rows = scratch.store(firsts.mapInPandas(_in_several_sets, "token long, id long, n int, rest int").join(member, "id"))
+    release(scratch.spark)
     matrix = rows.groupBy("token", "grp", "block", "size").agg(
         F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("rest").alias("rest"), F.min("comp").alias("low"), F.max("comp").alias("high")
     )
@@ -342,8 +379,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     others, and its component is null unless a document with an id belongs to it. An empty
     table gives an empty result. A set is known by a 64-bit digest.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     hashed = scratch.buckets(
         docs.select("doc_id", "text").mapInPandas(_hash_sets, "doc_id long, id long, n int, tokens binary, bits binary, least array<long>"), "id"
     )
@@ -351,6 +387,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     stars = scratch.store(_leader_links(sets, scratch))
     ids = hashed.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("rep"))
     member = scratch.store(_membership(ids.select("id"), components(stars, scratch), sets))
+    release(scratch.spark)
     total = hashed.where("tokens IS NOT NULL").agg(F.sum("n")).first()[0] or 0
     often = (
         sets.select("tokens").mapInPandas(_frequent, "token long, count long")
@@ -358,6 +395,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         .where(F.col("total") >= max(LEAST_FREQUENT, total / FREQUENT))
     )
     asks = scratch.store(_matrix_candidates(sets, member, often, scratch))
+    release(scratch.spark)
     blocks = member.join(asks.select("grp", "block").distinct(), ["grp", "block"]).select("id", "comp", "grp", "block")
     edges = scratch.store(_opened(asks, blocks, sets, scratch).union(stars).distinct())
     found = components(edges, scratch)

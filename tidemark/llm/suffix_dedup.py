@@ -18,17 +18,15 @@ Nothing is collected per text but its own spans and digits, which its length bou
 
 from __future__ import annotations
 
-import gc
-import time
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Scratch
+from tidemark.llm.common import Scratch, release
 
 THRESHOLD = 50  # bytes
 GRAM = 16  # bytes of a gram whose hash can be the first digit
@@ -234,18 +232,6 @@ def _owned(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.Rec
         yield ordered(pa.Table.from_batches(held))
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are written.
-
-    It does so when the driver's JVM finds their plans unused; Python hands back the plans it has
-    dropped within a second or two.
-    """
-    gc.collect()
-    for _ in range(3):
-        time.sleep(1.5)
-        spark._jvm.System.gc()
-
-
 def _kept(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     for batch in batches:
@@ -300,32 +286,32 @@ def without_repeats(docs: DataFrame, threshold: int = THRESHOLD, group: int = GR
     digits = scratch.store(long_enough.mapInArrow(partial(_digits, threshold=threshold), "digit long, doc long, rid long"))
     shared = digits.groupBy("digit").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("digit")
     shared = scratch.store(shared)
-    _release(spark)
+    release(spark)
     hits = digits.select("digit", "rid").join(shared, "digit").groupBy("rid").agg(F.collect_set("digit").alias("digits"))
     hits = scratch.store(hits)
     scratch.drop(digits, shared)
-    _release(spark)
+    release(spark)
 
     strings = long_enough.join(hits, "rid").select("doc", "rid", "text", "digits")
     strings = scratch.store(strings.mapInArrow(partial(_strings, threshold=threshold), "digit long, s binary, doc long, rid long, start long"))
     scratch.drop(hits)
-    _release(spark)
+    release(spark)
 
     distinct = scratch.store(strings.groupBy("digit", "s").agg(F.min("doc").alias("low"), F.max("doc").alias("high")))
-    _release(spark)
+    release(spark)
     large = scratch.store(distinct.groupBy("digit").count().where(F.col("count") > group).select("digit"))
     small = distinct.join(large, "digit", "left_anti").repartition("digit").sortWithinPartitions("digit")
     owned = small.mapInArrow(partial(_owned, threshold=threshold), "s binary, a int, b int, owner long")
     owned = owned.union(_all_windows(distinct.join(large, "digit", "left_semi"), threshold))
     owned = scratch.store(owned.select(F.unhex(F.md5("s")).alias("key"), "a", "b", "owner"))
     scratch.drop(distinct)
-    _release(spark)
+    release(spark)
 
     found = strings.select(F.unhex(F.md5("s")).alias("key"), "doc", "rid", "start").join(owned, "key").where("owner < doc")
     mark = F.struct((F.col("start") + F.col("a")).alias("low"), (F.col("start") + F.col("b")).alias("high"))
     found = scratch.store(found.groupBy("doc", "rid").agg(F.collect_set(mark).alias("found")))
     scratch.drop(strings, owned)
-    _release(spark)
+    release(spark)
 
     result = "doc_id long, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
     return rows.join(found, ["doc", "rid"], "left").select("doc", "text", "found").mapInArrow(partial(_kept, threshold=threshold), result)
