@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import difflib
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -523,6 +523,64 @@ def sample_times(durations: DataFrame, rate: float) -> DataFrame:
     return steps.select("run_id", "step", t.alias("t"))
 
 
+def feature_grid(
+    durations: DataFrame,
+    rate: float,
+    signals: Mapping[str, tuple[DataFrame, Sequence[str]]],
+    spans: DataFrame,
+    states: Sequence[str],
+    cuts: DataFrame,
+    width: float | None = None,
+) -> DataFrame:
+    """Everything known about a run on a uniform grid, one row a step, in one sweep.
+
+    ``signals`` maps a group to ``(run_id, t, columns)``: columns are interpolated, held beyond
+    their ends, 0 where the run has none, null where a bracketing sample is; ``<group>_available``
+    is 1 between the first and last sample. ``spans`` is a contiguous timeline whose ``states``
+    (numbers) hold from ``span_start`` on, never interpolated; ``content_event_available`` tells
+    whether a span holds the step. ``cuts`` (run_id, t) are impulses in ``shot_change`` at the
+    nearest step. Rows without a time count for nothing; runs without length have no rows.
+
+    Grid, samples, span starts and cuts are one union; the last row of each kind before a step
+    and the first sample after it come from two running passes over the same layout.
+    """
+    runs = durations.where("duration > 0")
+    grid = sample_times(runs, rate).select("run_id", F.col("t").alias("_t"), F.lit(1).alias("_tag"), F.lit(0).alias("_rtag"), F.col("step").alias("_step"))
+    before = [F.lit(0).alias("_tag"), F.lit(1).alias("_rtag")]
+    rows = grid
+    for group, (frame, names) in signals.items():
+        sample = F.struct(F.col("t").cast("double").alias("t"), *[F.col(c).cast("double").alias(c) for c in names])
+        part = frame.where("t IS NOT NULL").select("run_id", F.col("t").cast("double").alias("_t"), *before, sample.alias(f"_s_{group}"))
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    held = F.struct("span_end", *states)
+    part = spans.where("span_start IS NOT NULL").select("run_id", F.col("span_start").cast("double").alias("_t"), *before, held.alias("_span"))
+    rows = rows.unionByName(part, allowMissingColumns=True)
+    last = F.greatest(F.lit(1), F.ceil(F.col("duration") * rate).cast("int")) - 1
+    step = F.least(F.greatest(F.rint(F.col("t") * rate - 0.5).cast("int"), F.lit(0)), last)
+    at = F.least((F.col("_cut") + 0.5) / F.lit(rate), F.col("duration"))
+    part = cuts.where("t IS NOT NULL").join(runs, "run_id").withColumn("_cut", step).select("run_id", at.alias("_t"), *before, "_cut")
+    rows = rows.unionByName(part, allowMissingColumns=True)
+
+    back = {f"_lo_{g}": ("last", f"_s_{g}") for g in signals} | {"_at": ("last", "_span"), "_hit": ("last", "_cut")}
+    rows = running(rows, ["run_id"], ["_t", "_tag"], back, width)
+    rows = running(rows, ["run_id"], ["_t", "_rtag"], {f"_hi_{g}": ("last", f"_s_{g}") for g in signals}, width, reverse=True)
+    flag = lambda c: F.when(c, 1.0).otherwise(0.0)
+    out: list[Column] = []
+    for group, (_, names) in signals.items():
+        lo, hi = F.col(f"_lo_{group}"), F.col(f"_hi_{group}")
+        gap = hi["t"] - lo["t"]
+        w = (F.col("_t") - lo["t"]) / F.when(gap != 0, gap)
+        for c in names:
+            inside = F.when(gap == 0, lo[c]).otherwise(lo[c] * (1 - w) + hi[c] * w)
+            value = F.when(lo.isNotNull() & hi.isNotNull(), inside).when(lo.isNotNull(), lo[c]).when(hi.isNotNull(), hi[c])
+            out.append(value.otherwise(0.0).alias(c))
+        out.append(flag(lo.isNotNull() & hi.isNotNull()).alias(f"{group}_available"))
+    inside = F.coalesce(F.col("_t") <= F.col("_at.span_end"), F.lit(False))
+    out += [F.when(inside, F.col(f"_at.{c}").cast("double")).otherwise(0.0).alias(c) for c in states]
+    out += [flag(inside).alias("content_event_available"), flag(F.coalesce(F.col("_hit") == F.col("_step"), F.lit(False))).alias("shot_change")]
+    return rows.where("_tag = 1").select("run_id", F.col("_step").alias("step"), *out)
+
+
 def frame_label(music: Column, speech: Column, singing: Column, silence: Column, threshold: float) -> Column:
     """Silence / speech / music / other from class probabilities; song is not speech."""
     spoken = (speech >= threshold) & (speech >= 1.2 * singing)

@@ -325,36 +325,59 @@ def x23(spark, d):
     return I.sample_times(_durations(_events(spark, d)), 0.25)
 
 
-@query("e05_feature_grid", f"""{BASE}, {OV}, {FU}, {GRID},
- lo AS (SELECT gr.*, cv.t AS lt, cv.value AS lv FROM gr ASOF LEFT JOIN (SELECT * FROM cv WHERE kind = 'view') cv ON gr.run_id = cv.run_id AND gr.t >= cv.t),
- hl AS (SELECT lo.*, cv.t AS ht, cv.value AS hv FROM lo ASOF LEFT JOIN (SELECT * FROM cv WHERE kind = 'view') cv ON lo.run_id = cv.run_id AND lo.t <= cv.t),
+VISUAL = {  # columns of a visual sample, as Spark and DuckDB both read them
+    "motion": "value", "motion_structural": "value * 0.6", "luminance_shift": "abs(value - 50)", "brightness": "value / (value + 50)",
+    "brightness_p90": "least(value / 40, 1)", "contrast": "idx % 100 / 100", "saturation": "idx % 7 / 7", "entropy": "ln(1 + abs(value))",
+}
+AUDIO = {
+    "audio_energy": "value", "spectral_centroid": "idx % 1000", "spectral_flatness": "idx % 13 / 13",
+    "speech_activity": "CASE WHEN value > 50 THEN 1 ELSE 0 END",
+}
+ASKS = "(^| )[0-9]*7( |$)"  # an utterance whose number ends in 7 plays a call to action
+STATES = ("speech_present", "music_present", "text_present", "cta_present", "object_count")
+
+
+def _sample_sql(name, kind, columns):
+    fields = ", ".join(f"'{c}': ({e})::DOUBLE" for c, e in columns.items())
+    return f"{name} AS (SELECT run_id, t, {{'t': t, {fields}}} AS s FROM cv WHERE kind = '{kind}')"
+
+
+def _between_sql(lo, hi, columns):
+    w = f"((t - {lo}.t) / ({hi}.t - {lo}.t))"
+    return ", ".join(
+        f"round(coalesce(CASE WHEN {lo}.t IS NULL THEN {hi}.{c} WHEN {hi}.t IS NULL OR {hi}.t = {lo}.t THEN {lo}.{c} ELSE {lo}.{c} * (1 - {w}) + {hi}.{c} * {w} END, 0), 6) AS {c}"
+        for c in columns
+    )
+
+
+@query("e05_feature_grid", f"""{BASE}, {OV}, {FU}, {GRID}, {_sample_sql("vs", "view", VISUAL)}, {_sample_sql("aus", "error", AUDIO)},
+ g1 AS (SELECT gr.*, s AS vl FROM gr ASOF LEFT JOIN vs ON gr.run_id = vs.run_id AND gr.t >= vs.t),
+ g2 AS (SELECT g1.*, s AS vh FROM g1 ASOF LEFT JOIN vs ON g1.run_id = vs.run_id AND g1.t <= vs.t),
+ g3 AS (SELECT g2.*, s AS al FROM g2 ASOF LEFT JOIN aus ON g2.run_id = aus.run_id AND g2.t >= aus.t),
+ g4 AS (SELECT g3.*, s AS ah FROM g3 ASOF LEFT JOIN aus ON g3.run_id = aus.run_id AND g3.t <= aus.t),
+ sw AS (SELECT run_id, span_start, span_end, count(*) AS shown FROM ov WHERE kind = 'overlay' GROUP BY ALL),
  ct AS (SELECT DISTINCT run_id, least(greatest(round_even(start_t * 0.25 - 0.5, 0), 0), 179) AS step FROM sh)
- SELECT hl.run_id, hl.step, round(CASE WHEN lt IS NULL THEN hv WHEN ht IS NULL THEN lv WHEN ht = lt THEN lv ELSE lv * (1 - (t - lt) / (ht - lt)) + hv * ((t - lt) / (ht - lt)) END, 6) AS motion,
- CASE WHEN lt IS NOT NULL AND ht IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS visual_available,
+ SELECT g4.run_id, g4.step, {_between_sql("vl", "vh", VISUAL)}, CASE WHEN vl.t IS NOT NULL AND vh.t IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS visual_available,
+ {_between_sql("al", "ah", AUDIO)}, CASE WHEN al.t IS NOT NULL AND ah.t IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS audio_available,
  CASE WHEN fu.speech_text <> '' THEN 1.0 ELSE 0.0 END::DOUBLE AS speech_present, CASE WHEN fu.audio_label = 'music' THEN 1.0 ELSE 0.0 END::DOUBLE AS music_present,
- CASE WHEN fu.event_type = 'cta' THEN 1.0 ELSE 0.0 END::DOUBLE AS cta_present, CASE WHEN ct.step IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS shot_change
- FROM hl JOIN fu ON fu.run_id = hl.run_id AND hl.t >= span_start AND hl.t < span_end LEFT JOIN ct ON ct.run_id = hl.run_id AND ct.step = hl.step""")
+ CASE WHEN sw.shown > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS text_present,
+ CASE WHEN fu.event_type = 'cta' OR regexp_matches(fu.speech_text, '{ASKS}') THEN 1.0 ELSE 0.0 END::DOUBLE AS cta_present, coalesce(sw.shown, 0)::DOUBLE AS object_count,
+ CASE WHEN fu.span_start IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS content_event_available, CASE WHEN ct.step IS NOT NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS shot_change
+ FROM g4 LEFT JOIN fu ON fu.run_id = g4.run_id AND g4.t >= fu.span_start AND (g4.t < fu.span_end OR (g4.t = 720 AND fu.span_end = 720))
+ LEFT JOIN sw ON sw.run_id = fu.run_id AND sw.span_start = fu.span_start AND sw.span_end = fu.span_end LEFT JOIN ct ON ct.run_id = g4.run_id AND ct.step = g4.step""")
 def e05(spark, d):
-    """Uniform grid: interpolated signals, stabbed categories, impulses at cuts, availability."""
-    from tidemark.operators.timejoin import interpolate
-
-    ev, iv, fused, bucket, width = _fused(spark, d)
-    rate = 0.25
-    grid = I.sample_times(_durations(ev), rate)
-    views = ev.where("kind = 'view'").select("run_id", F.col("t").alias("vt"), F.col("value").alias("motion_value"))
-    motion = interpolate(grid.withColumnRenamed("t", "gt"), views, ["run_id"], "gt", "vt", "motion_value", hold_ends=True, width=width, name="motion")
-    reach = views.groupBy("run_id").agg(F.min("vt").alias("_a"), F.max("vt").alias("_b"))
-    last = F.ceil(F.lit(DURATION * rate)).cast("int") - 1
-    cut = F.least(F.greatest(F.rint(F.col("start_t") * rate - 0.5).cast("int"), F.lit(0)), last)
-    cuts = _shots(ev, width).select("run_id", cut.alias("step")).distinct().withColumn("cut", F.lit(1.0))
+    """All 21 columns: interpolated signals, states of the fused timeline, impulses at cuts, availability."""
+    ev, iv, fused, _, width = _fused(spark, d)
+    samples = lambda kind, columns: ev.where(F.col("kind") == kind).select("run_id", "t", *[F.expr(e).alias(c) for c, e in columns.items()])
     one = lambda c: F.when(c, 1.0).otherwise(0.0)
-    state = stab_join(grid, fused, ["run_id"], "t", ("span_start", "span_end"), bucket).select(
-        "run_id", "step", one(F.col("speech_text") != "").alias("speech_present"),
-        one(F.coalesce(F.col("audio_label") == "music", F.lit(False))).alias("music_present"), one(F.col("event_type") == "cta").alias("cta_present"))
-    out = motion.join(reach, "run_id", "left").join(state, ["run_id", "step"]).join(cuts, ["run_id", "step"], "left")
-    return out.select("run_id", "step", r("motion").alias("motion"),
-                      one(F.coalesce(F.col("gt").between(F.col("_a"), F.col("_b")), F.lit(False))).alias("visual_available"),
-                      "speech_present", "music_present", "cta_present", F.coalesce("cut", F.lit(0.0)).alias("shot_change"))
+    spans = fused.select(
+        "run_id", "span_start", "span_end", one(F.col("speech_text") != "").alias("speech_present"), one(F.col("audio_label") == "music").alias("music_present"),
+        one(F.size("on_screen_text") > 0).alias("text_present"), one((F.col("event_type") == "cta") | F.col("speech_text").rlike(ASKS)).alias("cta_present"),
+        F.size("on_screen_text").alias("object_count"))
+    signals = {"visual": (samples("view", VISUAL), list(VISUAL)), "audio": (samples("error", AUDIO), list(AUDIO))}
+    cuts = _shots(ev, width).select("run_id", F.col("start_t").alias("t"))
+    out = I.feature_grid(_durations(ev), 0.25, signals, spans, STATES, cuts, width)
+    return out.select(*[r(c).alias(c) if c in VISUAL or c in AUDIO else c for c in out.columns])
 
 
 RUNS = """rl AS (SELECT *, CASE WHEN kind = lag(kind) OVER w THEN 0 ELSE 1 END AS nw FROM cv WINDOW w AS (PARTITION BY run_id ORDER BY t, idx)),
