@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from tidemark.operators.intervals import feature_grid
+from tidemark.operators.intervals import content_summary, feature_grid
 
 RATE, DURATION = 0.5, {"a": 41.0, "b": 6.0, "c": 0.0}
 
@@ -64,3 +64,26 @@ def test_grid_lays_the_rows_out_once(spark):
     assert plan.count("Window ") == 2
     done = got._jdf.queryExecution().executedPlan().toString()
     assert done.count("Exchange hashpartitioning(run_id") <= 3  # the union once, the two sides of cuts and runs at most
+
+
+@pytest.mark.parametrize("width", [None, 7.0])
+def test_summary_of_full_empty_and_lengthless_runs(spark, width):
+    rows = [
+        ("a", "shot", 0.0, 30.0, "shot", None), ("a", "shot", 30.0, 40.0, "shot", None), ("a", "shot", 40.0, 40.0, "shot", None),
+        ("a", "speech", 1.0, 5.0, "speech", " one  two\tthree "), ("a", "speech", 4.0, 7.0, "speech", None), ("a", "speech", 90.0, 130.0, "speech", "four"),
+        ("a", "audio", 0.0, 30.0, "silence", None), ("a", "audio", 20.0, 40.0, "silence", None), ("a", "audio", 35.0, 60.0, "music", None),
+        ("a", "audio", 60.0, 66.0, None, None), ("a", "cta", 9.0, 9.5, "cta", None), ("a", "cta", 8.0, 9.5, "cta", None), ("c", "shot", 0.0, 1.0, "shot", None),
+    ]
+    iv = spark.createDataFrame(rows, "run_id string, kind string, start_t double, end_t double, label string, text string")
+    runs = spark.createDataFrame([("a", 120.0), ("b", 60.0), ("c", 0.0)], "run_id string, duration double")
+    scenes = spark.createDataFrame([("a",), ("a",)], "run_id string")
+    signals = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 2.0)], "run_id string, value double")
+    got = {x.run_id: x.asDict() for x in content_summary(runs, iv, scenes, signals, width).collect()}
+    assert {k: v for k, v in got["a"].items() if k != "run_id"} == pytest.approx({
+        "shot_count": 3, "scene_count": 2, "utterances": 3, "word_count": 4, "overlay_count": 0, "cta_count": 2, "mean_shot": 20.0,
+        "median_shot": 20.0, "cuts_per_minute": 1.0, "words_per_minute": 2.0, "first_cta": 8.0, "mean_signal": 1.5,
+        "speech_fraction": 36 / 120, "audio_fraction": 66 / 120, "silence_fraction": 40 / 120, "music_fraction": 25 / 120,
+    })
+    assert got["b"]["shot_count"] == got["b"]["word_count"] == got["b"]["speech_fraction"] == 0
+    assert got["b"]["cuts_per_minute"] is got["b"]["words_per_minute"] is got["b"]["mean_shot"] is got["b"]["first_cta"] is None
+    assert got["c"]["shot_count"] == 1 and got["c"]["cuts_per_minute"] is got["c"]["silence_fraction"] is None

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import safe_div
+from tidemark.operators.ranks import exact_quantiles
 from tidemark.operators.sequence import fold_sorted, islands, neighbours, running
 from tidemark.operators.timejoin import asof, overlap_join, stab_join
 
@@ -168,6 +169,52 @@ def covered_length(intervals: DataFrame, durations: DataFrame, width: float | No
     return seen.groupBy("run_id").agg(F.sum(fresh).alias("covered"))
 
 
+def content_summary(
+    durations: DataFrame, intervals: DataFrame, scenes: DataFrame, signals: DataFrame,
+    width: float | None = None, minutes_per_unit: float = 1 / 60,
+) -> DataFrame:
+    """One row a run: pace of shots, scenes, spoken words, and shares of speech, sound, silence and music.
+
+    ``intervals`` has kinds shot, speech, audio (label silence or music), overlay and cta with
+    ``text``; ``scenes`` a row a scene; ``signals`` has ``value``. Shares come from merged
+    intervals within the run, of all families in one pass, 0 where there are none. Shots without
+    length count as shots, not in their mean and median. Without shots the pace is null, without
+    words the rate of words, and a run without length has null shares. Times are in seconds
+    unless ``minutes_per_unit`` says otherwise.
+    """
+    of_kind = lambda k, c: F.when(F.col("kind") == k, c)
+    length = F.when(F.col("end_t") > F.col("start_t"), F.col("end_t") - F.col("start_t"))
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))
+    counts = intervals.groupBy("run_id").agg(
+        F.count(of_kind("shot", 1)).alias("shot_count"), F.avg(of_kind("shot", length)).alias("mean_shot"),
+        F.count(of_kind("speech", 1)).alias("utterances"), F.coalesce(F.sum(of_kind("speech", words)), F.lit(0)).alias("word_count"),
+        F.count(of_kind("overlay", 1)).alias("overlay_count"), F.count(of_kind("cta", 1)).alias("cta_count"),
+        F.min(of_kind("cta", F.col("start_t"))).alias("first_cta"),
+    )
+    shots = intervals.where("kind = 'shot'").select("run_id", length.alias("length")).where("length IS NOT NULL")
+    median = exact_quantiles(shots, ["run_id"], "length", {"median_shot": 0.5})
+    families = ("speech", "audio", "silence", "music")
+    family = F.when(F.col("kind") == "speech", F.array(F.lit("speech"))).when(F.col("kind") == "audio", F.array(F.lit("audio"), F.col("label")))
+    heard = intervals.where("kind IN ('speech', 'audio')").withColumn("family", F.explode(family)).where(F.col("family").isin(*families))
+    both = F.struct("run_id", "family").alias("run_id")
+    lengths = durations.withColumn("family", F.explode(F.array(*[F.lit(f) for f in families]))).select(both, "duration")
+    covered = covered_length(heard.select(both, "start_t", "end_t"), lengths, width)
+    share = lambda f: F.sum(F.when(F.col("run_id.family") == f, F.col("covered"))).alias(f"_{f}")
+    covered = covered.groupBy(F.col("run_id.run_id").alias("run_id")).agg(*[share(f) for f in families])
+    out = durations.select("run_id", "duration").join(counts, "run_id", "left").join(median, "run_id", "left")
+    out = out.join(scenes.groupBy("run_id").agg(F.count("*").alias("scene_count")), "run_id", "left").join(covered, "run_id", "left")
+    out = out.join(signals.groupBy("run_id").agg(F.avg("value").alias("mean_signal")), "run_id", "left")
+    number = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    whole = F.when(F.col("duration") > 0, F.col("duration"))
+    minutes = whole * minutes_per_unit
+    return out.select(
+        "run_id", *[number(c) for c in ("shot_count", "scene_count", "utterances", "word_count", "overlay_count", "cta_count")],
+        "mean_shot", "median_shot", F.when(F.col("shot_count") > 0, (F.col("shot_count") - 1) / minutes).alias("cuts_per_minute"),
+        F.when(F.col("word_count") > 0, F.col("word_count") / minutes).alias("words_per_minute"), "first_cta", "mean_signal",
+        *[(F.coalesce(f"_{f}", F.lit(0.0)) / whole).alias(f"{f}_fraction") for f in families],
+    )
+
+
 def run_segments(
     frames: DataFrame, durations: DataFrame, order: Sequence[str], width: float | None = None
 ) -> DataFrame:

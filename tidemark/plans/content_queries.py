@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import epoch, r
 from tidemark.operators import intervals as I
 from tidemark.operators.ranks import exact_quantiles, top_k
-from tidemark.operators.sequence import chunk_width
+from tidemark.operators.sequence import chunk_width, neighbours
 from tidemark.operators.timejoin import bucket_width, overlap_join, stab_join
 from tidemark.plans.registry import query
 from tidemark.sources.tables import table
@@ -208,30 +208,40 @@ def a18(spark, d):
     return I.covered_length(audio, _durations(ev), chunk_width(ev, ["run_id"], "t")).withColumn("covered", r("covered"))
 
 
-@query("a19_content_summary", f"""WITH {CV}, {SH}, {IV}, {COVER},
- s AS (SELECT run_id, count(*) AS shot_count, avg(end_t - start_t) AS mean_shot, quantile_cont(end_t - start_t, 0.5) AS median_shot FROM sh GROUP BY 1),
- c AS (SELECT run_id, count(*) FILTER (kind = 'speech') AS utterances, count(*) FILTER (kind = 'overlay') AS overlay_count, count(*) FILTER (kind = 'cta') AS cta_count, min(start_t) FILTER (kind = 'cta') AS first_cta FROM iv GROUP BY 1),
+SCENES = """b AS (SELECT DISTINCT sh.run_id, sh.idx FROM sh JOIN iv ON iv.run_id = sh.run_id AND iv.kind = 'speech' AND iv.start_t < sh.start_t AND sh.start_t < iv.end_t),
+ o AS (SELECT sh.*, row_number() OVER w AS k, 1 - abs(value - lag(value) OVER w) / 503 AS sim, b.idx IS NOT NULL AS br FROM sh LEFT JOIN b USING (run_id, idx) WINDOW w AS (PARTITION BY sh.run_id ORDER BY start_t)),
+ f AS (SELECT run_id, k, start_t AS head FROM o WHERE k = 1 UNION ALL SELECT o.run_id, o.k, CASE WHEN o.end_t - f.head > 150 THEN o.start_t WHEN o.sim >= 0.9 OR o.br THEN f.head ELSE o.start_t END FROM f JOIN o ON o.run_id = f.run_id AND o.k = f.k + 1)"""
+
+
+def _scenes(ev, width):
+    shots = _shots(ev, width)
+    speech = _intervals(ev, width).where("kind = 'speech'").select("run_id", F.col("start_t").alias("s"), F.col("end_t").alias("e"))
+    bridged = stab_join(shots.select("run_id", "idx", "start_t"), speech, ["run_id"], "start_t", ("s", "e"), bucket_width(speech, "s", "e")).where("s < start_t").select("run_id", "idx").distinct().withColumn("_b", F.lit(True))
+    near = neighbours(shots, ["run_id"], ["start_t"], ["value"], width)
+    ready = near.join(bridged, ["run_id", "idx"], "left").select("run_id", "start_t", "end_t", (1 - F.abs(F.col("value") - F.col("prev.value")) / 503).alias("similar"), F.coalesce("_b", F.lit(False)).alias("bridged"))
+    return I.group_scenes(ready, 0.9, 150.0, width)
+
+
+# An utterance has one to five words by its number.
+@query("a19_content_summary", f"""WITH RECURSIVE {CV}, {SH}, {IV}, {SCENES}, ivf AS (SELECT run_id, CASE WHEN kind = 'audio' AND part = 2 THEN label ELSE kind END AS kind, start_t, end_t FROM iv, (VALUES (1), (2)) p(part) WHERE part = 1 OR kind = 'audio'),
+ {COVER.replace("FROM iv WHERE", "FROM ivf WHERE")},
+ s AS (SELECT run_id, count(*) AS shot_count, avg(end_t - start_t) FILTER (end_t > start_t) AS mean_shot, quantile_cont(end_t - start_t, 0.5) FILTER (end_t > start_t) AS median_shot FROM sh GROUP BY 1),
+ c AS (SELECT run_id, count(*) FILTER (kind = 'speech') AS utterances, coalesce(sum(idx % 5 + 1) FILTER (kind = 'speech'), 0)::BIGINT AS word_count, count(*) FILTER (kind = 'overlay') AS overlay_count, count(*) FILTER (kind = 'cta') AS cta_count, min(start_t) FILTER (kind = 'cta') AS first_cta FROM iv GROUP BY 1),
+ sc AS (SELECT run_id, count(DISTINCT head) AS scene_count FROM f GROUP BY 1),
+ cf AS (SELECT run_id, sum(covered) FILTER (kind = 'speech') AS sp, sum(covered) FILTER (kind = 'audio') AS au, sum(covered) FILTER (kind = 'silence') AS si, sum(covered) FILTER (kind = 'music') AS mu FROM co GROUP BY 1),
  m AS (SELECT run_id, avg(value) AS mean_signal FROM cv GROUP BY 1)
- SELECT c.run_id, shot_count, round(mean_shot, 6) AS mean_shot, round(median_shot, 6) AS median_shot, round((shot_count - 1) / 43200.0::DOUBLE, 8) AS cuts_per_minute,
- utterances, overlay_count, cta_count, round(first_cta, 6) AS first_cta, round(sp.covered / 720, 6) AS speech_fraction, round(au.covered / 720, 6) AS audio_fraction, round(mean_signal, 6) AS mean_signal
- FROM c JOIN s USING (run_id) JOIN m USING (run_id) LEFT JOIN co sp ON sp.run_id = c.run_id AND sp.kind = 'speech' LEFT JOIN co au ON au.run_id = c.run_id AND au.kind = 'audio'""")
+ SELECT du.run_id, coalesce(shot_count, 0) AS shot_count, coalesce(scene_count, 0) AS scene_count, round(mean_shot, 6) AS mean_shot, round(median_shot, 6) AS median_shot, round((shot_count - 1) / 43200.0::DOUBLE, 8) AS cuts_per_minute,
+ coalesce(utterances, 0) AS utterances, coalesce(word_count, 0) AS word_count, round(CASE WHEN word_count > 0 THEN word_count / 43200.0::DOUBLE END, 8) AS words_per_minute, coalesce(overlay_count, 0) AS overlay_count, coalesce(cta_count, 0) AS cta_count,
+ round(first_cta, 6) AS first_cta, round(coalesce(sp, 0) / 720, 6) AS speech_fraction, round(coalesce(au, 0) / 720, 6) AS audio_fraction, round(coalesce(si, 0) / 720, 6) AS silence_fraction, round(coalesce(mu, 0) / 720, 6) AS music_fraction, round(mean_signal, 6) AS mean_signal
+ FROM du LEFT JOIN c USING (run_id) LEFT JOIN s USING (run_id) LEFT JOIN sc USING (run_id) LEFT JOIN cf USING (run_id) LEFT JOIN m USING (run_id)""")
 def a19(spark, d):
     ev = _events(spark, d)
     width = chunk_width(ev, ["run_id"], "t")
-    du, iv = _durations(ev), _intervals(ev, width)
-    shots = iv.where("kind = 'shot'").withColumn("length", F.col("end_t") - F.col("start_t"))
-    pace = shots.groupBy("run_id").agg(F.count(F.lit(1)).alias("shot_count"), F.avg("length").alias("mean_shot"))
-    median = exact_quantiles(shots, ["run_id"], "length", {"median_shot": 0.5})
-    is_kind = lambda k: F.sum(F.when(F.col("kind") == k, 1).otherwise(0))
-    counts = iv.groupBy("run_id").agg(
-        is_kind("speech").alias("utterances"), is_kind("overlay").alias("overlay_count"), is_kind("cta").alias("cta_count"),
-        F.min(F.when(F.col("kind") == "cta", F.col("start_t"))).alias("first_cta"),
-    )
-    cover = lambda k, n: I.covered_length(iv.where(F.col("kind") == k), du, width).select("run_id", (F.col("covered") / DURATION).alias(n))
-    signal = ev.groupBy("run_id").agg(F.avg("value").alias("mean_signal"))
-    out = counts.join(pace, "run_id").join(median, "run_id").join(signal, "run_id").join(cover("speech", "speech_fraction"), "run_id", "left").join(cover("audio", "audio_fraction"), "run_id", "left")
-    cols = ("mean_shot", "median_shot", "first_cta", "speech_fraction", "audio_fraction", "mean_signal")
-    return out.select("run_id", "shot_count", "utterances", "overlay_count", "cta_count", r((F.col("shot_count") - 1) / (DURATION * 60), 8).alias("cuts_per_minute"), *[r(c).alias(c) for c in cols])
+    spoken = F.when(F.col("kind") == "speech", F.expr("array_join(sequence(1, idx % 5 + 1), ' ')"))
+    out = I.content_summary(_durations(ev), _intervals(ev, width).withColumn("text", spoken), _scenes(ev, width), ev, width, minutes_per_unit=60)
+    per_minute = ("cuts_per_minute", "words_per_minute")
+    rounded = {c: r(c, 8) for c in per_minute} | {c: r(c) for c in out.columns if c not in per_minute and out.schema[c].dataType.typeName() == "double"}
+    return out.withColumns(rounded)
 
 
 @query("a22_label_appearances", f"WITH {CV} SELECT run_id, kind AS label, round(min(t), 6) AS first_seen, round(max(t), 6) AS last_seen, least(720, count(DISTINCT t) * 0.5::DOUBLE) AS screen_seconds, count(*) AS detections, round(avg(value / 503), 8) AS mean_confidence FROM cv GROUP BY ALL HAVING count(DISTINCT t) >= 2")
@@ -520,21 +530,11 @@ def p30(spark, d):
     return at.join(rows, ["run_id", "i"]).select("run_id", "asked", r(F.col("t") - 5).alias("content_time"))
 
 
-@query("w24_scene_grouping", f"""WITH RECURSIVE {CV}, {SH}, {IV}, b AS (SELECT DISTINCT sh.run_id, sh.idx FROM sh JOIN iv ON iv.run_id = sh.run_id AND iv.kind = 'speech' AND iv.start_t < sh.start_t AND sh.start_t < iv.end_t),
- o AS (SELECT sh.*, row_number() OVER w AS k, 1 - abs(value - lag(value) OVER w) / 503 AS sim, b.idx IS NOT NULL AS br FROM sh LEFT JOIN b USING (run_id, idx) WINDOW w AS (PARTITION BY sh.run_id ORDER BY start_t)),
- f AS (SELECT run_id, k, start_t AS head FROM o WHERE k = 1 UNION ALL SELECT o.run_id, o.k, CASE WHEN o.end_t - f.head > 150 THEN o.start_t WHEN o.sim >= 0.9 OR o.br THEN f.head ELSE o.start_t END FROM f JOIN o ON o.run_id = f.run_id AND o.k = f.k + 1)
+@query("w24_scene_grouping", f"""WITH RECURSIVE {CV}, {SH}, {IV}, {SCENES}
  SELECT o.run_id, round(f.head, 6) AS start_t, round(max(end_t), 6) AS end_t, CAST(count(*) AS INTEGER) AS shots FROM f JOIN o USING (run_id, k) GROUP BY o.run_id, f.head""")
 def w24(spark, d):
-    from tidemark.operators.sequence import neighbours
-
     ev = _events(spark, d)
-    width = chunk_width(ev, ["run_id"], "t")
-    shots = _shots(ev, width)
-    speech = _intervals(ev, width).where("kind = 'speech'").select("run_id", F.col("start_t").alias("s"), F.col("end_t").alias("e"))
-    bridged = stab_join(shots.select("run_id", "idx", "start_t"), speech, ["run_id"], "start_t", ("s", "e"), bucket_width(speech, "s", "e")).where("s < start_t").select("run_id", "idx").distinct().withColumn("_b", F.lit(True))
-    near = neighbours(shots, ["run_id"], ["start_t"], ["value"], width)
-    ready = near.join(bridged, ["run_id", "idx"], "left").select("run_id", "start_t", "end_t", (1 - F.abs(F.col("value") - F.col("prev.value")) / 503).alias("similar"), F.coalesce("_b", F.lit(False)).alias("bridged"))
-    out = I.group_scenes(ready, 0.9, 150.0, width)
+    out = _scenes(ev, chunk_width(ev, ["run_id"], "t"))
     return out.select("run_id", r("start_t").alias("start_t"), r("end_t").alias("end_t"), "shots")
 
 
