@@ -392,6 +392,43 @@ def timeline_summary(
     )
 
 
+def timeline_coverage(
+    segments: DataFrame, step: float, offset: float = 0.0, tolerance: float = 1e-6, width: float | None = None
+) -> DataFrame:
+    """Per run: kept of all segments, first start, last end, seconds covered, contiguous or not, notes.
+
+    ``segments`` has ``run_id, start_t, duration, kept``. Seconds covered are the sum of the
+    kept durations. Note ``before_start``: a kept start less ``offset`` is negative; ``tiled``:
+    segments were left out and yet the kept ones fill their span. A run without kept segments
+    is contiguous, with null times; segments without a start or duration are not kept.
+    """
+    whole = F.coalesce("kept", F.lit(False)) & F.col("start_t").isNotNull() & F.col("duration").isNotNull()
+    marked = segments.select("run_id", "start_t", "duration", whole.alias("kept"))
+    total = marked.groupBy("run_id").agg(F.count("*").alias("n_total"))
+    kept = neighbours(marked.where("kept"), ["run_id"], ["start_t"], ["start_t"], width)
+    gap = F.col("start_t") - F.col("prev.start_t")
+    facts = kept.groupBy("run_id").agg(
+        F.count("*").alias("n_kept"), F.min("start_t").alias("first_start"), F.max(F.col("start_t") + F.col("duration")).alias("last_end"),
+        F.sum("duration").alias("covered_seconds"), F.bool_and(F.abs(gap - step) <= tolerance).alias("contiguous"),
+    )
+    out = total.join(facts, "run_id", "left").withColumns({"n_kept": F.coalesce("n_kept", F.lit(0).cast("long")), "contiguous": F.coalesce("contiguous", F.lit(True))})
+    filled = F.abs(F.col("covered_seconds") - (F.col("last_end") - F.col("first_start"))) <= tolerance
+    notes = F.array(
+        F.when(F.col("first_start") - offset < 0, "before_start"),
+        F.when((F.col("n_total") > F.col("n_kept")) & F.col("contiguous") & filled, "tiled"),
+    )
+    return out.withColumn("notes", F.array_join(notes, ","))
+
+
+def frame_range(panel: DataFrame) -> DataFrame:
+    """Least, greatest and mean finite value of each row of a run; 0 where none is finite."""
+    v = finite("value")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return panel.groupBy("run_id", "row_idx").agg(
+        zero(F.min(v)).alias("least"), zero(F.max(v)).alias("greatest"), zero(F.avg(v)).alias("mean"), F.count(v).alias("n_finite")
+    )
+
+
 def sampling_period(rows: DataFrame, width: float | None = None) -> DataFrame:
     """Median step between consecutive samples of each run."""
     gaps = neighbours(rows, ["run_id"], ["t"], ["t"], width).withColumn(

@@ -203,6 +203,28 @@ def a41(spark, d):
     return P.sampling_period(es, chunk_width(es, ["run_id"], "t")).withColumn("period", r("period", 3))
 
 
+@query("a12_timeline_coverage", f"""WITH {SP}, rw AS (SELECT DISTINCT run_id, row_idx FROM sp),
+ sg AS (SELECT run_id, row_idx * 2.0::DOUBLE AS s, 2.0::DOUBLE AS l, part = 0 AS kept FROM rw, (VALUES (0), (1)) p(part) WHERE part = 0 OR row_idx % 3 = 0),
+ kp AS (SELECT *, s - lag(s) OVER (PARTITION BY run_id ORDER BY s) AS gap FROM sg WHERE kept),
+ ft AS (SELECT run_id, count(*) AS n_kept, min(s) AS first_start, max(s + l) AS last_end, sum(l) AS covered_seconds, coalesce(bool_and(abs(gap - 2) <= 1e-6), true) AS contiguous FROM kp GROUP BY 1),
+ al AS (SELECT run_id, count(*) AS n_total FROM sg GROUP BY 1)
+ SELECT *, concat_ws(',', CASE WHEN first_start - 5 < 0 THEN 'before_start' END, CASE WHEN n_total > n_kept AND contiguous AND abs(covered_seconds - (last_end - first_start)) <= 1e-6 THEN 'tiled' END) AS notes
+ FROM al JOIN ft USING (run_id)""")
+def a12c(spark, d):
+    """Ship months as segments of two seconds; every third has a second, left-out segment."""
+    rows = ship_panel(spark, d).select("run_id", "row_idx").distinct()
+    parts = F.when(F.col("row_idx") % 3 == 0, F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    segments = rows.select("run_id", (F.col("row_idx") * 2.0).alias("start_t"), F.lit(2.0).alias("duration"), F.explode(parts).alias("kept"))
+    return P.timeline_coverage(segments, 2.0, offset=5.0)
+
+
+@query("a38_frame_range", f"""WITH {SP} SELECT run_id, row_idx, round(coalesce(min(value), 0), 6) AS least, round(coalesce(max(value), 0), 6) AS greatest,
+ round(coalesce(avg(value), 0), 6) AS mean, count(value) AS n_finite FROM sp GROUP BY ALL""")
+def a38f(spark, d):
+    out = P.frame_range(ship_panel(spark, d))
+    return out.withColumns({c: r(c) for c in ("least", "greatest", "mean")})
+
+
 @query("a38_display_scale", f"""WITH {ES} SELECT run_id, round(quantile_cont(value - 50, 0.01), 6) AS p01,
  round(quantile_cont(value - 50, 0.5), 6) AS p50, round(quantile_cont(value - 50, 0.99), 6) AS p99,
  round(avg(CASE WHEN value < 50 THEN 1.0::DOUBLE ELSE 0 END), 8) AS negative_fraction,
