@@ -17,7 +17,7 @@ e18_evaluate_objectives w17_rank_all_orders j12_part_front e16_pattern_similarit
 a44_nearest_other_cluster a24_frequent_terms e23_feature_evidence u07_deduplicate e28_approved_spec p16_guardrails k09_population
 a35_population_diversity w22_patience e45_stop_verdict e32_axis_neighbours a31_kendall j20_nearest_training_distance
 s05_latest_by_cache_key s08_immutable_comparison a29_map_validation j15_gate_report a16_linear_coverage e07_gated_comparison
-k16_take_by_front e45_space_exhausted""".split()
+k16_take_by_front e45_space_exhausted e05_feature_grid a19_content_summary a12_timeline_coverage a38_frame_range""".split()
 NAMES = sorted(queries()) if os.environ.get("TIDEMARK_ALL_QUERIES") else QUICK
 
 
