@@ -374,11 +374,13 @@ def toxic_index(spark):
 
 def test_nearest_examples_are_exact(spark, odd):
     index, rows = toxic_index(spark)
-    flat = index.postings.transpose(0, 2, 1).reshape(-1, index.postings.shape[1])
+    texts = dict(rows)
+    examples = [dict(zip(*map(list, index.vector(texts[i])), strict=True)) for i in index.ids]
+    assert len({index.label[k] for k in range(len(examples))}) == 2
     for _, text in [*rows[:40], (0, "rude and vile"), (0, "vile")]:
         term, weight = index.vector(text)
-        score = flat[:, term] @ weight if len(term) else np.zeros(len(flat))
-        best = sorted(score[score > 0], reverse=True)[: toxicity.NEAREST]
+        score = [sum(w * e.get(t, 0.0) for t, w in zip(term, weight, strict=True)) for e in examples]
+        best = sorted((s for s in score if s > 0), reverse=True)[: toxicity.NEAREST]
         assert np.allclose([s for s, _ in index.nearest(term, weight)], best)
     got = odd.select("doc_id", toxicity.scored(F.col("text"), index).alias("f")).collect()
     assert len(got) == len(ODD) and all(0 <= r["f"]["score"] <= 1 for r in got)
@@ -392,3 +394,15 @@ def test_toxicity_without_labels(spark, odd, empty):
     assert empty.select(toxicity.scored(F.col("text"), index)["score"]).count() == 0
     one = spark.createDataFrame([(4, 1), (7, 1)], "doc_id long, toxic int")
     assert odd.select(toxicity.scored(F.col("text"), toxicity.fit(odd, one))).count() == len(ODD)
+
+
+def test_few_labels_teach_and_no_term_is_left_out(spark):
+    rows = [(i, "vile rude awful" if i % 2 else "kind plain good") for i in range(14)]
+    rows = [(i, f"{t} {w}") for (i, t), w in zip(rows, "abcdefghijklmn", strict=True)]
+    docs = spark.createDataFrame([*rows, (20, "so vile"), (21, "so kind"), (22, "unheard"), (23, None)], "doc_id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int"))
+    assert set(index.terms.place) == {f for _, t in rows for w in t.split() for f in toxicity.terms_of(w)}
+    got = {r[0]: r[1] for r in docs.select("doc_id", toxicity.scored(F.col("text"), index)["predicted"]).collect()}
+    assert got == {i: i % 2 for i in range(14)} | {20: 1, 21: 0, 22: 0, 23: 0}
+    held = toxicity.document_counts(docs, index.terms)
+    assert held[index.terms.place["vile"]] == 8 and held[index.terms.place["a"]] == 1

@@ -1,35 +1,42 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine.
 
-A bounded sample of labelled texts gives the terms (words, and first letters of words,
-whose presence differs most between the labels, by chi-square) and the examples. The examples lie in blocks of an inverted index:
-for a term, the postings of each block and the block's largest weight. For a text the block
-maxima bound the cosine that a block can hold; blocks are opened from the highest bound down, and
-the search stops when no bound beats the k-th best example, so the k nearest are exact. Votes
-weighted by cosine give a raw score; a logistic curve fitted on sampled texts that are not
-examples turns it into a probability. Scoring runs in tasks, on the text column only.
+A bounded sample of labelled texts gives the examples and, for each term (words, and their first
+letters), how far its presence tells the labels apart: chi / (chi + ``HALF_CHI``) of the
+chi-square statistic multiplies the inverse document frequency, which is counted over all
+documents. No term of the sample is left out; one that the sample lacks has weight 0, so the
+cosine is that of whole texts. The examples lie in blocks of an inverted index: for a term, the
+postings of each block and the block's largest weight. For a text the block maxima bound the
+cosine that a block can hold; blocks are opened from the highest bound down, and the search stops
+when no bound beats the k-th best example, so the k nearest are exact. Votes weighted by cosine
+give a raw score; a logistic curve fitted on sampled texts that are not examples turns it into a
+probability. Scoring runs in tasks, on the text column only.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.llm.common import Scratch
 
 SAMPLE = 6_000  # labelled texts that the model is fitted on, at most; half of each label if there are
 EXAMPLES = 2_000
-TERMS = 1024
-LEAST_CHI = 15.0
+HALF_CHI = 15.0  # chi-square at which a term has half its weight
 NEAREST = 15
 BLOCK = 64
+OPENED = 3  # blocks opened first; all others that may hold a better example follow
 PRIOR = 0.5
 KEPT_WORDS = 300_000  # words whose terms a task remembers
+NO_EVIDENCE = 0.49  # highest score of a text that is like no example
 WORD = re.compile(r"\w+")
 
 
@@ -38,61 +45,97 @@ def terms_of(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in (4, 6) if len(word) > n)]
 
 
+@dataclass
+class Terms:
+    """Places of the sample's terms; the examples' terms come first."""
+
+    place: dict[str, int]
+    inner: int  # terms of the examples
+    known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+
+    def of(self, words) -> dict[str, tuple[int, ...]]:
+        """The places of each of ``words``, remembered for later texts."""
+        if len(self.known) > KEPT_WORDS:
+            self.known.clear()
+        known, place = self.known, self.place
+        for w in words:
+            if w not in known:
+                known[w] = tuple(place[f] for f in terms_of(w) if f in place)
+        return known
+
+
 @dataclass
 class Index:
     """Block-max inverted index of the examples."""
 
-    terms: list[str]
-    idf: np.ndarray
+    terms: Terms
+    weight: np.ndarray  # of each term: idf, times how far the term tells the labels apart
     label: np.ndarray  # of each example, in block order
     ids: np.ndarray
-    postings: np.ndarray  # block, term: the term's weight in each example of the block
-    block_max: np.ndarray  # block, term: the largest of these
+    # Postings by block, term and example:
+    term: np.ndarray
+    example: np.ndarray
+    value: np.ndarray
     prior: float = 0.0
     curve: tuple[float, float] = (0.0, 1.0)
-    place: dict[str, int] = field(default_factory=dict)
 
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    @property
+    def blocks(self) -> int:
+        return -(-len(self.label) // BLOCK)
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """Where the postings of (block, term) start."""
+        slot = (self.example // BLOCK).astype(np.int64) * self.terms.inner + self.term
+        return np.concatenate(([0], np.cumsum(np.bincount(slot, minlength=self.blocks * self.terms.inner))))
+
+    @cached_property
+    def block_max(self) -> np.ndarray:
+        """Largest weight of a term (row) in a block (column)."""
+        out = np.zeros((self.terms.inner, self.blocks))
+        np.maximum.at(out, (self.term, self.example // BLOCK), self.value)
+        return out
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms of the whole text and their normed weights."""
+        words = Counter(WORD.findall(text.lower())) if text else {}
+        known = self.terms.of(words)
         count: dict[int, int] = {}
-        words = WORD.findall(text.lower()) if text else []
-        known = self.known
-        for w in set(words).difference(known):
-            if len(known) > KEPT_WORDS:
-                known.clear()
-                return self.vector(text) if len(words) < KEPT_WORDS else normed(self.slow_count(words), self.idf)
-            known[w] = tuple(self.place[f] for f in terms_of(w) if f in self.place)
-        for ats in filter(None, map(known.__getitem__, words)):
-            for at in ats:
-                count[at] = count.get(at, 0) + 1
-        return normed(count, self.idf)
-
-    def slow_count(self, words: list[str]) -> dict[int, int]:
-        count: dict[int, int] = {}
-        for w in words:
-            for f in terms_of(w):
-                if f in self.place:
-                    count[self.place[f]] = count.get(self.place[f], 0) + 1
-        return count
+        for w, n in words.items():
+            for at in known[w]:
+                count[at] = count.get(at, 0) + n
+        term = np.fromiter(count, dtype=np.int64, count=len(count))
+        weight = (1 + np.log(np.fromiter(count.values(), dtype=np.float64, count=len(count)))) * self.weight[term]
+        order = np.argsort(term)
+        order = order[weight[order] > 0]
+        norm = np.sqrt((weight**2).sum())
+        return term[order], weight[order] / norm if norm else weight[order]
 
     def nearest(self, term: np.ndarray, weight: np.ndarray) -> list[tuple[float, int]]:
         """The k examples of highest cosine above 0, exact; ties go to the first in the index."""
+        last = np.searchsorted(term, self.terms.inner)
+        term, weight = term[:last], weight[:last]
         if not len(term):
             return []
-        bound = weight @ self.block_max[:, term].T
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or (len(best) == NEAREST and bound[block] < best[-1][0] - 1e-9):
+        bound = weight @ self.block_max[term]
+        order = np.argsort(-bound, kind="stable")
+        best = np.empty(0, dtype=np.int64)
+        cosine = np.empty(0)
+        for blocks in (order[:OPENED], order[OPENED:]):
+            least = cosine[-1] - 1e-9 if len(cosine) == NEAREST else 0.0
+            blocks = blocks[(bound[blocks] > 0) & (bound[blocks] >= least)]
+            if not len(blocks):
                 break
-            low = block * BLOCK
-            score = weight @ self.postings[block, term]
-            least = best[-1][0] if len(best) == NEAREST else 0.0
-            for at in np.flatnonzero(score > least):
-                best.append((float(score[at]), int(low + at)))
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:NEAREST]
-        return best
+            slot = (blocks[:, None] * self.terms.inner + term[None, :]).ravel()
+            start = self.starts[slot]
+            n = self.starts[slot + 1] - start
+            at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            score = np.bincount(self.example[at], np.repeat(np.tile(weight, len(blocks)), n) * self.value[at])
+            found = np.flatnonzero(score > 0)
+            best, cosine = np.concatenate((best, found)), np.concatenate((cosine, score[found]))
+            first = np.lexsort((best, -cosine))[:NEAREST]
+            best, cosine = best[first], cosine[first]
+        return list(zip(cosine.tolist(), best.tolist(), strict=True))
 
     def raw(self, vector: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[tuple[float, int]]]:
         found = self.nearest(*vector)
@@ -103,77 +146,110 @@ class Index:
         a, b = self.curve
         return float(1 / (1 + np.exp(-np.clip(a + b * logit(raw), -30, 30))))
 
+    def judged(self, text: str | None) -> tuple[float, int, list[dict]]:
+        """Score, prediction and evidence of a text."""
+        if not len(self.label):
+            return 0.0, 0, []
+        raw, found = self.raw(self.vector(text))
+        p = self.probability(raw)
+        if not found:
+            p = min(p, NO_EVIDENCE)
+        return p, int(p >= 0.5), [{"doc_id": int(self.ids[i]), "cosine": s, "label": int(self.label[i])} for s, i in found]
+
+
+def untaught() -> Index:
+    """The index when there are not texts of both labels."""
+    none = np.empty(0, dtype=np.int64)
+    return Index(Terms({}, 0), np.empty(0), none, none, none, none, np.empty(0))
+
 
 def logit(p):
     p = np.clip(p, 1e-4, 1 - 1e-4)
     return np.log(p / (1 - p))
 
 
-def normed(count: dict[int, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    term = np.array(sorted(count), dtype=np.int64)
-    weight = np.array([1 + np.log(count[t]) for t in term]) * idf[term] if len(term) else np.empty(0)
-    return term, weight / np.sqrt((weight**2).sum()) if len(term) else weight
-
-
-def chosen_terms(texts: DataFrame) -> tuple[list[str], np.ndarray]:
-    """The terms of highest chi-square between labels, and their inverse document frequencies.
+def sample_terms(texts: DataFrame) -> pd.DataFrame:
+    """Every term of the sample, the examples' first: (term, shown, a, b).
 
-    Counted in tasks and summed by Spark; only the chosen ones, at most ``TERMS``, reach the driver.
+    ``a`` and ``b`` count the texts of label 1 and 0 that hold it, ``shown`` the examples. Counted
+    in tasks and summed by Spark; as many terms as the bounded sample has reach the driver.
     """
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             count: dict[str, list[int]] = {}
-            for text, y in zip(pdf["text"], pdf["label"], strict=True):
+            for text, y, example in zip(pdf["text"], pdf["label"], pdf["example"], strict=True):
                 for f in {f for w in set(WORD.findall(text.lower())) for f in terms_of(w)}:
-                    count.setdefault(f, [0, 0])[y] += 1
-            yield pd.DataFrame({"term": list(count), "b": [c[0] for c in count.values()], "a": [c[1] for c in count.values()]})
-
-    n = texts.agg(F.sum("label").alias("ones"), F.count("*").alias("all")).first()
-    ones, every = n["ones"] or 0, n["all"]
-    if not 0 < ones < every:
-        return [], np.empty(0)
-    a, b = F.col("a"), F.col("b")
-    c, d = ones - a, every - ones - b
-    chi = every * F.pow(a * d - b * c, 2) / ((a + b) * (c + d) * ones * (every - ones))
-    counts = texts.select("text", "label").mapInPandas(held, "term string, b double, a double").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    best = counts.where((a + b >= 3) & (c + d > 0)).withColumn("chi", chi).where(F.col("chi") >= LEAST_CHI)
-    rows = best.orderBy(F.desc("chi"), "term").limit(TERMS).collect()
-    return [r["term"] for r in rows], np.array([np.log((1 + every) / (1 + r["a"] + r["b"])) for r in rows])
-
-
-def build(texts: DataFrame, share: float) -> Index:
-    """Index over (doc_id, text, label, draw) rows; ``share`` is the true share of label 1."""
-    terms, idf = chosen_terms(texts)
-    index = Index(terms, idf, np.empty(0), np.empty(0), np.empty(0), np.empty(0), share, (0.0, 1.0), {t: i for i, t in enumerate(terms)})
+                    c = count.setdefault(f, [0, 0, 0])
+                    c[y] += 1
+                    c[2] += example
+            yield pd.DataFrame([(f, *c) for f, c in count.items()], columns=["term", "b", "a", "shown"])
+
+    counts = texts.select("text", "label", "example").mapInPandas(held, "term string, b double, a double, shown long")
+    found = counts.groupBy("term").agg(F.sum("shown").alias("shown"), F.sum("a").alias("a"), F.sum("b").alias("b")).toPandas()
+    return found.assign(inner=found["shown"] > 0).sort_values(["inner", "term"], ascending=[False, True], ignore_index=True)
+
+
+def document_counts(docs: DataFrame, terms: Terms) -> np.ndarray:
+    """How many of all documents hold each term: one aggregation, restricted to the given terms."""
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(len(terms.place), dtype=np.int64)
+        for pdf in batches:
+            for text in pdf["text"]:
+                words = set(WORD.findall(text.lower()))
+                known = terms.of(words)
+                n[list(set().union(*map(known.__getitem__, words)))] += 1
+        term = np.flatnonzero(n)
+        yield pd.DataFrame({"term": term, "n": n[term]})
+
+    found = docs.select("text").where("text IS NOT NULL").mapInPandas(held, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(len(terms.place))
+    out[found["term"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def build(docs: DataFrame, texts: DataFrame, share: float) -> Index:
+    """Index over the sample (doc_id, text, label, draw, example); ``share`` is the true share of label 1."""
+    n = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return untaught()
+    found = sample_terms(texts)
+    terms = Terms({t: i for i, t in enumerate(found["term"])}, int(found["inner"].sum()))
+    a, b = found["a"].to_numpy(), found["b"].to_numpy()
+    c, d, every = n[1] - a, n[0] - b, n[0] + n[1]
+    spread = (a + b) * (c + d) * float(n[0] * n[1])
+    chi = np.divide(every * (a * d - b * c) ** 2, spread, out=np.zeros(len(a)), where=spread > 0)
+    idf = np.log((2 + docs.count()) / (1 + document_counts(docs, terms)))
+    none = np.empty(0, dtype=np.int64)
+    index = Index(terms, idf * chi / (chi + HALF_CHI), none, none, none, none, np.empty(0), share)
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [index.vector(t) for t in pdf["text"]]
-            yield pdf[["doc_id", "label", "draw"]].assign(term=[t for t, _ in found], weight=[w for _, w in found])
-
-    rows = texts.select("doc_id", "text", "label", "draw").mapInPandas(vectors, "doc_id long, label int, draw long, term array<long>, weight array<double>").collect()
-    rows.sort(key=lambda r: (r["draw"], r["doc_id"]))
-    label = np.array([r["label"] for r in rows], dtype=np.int64)
-    found = [(np.array(r["term"], dtype=np.int64), np.array(r["weight"])) for r in rows]
-    # Every second text of the sample may be an example, the others fit the curve.
-    each = EXAMPLES // 2
-    ones, zeros = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-    examples = np.concatenate([ones[::2][:each], zeros[::2][:each]])
-    rest = np.setdiff1d(np.arange(len(rows)), examples)
+            both = [index.vector(t) for t in pdf["text"]]
+            yield pdf[["doc_id", "label", "draw"]].assign(term=[t for t, _ in both], weight=[w for _, w in both])
+
+    shown = texts.where("example").select("doc_id", "text", "label", "draw")
+    rows = shown.mapInPandas(vectors, "doc_id long, label int, draw long, term array<long>, weight array<double>").collect()
     # Blocks hold like examples: in order of the label and of the heaviest term.
-    order = sorted(examples.tolist(), key=lambda i: (label[i], found[i][0][found[i][1].argmax()] if len(found[i][0]) else -1, i))
-    index.postings = np.zeros((-(-len(order) // BLOCK), len(terms), BLOCK))
-    for at, i in enumerate(order):
-        index.postings[at // BLOCK, found[i][0], at % BLOCK] = found[i][1]
-    index.block_max = index.postings.max(axis=2, initial=0.0)
-    index.label = label[order]
-    index.ids = np.array([rows[i]["doc_id"] for i in order], dtype=np.int64)
-    if len(set(label[rest].tolist())) == 2:
-        x = logit(np.array([index.raw(found[i])[0] for i in rest]))
-        y = label[rest]
-        weight = np.where(y == 1, share / max((y == 1).mean(), 1e-9), (1 - share) / max((y == 0).mean(), 1e-9))
-        index.curve = logistic(x, y, weight)
+    rows.sort(key=lambda r: (r["label"], r["term"][int(np.argmax(r["weight"]))] if r["term"] else -1, r["draw"], r["doc_id"]))
+    term = np.concatenate([np.array(r["term"], dtype=np.int32) for r in rows])
+    example = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r["term"]) for r in rows])
+    order = np.lexsort((example, term, example // BLOCK))
+    index.term, index.example = term[order], example[order]
+    index.value = np.concatenate([np.array(r["weight"], dtype=np.float64) for r in rows])[order]
+    index.label = np.array([r["label"] for r in rows], dtype=np.int64)
+    index.ids = np.array([r["doc_id"] for r in rows], dtype=np.int64)
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"label": pdf["label"], "raw": [index.raw(index.vector(t))[0] for t in pdf["text"]]})
+
+    rest = texts.where("NOT example").select("text", "label").mapInPandas(votes, "label int, raw double").orderBy("label", "raw").toPandas()
+    y = rest["label"].to_numpy()
+    if len(set(y.tolist())) == 2:
+        weight = np.where(y == 1, share / (y == 1).mean(), (1 - share) / (y == 0).mean())
+        index.curve = logistic(logit(rest["raw"].to_numpy()), y, weight)
     return index
 
 
@@ -195,21 +271,27 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Index:
     """Fit on documents (doc_id, text) with labels (doc_id, toxic); null labels and texts are left out.
 
     A document with several labels has their rounded mean. ``most`` bounds the sampled rows; the
-    driver holds their few chosen terms, not their texts; the sample's ids, as few, go to the tasks that read texts.
+    driver holds their terms and the examples' postings, not their texts; the sample's ids, as
+    few, go to the tasks that read texts. Document counts are those of all rows of ``docs``.
     """
     one = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.round(F.avg("toxic")).cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in one.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     if not total:
-        return Index([], np.empty(0), np.empty(0), np.empty(0), np.empty(0), np.empty(0))
+        return untaught()
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, most / 2 / n))])
     few = one.where(F.xxhash64("doc_id", F.lit(11)) / 2.0**64 + 0.5 < share[F.col("toxic")]).limit(2 * most)
     found = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(few), "doc_id")
     texts = found.groupBy(F.xxhash64("text").alias("draw")).agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.round(F.avg("toxic")).cast("int").alias("label"))
     scratch = Scratch(docs.sparkSession)
     texts = scratch.store(texts)
-    index = build(texts, counts.get(1, 0) / total)
+    # Every second text of a label may be an example, the others fit the curve. Only the keys are ordered.
+    turn = F.row_number().over(Window.partitionBy("label").orderBy("draw")) - 1
+    marks = texts.select("draw", ((turn % 2 == 0) & (turn < EXAMPLES)).alias("example"))
+    marked = scratch.store(texts.join(F.broadcast(marks), "draw"))
     scratch.drop(texts)
+    index = build(docs, marked, counts.get(1, 0) / total)
+    scratch.drop(marked)
     return index
 
 
@@ -217,18 +299,13 @@ def scored(text: Column, index: Index) -> Column:
     """struct(score, predicted, evidence) of each whole text.
 
     ``evidence`` lists the nearest examples (doc_id, cosine, label). A null or empty text, or one
-    without a learned term, has no evidence and the prior's score. With no labels learned every
-    score is 0.
+    without a term of an example, has no evidence; its score is the prior's, never above
+    ``NO_EVIDENCE``. Where the labelled texts have one label only, or there are none, every score is 0.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            out = []
-            for t in texts:
-                raw, found = index.raw(index.vector(t)) if len(index.label) else (0.0, [])
-                p = index.probability(raw) if len(index.label) else 0.0
-                out.append((p, int(p >= 0.5), [{"doc_id": int(index.ids[i]), "cosine": s, "label": int(index.label[i])} for s, i in found]))
-            yield pd.DataFrame(out, columns=["score", "predicted", "evidence"])
+            yield pd.DataFrame([index.judged(t) for t in texts], columns=["score", "predicted", "evidence"])
 
     kind = "score double, predicted int, evidence array<struct<doc_id: long, cosine: double, label: int>>"
     return F.pandas_udf(kind)(run)(text)
