@@ -26,7 +26,7 @@ from xxhash import xxh3_64_intdigest
 
 CELLS = 48  # of a fingerprint, a multiple of the hashes
 HASHES = 3
-WORDS = 8  # longest run of words in a paragraph piece
+WORDS = 6  # longest run of words in a paragraph piece
 RANGE_BYTES = 2 << 20
 SENTENCES = re.compile(r"[^.!?]*[.!?]+|[^.!?]+")
 _K = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5))
@@ -83,9 +83,11 @@ class Sketch:
         if items is not None and len(items):
             self.put(items, np.ones(len(items), dtype=np.int32))
 
-    def put(self, items: np.ndarray, sign: np.ndarray) -> None:
+    def put(self, items: np.ndarray, sign: np.ndarray, check: np.ndarray | None = None) -> None:
+        """Add digests, or take them away; ``check`` holds their checks if they are known."""
         at = places(items, len(self.count)).ravel()
-        check = scramble(items * _K[2])
+        if check is None:
+            check = scramble(items * _K[2])
         np.add.at(self.count, at, np.concatenate((sign,) * HASHES))
         np.bitwise_xor.at(self.sum, at, np.concatenate((items,) * HASHES))
         np.bitwise_xor.at(self.check, at, np.concatenate((check,) * HASHES))
@@ -100,14 +102,19 @@ class Sketch:
         mine, theirs = [], []
         while True:
             pure = np.flatnonzero((self.count == 1) | (self.count == -1))
-            pure = pure[scramble(self.sum[pure] * _K[2]) == self.check[pure]]
+            items, check = self.sum[pure], self.check[pure]
+            pure = pure[scramble(items * _K[2]) == check]
             if not len(pure):
                 break
-            items, first = np.unique(self.sum[pure], return_index=True)
-            signs = self.count[pure[first]]
+            items = self.sum[pure]
+            order = np.argsort(items, kind="stable")
+            items = items[order]
+            first = np.concatenate(([True], items[1:] != items[:-1]))  # a digest may be alone in several cells
+            pure, items = pure[order[first]], items[first]
+            signs = self.count[pure]
             mine += items[signs == 1].tolist()
             theirs += items[signs == -1].tolist()
-            self.put(items, -signs)
+            self.put(items, -signs, self.check[pure])
         return (mine, theirs) if not self.count.any() and not self.sum.any() else None
 
     def held(self) -> float:
