@@ -15,7 +15,6 @@ probability. Scoring runs in tasks, on the text column only.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
@@ -32,8 +31,8 @@ SAMPLE = 6_000  # labelled texts that the model is fitted on, at most; half of e
 EXAMPLES = 2_000
 HALF_CHI = 15.0  # chi-square at which a term has half its weight
 NEAREST = 15
-BLOCK = 64
-OPENED = 3  # blocks opened first; all others that may hold a better example follow
+BLOCK = 256
+OPENED = 1  # blocks opened first; all others that may hold a better example follow
 PRIOR = 0.5
 KEPT_WORDS = 300_000  # words whose terms a task remembers
 NO_EVIDENCE = 0.49  # highest score of a text that is like no example
@@ -51,17 +50,25 @@ class Terms:
 
     place: dict[str, int]
     inner: int  # terms of the examples
-    known: dict[str, tuple[int, ...]] = field(default_factory=dict)
-
-    def of(self, words) -> dict[str, tuple[int, ...]]:
-        """The places of each of ``words``, remembered for later texts."""
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        known, place = self.known, self.place
-        for w in words:
-            if w not in known:
-                known[w] = tuple(place[f] for f in terms_of(w) if f in place)
-        return known
+    rows: dict[str, int] = field(default_factory=dict)  # row of a remembered word in ``table``
+    table: np.ndarray = field(default_factory=lambda: np.empty((0, 3), dtype=np.int64))
+
+    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct words' terms, three places a word (-1: none), and the words' counts."""
+        if len(self.rows) > KEPT_WORDS:
+            self.rows.clear()
+        rows, place = self.rows, self.place
+        fresh = set(words).difference(rows)
+        if fresh:
+            low = len(rows)
+            rows.update(zip(fresh, range(low, low + len(fresh)), strict=True))
+            while len(self.table) < len(rows):
+                self.table = np.concatenate((self.table, np.empty((max(len(rows), 1024), 3), dtype=np.int64)))
+            for at, w in enumerate(fresh, low):
+                found = [place.get(f, -1) for f in terms_of(w)]
+                self.table[at] = found + [-1] * (3 - len(found))
+        row, n = np.unique(np.fromiter(map(rows.__getitem__, words), dtype=np.int64, count=len(words)), return_counts=True)
+        return self.table[row], n
 
 
 @dataclass
@@ -86,7 +93,7 @@ class Index:
     @cached_property
     def starts(self) -> np.ndarray:
         """Where the postings of (block, term) start."""
-        slot = (self.example // BLOCK).astype(np.int64) * self.terms.inner + self.term
+        slot = self.example // BLOCK * self.terms.inner + self.term
         return np.concatenate(([0], np.cumsum(np.bincount(slot, minlength=self.blocks * self.terms.inner))))
 
     @cached_property
@@ -98,18 +105,19 @@ class Index:
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Terms of the whole text and their normed weights."""
-        words = Counter(WORD.findall(text.lower())) if text else {}
-        known = self.terms.of(words)
-        count: dict[int, int] = {}
-        for w, n in words.items():
-            for at in known[w]:
-                count[at] = count.get(at, 0) + n
-        term = np.fromiter(count, dtype=np.int64, count=len(count))
-        weight = (1 + np.log(np.fromiter(count.values(), dtype=np.float64, count=len(count)))) * self.weight[term]
-        order = np.argsort(term)
-        order = order[weight[order] > 0]
-        norm = np.sqrt((weight**2).sum())
-        return term[order], weight[order] / norm if norm else weight[order]
+        places, n = self.terms.of(WORD.findall(text.lower()) if text else [])
+        term = places.ravel()
+        known = term >= 0
+        term, n = term[known], np.repeat(n, 3)[known]
+        order = np.argsort(term, kind="stable")
+        term, n = term[order], n[order]
+        first = np.flatnonzero(np.concatenate((term[:1] >= 0, term[1:] != term[:-1])))
+        if not len(first):
+            return term, np.empty(0)
+        term = term[first]
+        weight = (1 + np.log(np.add.reduceat(n, first))) * self.weight[term]
+        term, weight = term[weight > 0], weight[weight > 0]
+        return term, weight / np.sqrt((weight**2).sum())
 
     def nearest(self, term: np.ndarray, weight: np.ndarray) -> list[tuple[float, int]]:
         """The k examples of highest cosine above 0, exact; ties go to the first in the index."""
@@ -129,8 +137,10 @@ class Index:
             slot = (blocks[:, None] * self.terms.inner + term[None, :]).ravel()
             start = self.starts[slot]
             n = self.starts[slot + 1] - start
+            held = np.flatnonzero(n)
+            start, n = start[held], n[held]
             at = np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            score = np.bincount(self.example[at], np.repeat(np.tile(weight, len(blocks)), n) * self.value[at])
+            score = np.bincount(self.example[at], np.repeat(weight[held % len(term)], n) * self.value[at])
             found = np.flatnonzero(score > 0)
             best, cosine = np.concatenate((best, found)), np.concatenate((cosine, score[found]))
             first = np.lexsort((best, -cosine))[:NEAREST]
@@ -194,13 +204,11 @@ def document_counts(docs: DataFrame, terms: Terms) -> np.ndarray:
     """How many of all documents hold each term: one aggregation, restricted to the given terms."""
 
     def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros(len(terms.place), dtype=np.int64)
+        n = np.zeros(len(terms.place) + 1, dtype=np.int64)
         for pdf in batches:
             for text in pdf["text"]:
-                words = set(WORD.findall(text.lower()))
-                known = terms.of(words)
-                n[list(set().union(*map(known.__getitem__, words)))] += 1
-        term = np.flatnonzero(n)
+                n[terms.of(WORD.findall(text.lower()))[0]] += 1  # once for a term, however often it is listed; -1 is the last
+        term = np.flatnonzero(n[:-1])
         yield pd.DataFrame({"term": term, "n": n[term]})
 
     found = docs.select("text").where("text IS NOT NULL").mapInPandas(held, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toPandas()
@@ -234,7 +242,7 @@ def build(docs: DataFrame, texts: DataFrame, share: float) -> Index:
     # Blocks hold like examples: in order of the label and of the heaviest term.
     rows.sort(key=lambda r: (r["label"], r["term"][int(np.argmax(r["weight"]))] if r["term"] else -1, r["draw"], r["doc_id"]))
     term = np.concatenate([np.array(r["term"], dtype=np.int32) for r in rows])
-    example = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r["term"]) for r in rows])
+    example = np.repeat(np.arange(len(rows)), [len(r["term"]) for r in rows])
     order = np.lexsort((example, term, example // BLOCK))
     index.term, index.example = term[order], example[order]
     index.value = np.concatenate([np.array(r["weight"], dtype=np.float64) for r in rows])[order]
