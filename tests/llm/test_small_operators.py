@@ -372,6 +372,18 @@ def toxic_index(spark):
     return toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")), rows
 
 
+def test_a_hot_null_text_is_spread_over_shards(spark):
+    rows = [(i, None if i % 3 == 0 else f"long text number {i} " * 40, 0, 0.0) for i in range(3000)]
+    got = sharding.sharded(spark.createDataFrame(rows, DOCS), 6).toPandas()
+    assert sorted(got.doc_id) == list(range(3000))
+    for _, shard in got.groupby("shard"):
+        assert sorted(shard.slot) == list(range(len(shard)))
+    hot = got[got.doc_id % 3 == 0].groupby("shard").size()
+    assert len(hot) > 1 and hot.max() < 900
+    size = got.groupby("shard")["size"].sum()
+    assert size.max() < 1.05 * size.mean()
+
+
 def test_nearest_examples_are_exact(spark, odd):
     index, rows = toxic_index(spark)
     texts = dict(rows)

@@ -3,7 +3,7 @@
 Records are ordered by a 64-bit key of their text, so equal texts lie together. A size-weighted
 sample of the keys gives quantile boundaries of many ranges; the exact sizes of the ranges are
 then measured, and an overfull range is subdivided: by further key quantiles, and a single key
-that is larger than a shard's share by hashed ids. Ranges are dealt to the shards, largest first.
+that has more than a shard's share of the bytes or of the rows by hashed ids. Ranges are dealt to the shards, largest first.
 Only ids, sizes and keys are moved; the texts are read once and stay where they are.
 """
 
@@ -69,24 +69,27 @@ def sharded(docs: DataFrame, shards: int) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of ``docs``.
 
     Law ``bytes``: the shards' sizes are near equal. Rows of one text share a shard unless the
-    text with its copies is larger than a shard's share; those copies are spread by a hash of
-    their ids. ``slot`` counts a shard's rows from 0, by range, key and doc_id. A null
+    text with its copies has more than a shard's share of the bytes or of the rows (null texts
+    may); those copies are spread by a hash of their ids. ``slot`` counts a shard's rows from 0, by range, key and doc_id. A null
     text has size 8 and counts as empty. Ties and repeated rows get slots of their own in an
     order that only they could exchange. An empty table gives no rows. ``docs`` needs doc_id and
     text; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     rows = scratch.store(keyed(docs))
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    every = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
+    total, n_rows = every["bytes"] or 0, every["n"]
     ranges = shards * RANGES_PER_SHARD
     aim = max(total / ranges, 1.0)
     rows = rows.mapInPandas(_in_ranges(sampled_splitters(rows, total, ranges)), "doc_id long, size long, text_crc32 long, key long, range int")
     # Keys with their sizes; a hot key is one row here.
-    keys = rows.groupBy("range", "key").agg(F.sum("size").alias("bytes"))
-    full = keys.groupBy("range").agg(F.sum("bytes").alias("all")).where(F.col("all") > OVERFULL * aim)
+    keys = rows.groupBy("range", "key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+    hot = (F.col("bytes") * shards > total) | (F.col("n") * shards > n_rows)
+    pieces = F.ceil(F.greatest(F.col("bytes") / aim, F.col("n") * (ranges / max(n_rows, 1))))
+    full = keys.groupBy("range").agg(F.sum("bytes").alias("all"), F.max(hot).alias("hot")).where((F.col("all") > OVERFULL * aim) | F.col("hot"))
     inside = keys.join(full.select("range"), "range")
-    large = inside.where(F.col("bytes") > aim).select("range", "key", F.greatest(F.lit(1), F.when(F.col("bytes") * shards > total, F.ceil(F.col("bytes") / aim)).otherwise(1)).cast("int").alias("pieces"))
-    cuts = inside.where(F.col("bytes") <= aim).groupBy("range").agg(F.percentile_approx("key", [i / SPLIT_KEYS for i in range(1, SPLIT_KEYS)], 1000).alias("cuts"))
+    large = inside.where((F.col("bytes") > aim) | hot).select("range", "key", F.when(hot, pieces).otherwise(1).cast("int").alias("pieces"))
+    cuts = inside.where((F.col("bytes") <= aim) & ~hot).groupBy("range").agg(F.percentile_approx("key", [i / SPLIT_KEYS for i in range(1, SPLIT_KEYS)], 1000).alias("cuts"))
     # Large keys exceed the aimed size and cuts are a row for each range: at most ``ranges`` rows each.
     placed = rows.join(F.broadcast(large), ["range", "key"], "left").join(F.broadcast(cuts), "range", "left").select(
         "doc_id", "size", "text_crc32", "key", "range",
