@@ -12,9 +12,11 @@ from pyspark.sql import types as T
 
 from tidemark.functions.scalar import cosine
 from tidemark.operators.sequence import fold_sorted
+from tidemark.session import durable
 
-LISTS_PER_COPY = 16
 BLOCK = 512
+MEETING = 4096  # vectors of either side of a meeting
+MEASURED = 65_536  # pairs measured again at a time
 # Cluster distance threshold and the separation below which labels are withheld.
 DISTANCE_THRESHOLD, MIN_SEPARATION = 0.55, 0.10
 
@@ -161,47 +163,53 @@ def number_by_first(rows: DataFrame, group: str, label: str, order: str) -> Data
     return first.withColumn("number", F.dense_rank().over(w)).drop("_first")
 
 
+def _nearest_of(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Distance of every row of ``c`` to the nearest row of ``t``.
+
+    A matrix product finds the nearest; its distance is then taken from the differences, as the
+    product alone loses the digits of small distances.
+    """
+    out = np.empty(len(c))
+    tt = (t * t).sum(axis=1)
+    for lo in range(0, len(c), BLOCK):
+        part = c[lo : lo + BLOCK]
+        near = tt[None, :] - 2.0 * (part @ t.T)
+        # Whatever the rounding of the product cannot tell from the nearest is measured again.
+        slack = 1e-13 * c.shape[1] * (1.0 + (part * part).sum(axis=1) + tt.max())
+        i, j = np.nonzero(near <= (near.min(axis=1) + slack)[:, None])
+        best = np.full(len(part), np.inf)
+        for at in range(0, len(i), MEASURED):
+            a, b = i[at : at + MEASURED], j[at : at + MEASURED]
+            np.minimum.at(best, a, ((part[a] - t[b]) ** 2).sum(axis=1))
+        out[lo : lo + BLOCK] = np.sqrt(best)
+    return out
+
+
 def nearest_distance(
     candidates: DataFrame, training: DataFrame, key: str, vec: str
 ) -> DataFrame:
     """Euclidean distance of every candidate to its nearest training vector; NULL without any.
 
-    Training vectors are packed in bounded blocks; each candidate batch meets each block
-    once and yields a single number per candidate.
+    Equal vectors are compared once on either side. Bounded groups of vectors meet through an equi
+    key, and a meeting yields one number for each candidate vector in it.
     """
-    n = training.count()
+    known = durable(training.select(F.col(vec).alias("v")).where("v IS NOT NULL").distinct())
+    n = known.count()
     if n == 0:
         return candidates.select(key, F.lit(None).cast("double").alias("distance"))
-    blocks = -(-n // BLOCK)
-    packed = (
-        training.select(F.pmod(F.xxhash64(vec), F.lit(blocks)).alias("_b"), F.col(vec).alias("v"))
-        .groupBy("_b").agg(F.collect_list("v").alias("_rows"))
-    )
-    # At most BLOCK candidates to a list, so both sides of a meeting are bounded.
-    size = max(1, -(-candidates.count() // BLOCK))
-    grouped = (
-        candidates.select(key, F.col(vec).alias("v")).withColumn("_g", F.pmod(F.xxhash64(key), F.lit(size)))
-        .groupBy("_g").agg(F.collect_list(F.struct(key, "v")).alias("_cands"))
-        .withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    )
-    id_type = candidates.schema[key].dataType
-
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("id", id_type), T.StructField("d", T.DoubleType())])))
-    def nearest(cands: pd.Series, rows: pd.Series) -> pd.Series:
-        out = []
-        for cs, ts in zip(cands, rows, strict=True):
-            c = np.array([list(x["v"]) for x in cs], dtype=float)
-            t = np.array([list(x) for x in ts], dtype=float)
-            best = np.full(len(c), np.inf)
-            for lo in range(0, len(t), 64):
-                diff = c[:, None, :] - t[None, lo : lo + 64, :]
-                best = np.minimum(best, (diff * diff).sum(axis=2).min(axis=1))
-            out.append([{"id": x[key], "d": float(m)} for x, m in zip(cs, np.sqrt(best), strict=True)])
-        return pd.Series(out)
-
-    # A small training set is one block: copies of it, one for every few candidate lists, spread the work.
-    copies = max(1, -(-size // LISTS_PER_COPY))
-    grouped = grouped.withColumn("_s", F.pmod("_g", F.lit(copies)))
-    packed = packed.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))))
-    met = grouped.join(packed, ["_b", "_s"]).select(F.explode(nearest("_cands", "_rows")).alias("m"))
-    return met.groupBy(F.col("m.id").alias(key)).agg(F.min("m.d").alias("distance"))
+    asked = candidates.select(F.col(vec).alias("v")).where("v IS NOT NULL").distinct()
+    asked = durable(asked.withColumn("_id", F.monotonically_increasing_id()))  # written once, so the numbers stay
+    blocks, groups = -(-n // MEETING), max(1, -(-asked.count() // MEETING))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    right = known.withColumn("_b", F.pmod(F.xxhash64("v"), F.lit(blocks))).withColumn("_g", every(groups))
+    left = asked.withColumn("_g", F.pmod(F.xxhash64("v"), F.lit(groups))).withColumn("_b", every(blocks))
+
+    def meet(c: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
+        if c.empty or t.empty:
+            return pd.DataFrame({"_id": np.empty(0, dtype=np.int64), "d": np.empty(0)})
+        d = _nearest_of(np.stack(c["v"].to_numpy()).astype(float), np.stack(t["v"].to_numpy()).astype(float))
+        return pd.DataFrame({"_id": c["_id"], "d": d})
+
+    met = left.groupBy("_g", "_b").cogroup(right.groupBy("_g", "_b")).applyInPandas(meet, "_id long, d double")
+    found = asked.join(met.groupBy("_id").agg(F.min("d").alias("distance")), "_id").select("v", "distance")
+    return candidates.select(key, F.col(vec).alias("v")).join(found, "v", "left").select(key, "distance")

@@ -9,6 +9,7 @@ from tidemark.operators import candidates as K
 from tidemark.operators.candidates import Guardrail, Parameter
 from tidemark.operators.ranks import ranked
 from tidemark.plans.registry import query
+from tidemark.session import spread_rows
 from tidemark.sources.tables import table
 
 SPACE = (
@@ -29,7 +30,7 @@ E0 = f"WITH {EV}"
 
 
 def evaluations(spark, d):
-    p = table(spark, d, "part")
+    p = spread_rows(table(spark, d, "part").select("p_partkey", "p_type", "p_size", "p_retailprice"), "p_partkey")
     size, key = F.col("p_size"), F.col("p_partkey")
     cols = {
         "gain": K.clamp(SPACE[0], (size - F.lit(25.5)) / 25.5 * 10),

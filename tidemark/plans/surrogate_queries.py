@@ -11,7 +11,7 @@ from tidemark.operators import surrogate as G
 from tidemark.operators.vectors import nearest_distance
 from tidemark.plans.candidate_queries import E0, EV, SPACE, _flat, evaluations
 from tidemark.plans.registry import query
-from tidemark.session import durable
+from tidemark.session import durable, spread_rows
 from tidemark.sources.tables import table
 
 # Predicted value and spread stand in for a model's output where SQL has to follow.
@@ -214,7 +214,7 @@ def e40(spark, d):
 def e52(spark, d):
     """Pool of new points: prediction, spread and distance to the training data."""
     train, names = _train(spark, d)
-    fresh = K.random_candidates(table(spark, d, "part").select("p_partkey"), "p_partkey", SPACE, 29)
+    fresh = K.random_candidates(spread_rows(table(spark, d, "part").select("p_partkey"), "p_partkey"), "p_partkey", SPACE, 29)
     pool, _ = G.encode(fresh, SPACE)
     pool = durable(pool.select("p_partkey", *names))
     scored = G.predict(G.fit(train, names), pool, names)
