@@ -78,6 +78,21 @@ class SearchStore(Parts):
         if commit:
             self.commit(part, generation)
 
+    def write_generations(self, evaluations: DataFrame, populations: DataFrame, states: DataFrame) -> None:
+        """Append finished generations as one part, visible together; the three tables carry ``generation``.
+
+        However many generations there are, each table is one job and the commit one file.
+        """
+        first, last = states.agg(F.min("generation"), F.max("generation")).first()
+        if first is None:
+            return
+        newest = self.latest()
+        if newest is not None and newest["seq"] >= first:
+            raise FileExistsError(f"generation {newest['seq']} is committed; {first} is not newer")
+        part = f"g{first:06d}-g{last:06d}"
+        self.stage(part, evaluations=evaluations, populations=populations, states=states)
+        self.commit(part, last)
+
     def current_states(self) -> DataFrame:
         """Newest committed state of each search."""
         rows = self.read("states").drop("part")
