@@ -8,7 +8,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.scalar import cosine
 from tidemark.operators.sequence import fold_sorted
@@ -79,21 +78,12 @@ def cluster_in_order(
     )
 
 
-def _blocks(df: DataFrame, keys: Sequence[str], id_col: str, cols: Sequence[str], name: str) -> DataFrame:
-    """Pack rows of each group into blocks of about ``BLOCK`` rows (bounded lists)."""
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_nb"))
-    placed = df.join(sizes, list(keys)).withColumn("_b", F.pmod(F.xxhash64(id_col), F.col("_nb")))
-    return placed.groupBy(*keys, "_b").agg(
-        F.collect_list(F.struct(id_col, *cols)).alias(name)
-    ).withColumnRenamed("_b", f"_b_{name}")
-
-
 def nearest_other(vectors: DataFrame, group: str, id_col: str, vec: str, cluster: str) -> DataFrame:
     """Per vector: mean cosine distance to its own cluster (others only) and to the nearest
     vector of another cluster.
 
-    The mean needs only the cluster's vector sum. The minimum compares blocks by matrix
-    product; each block pair emits one number per vector, never a row per pair.
+    The mean needs only the cluster's vector sum. The minimum compares bounded parts by matrix
+    product; two parts emit one number per vector, never a row per pair.
     """
     unit = vectors.select(
         group, id_col, cluster,
@@ -114,31 +104,29 @@ def nearest_other(vectors: DataFrame, group: str, id_col: str, vec: str, cluster
         group, id_col, cluster,
         F.when(F.col("_size") > 1, 1 - (dot(F.col("_v"), F.col("_sum")) - dot(F.col("_v"), F.col("_v"))) / (F.col("_size") - 1)).alias("same_distance"),
     )
-    a = _blocks(unit, [group], id_col, [cluster, "_v"], "left_rows")
-    b = _blocks(unit, [group], id_col, [cluster, "_v"], "right_rows")
-
-    id_type = vectors.schema[id_col].dataType
-
-    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("id", id_type), T.StructField("d", T.DoubleType())])))
-    def nearest(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for ls, rs in zip(left, right, strict=True):
-            lv = np.array([list(x["_v"]) for x in ls])
-            rv = np.array([list(x["_v"]) for x in rs])
-            lc = np.array([x[cluster] for x in ls])
-            rc = np.array([x[cluster] for x in rs])
-            d = np.where(lc[:, None] == rc[None, :], np.inf, 1.0 - lv @ rv.T)
-            best = d.min(axis=1)
-            out.append([
-                {"id": x[id_col], "d": float(m)} for x, m in zip(ls, best, strict=True) if np.isfinite(m)
-            ])
-        return pd.Series(out)
-
-    # Each left block goes to every right block's number, so one group is met by many tasks.
-    counts = b.groupBy(group).agg(F.max("_b_right_rows").alias("_last"))
-    a = a.join(counts, group).withColumn("_b_right_rows", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
-    met = a.join(b, [group, "_b_right_rows"]).select(group, F.explode(nearest("left_rows", "right_rows")).alias("m"))
-    other = met.groupBy(group, F.col("m.id").alias(id_col)).agg(F.min("m.d").alias("other_distance"))
+    # Either side of a group is dealt to parts of about MEETING rows; every two parts meet in one task.
+    sizes = unit.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / MEETING).alias("_parts"))
+    parts = unit.join(sizes, group).withColumn("_own", F.pmod(F.xxhash64(id_col), F.col("_parts")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
+    left = parts.withColumn("_l", F.col("_own")).withColumn("_r", every).select(group, "_l", "_r", id_col, cluster, "_v")
+    right = parts.withColumn("_r", F.col("_own")).withColumn("_l", every)
+    right = right.select(*[F.col(c).alias(f"_other{c}") for c in (group, "_l", "_r")], F.col(cluster).alias("_cluster"), F.col("_v").alias("_w"))
+
+    def nearest(ls: pd.DataFrame, rs: pd.DataFrame) -> pd.DataFrame:
+        if ls.empty or rs.empty:
+            return ls[[group, id_col]].assign(d=0.0).iloc[:0]
+        lv, rv = np.stack(ls["_v"].to_numpy()), np.stack(rs["_w"].to_numpy())
+        codes, _ = pd.factorize(pd.concat([ls[cluster], rs["_cluster"]], ignore_index=True))
+        lc, rc = codes[: len(ls)], codes[len(ls) :]
+        best = np.empty(len(ls))
+        for lo in range(0, len(ls), BLOCK):
+            same = lc[lo : lo + BLOCK, None] == rc[None, :]
+            best[lo : lo + BLOCK] = np.where(same, np.inf, 1.0 - lv[lo : lo + BLOCK] @ rv.T).min(axis=1)
+        return ls[[group, id_col]].assign(d=best)[np.isfinite(best)]
+
+    schema = left.select(group, id_col, F.lit(0.0).alias("d")).schema
+    met = left.groupBy(group, "_l", "_r").cogroup(right.groupBy(*right.columns[:3])).applyInPandas(nearest, schema)
+    other = met.groupBy(group, id_col).agg(F.min("d").alias("other_distance"))
     return own.join(other, [group, id_col], "left")
 
 
