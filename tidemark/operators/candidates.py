@@ -468,7 +468,6 @@ def greedy_batch(
     slim = durable(
         pool.select(F.col(key).alias("_id"), score.cast("double").alias("_s"), *[get(p).alias(f"_v_{p.name}") for p in space]).where("_s IS NOT NULL")
     )
-    here = value_map({p.name: F.col(f"_v_{p.name}") for p in space})
     spread = None
     if novelty_weight:
         spread = slim.agg(F.min("_s").alias("lo"), F.max("_s").alias("hi")).first()
@@ -479,14 +478,21 @@ def greedy_batch(
         rows = frame.orderBy(by.desc(), "_id").limit(1).collect()
         return rows[0].asDict() if rows else None
 
+    def gap(c: dict) -> Column:
+        # As ``distance``, on plain columns: no map is made for a row.
+        terms = []
+        for p in space:
+            x, y = F.col(f"_v_{p.name}"), F.lit(float(c[f"_v_{p.name}"]))
+            terms.append(F.abs(x - y) / float(p.high - p.low) if p.ranged else F.when(x == y, 0.0).otherwise(1.0))
+        return reduce(lambda u, v: u + v, terms) / float(len(terms))
+
     def far(frame: DataFrame) -> DataFrame:
         for c in chosen:
-            there = literal_values(space, {p.name: c[f"_v_{p.name}"] for p in space})
-            frame = frame.where(distance(space, here, there) >= minimum_distance)
+            frame = frame.where(gap(c) >= minimum_distance)
         return frame
 
     def novelty() -> Column:
-        gaps = [distance(space, here, literal_values(space, {p.name: c[f"_v_{p.name}"] for p in space})) for c in chosen]
+        gaps = [gap(c) for c in chosen]
         return gaps[0] if len(gaps) == 1 else F.least(*gaps)
 
     while len(chosen) < count:
