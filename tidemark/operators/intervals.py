@@ -18,6 +18,7 @@ from tidemark.functions.scalar import safe_div
 from tidemark.operators.ranks import exact_quantiles
 from tidemark.operators.sequence import fold_sorted, islands, neighbours, running
 from tidemark.operators.timejoin import asof, overlap_join, stab_join
+from tidemark.session import durable
 
 SLACK = 1e-6
 
@@ -559,6 +560,9 @@ def structural_markers(
 SAMPLES_A_ROW = 4096
 
 
+GRID_ROWS = 500_000  # rows of one part of the grid's layout
+
+
 def sample_times(durations: DataFrame, rate: float) -> DataFrame:
     """Evenly spaced mid-sample times ``(i + 0.5) / rate`` up to each run's duration."""
     count = F.greatest(F.lit(1), F.ceil(F.col("duration") * rate).cast("int"))
@@ -589,9 +593,11 @@ def feature_grid(
     nearest step. Rows without a time count for nothing; runs without length have no rows.
 
     Grid, samples, span starts and cuts are one union; the last row of each kind before a step
-    and the first sample after it come from two running passes over the same layout.
+    and the first sample after it come from two running passes over the same layout, which has
+    a part for about ``GRID_ROWS`` rows, so that no task sorts more as the tables grow.
     """
     runs = durations.where("duration > 0")
+    spans = durable(spans)
     grid = sample_times(runs, rate).select("run_id", F.col("t").alias("_t"), F.lit(1).alias("_tag"), F.lit(0).alias("_rtag"), F.col("step").alias("_step"))
     before = [F.lit(0).alias("_tag"), F.lit(1).alias("_rtag")]
     rows = grid
@@ -608,6 +614,10 @@ def feature_grid(
     part = cuts.where("t IS NOT NULL").join(runs, "run_id").withColumn("_cut", step).select("run_id", at.alias("_t"), *before, "_cut")
     rows = rows.unionByName(part, allowMissingColumns=True)
 
+    if width is None:  # else the passes cut chunks of rows themselves
+        steps = runs.agg(F.sum(F.greatest(F.lit(1), F.ceil(F.col("duration") * rate)))).first()[0] or 0
+        total = int(steps) + spans.count() + cuts.count() + sum(frame.count() for frame, _ in signals.values())
+        rows = rows.repartition(max(1, -(-total // GRID_ROWS)), "run_id")
     back = {f"_lo_{g}": ("last", f"_s_{g}") for g in signals} | {"_at": ("last", "_span"), "_hit": ("last", "_cut")}
     rows = running(rows, ["run_id"], ["_t", "_tag"], back, width)
     rows = running(rows, ["run_id"], ["_t", "_rtag"], {f"_hi_{g}": ("last", f"_s_{g}") for g in signals}, width, reverse=True)
