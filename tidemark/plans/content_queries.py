@@ -13,6 +13,7 @@ from tidemark.operators.ranks import exact_quantiles, top_k
 from tidemark.operators.sequence import chunk_width, neighbours
 from tidemark.operators.timejoin import bucket_width, overlap_join, stab_join
 from tidemark.plans.registry import query
+from tidemark.session import durable
 from tidemark.sources.tables import table
 
 ORIGIN, DURATION = 1704067200.0, 720.0
@@ -84,8 +85,8 @@ def _intervals(ev, width=MEASURED):
 def _timeline(spark, d):
     ev = _events(spark, d)
     width = chunk_width(ev, ["run_id"], "t")
-    iv = _intervals(ev, width)
-    return ev, iv, I.spans_between(I.boundaries(iv, _durations(ev)), width), width
+    iv = durable(_intervals(ev, width))  # both are read by several joins
+    return ev, iv, durable(I.spans_between(I.boundaries(iv, _durations(ev)), width)), width
 
 
 def _fused(spark, d):
