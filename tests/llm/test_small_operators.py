@@ -418,3 +418,23 @@ def test_few_labels_teach_and_no_term_is_left_out(spark):
     assert got == {i: i % 2 for i in range(14)} | {20: 1, 21: 0, 22: 0, 23: 0}
     held = toxicity.document_counts(docs, index.terms)
     assert held[index.terms.place["vile"]] == 8 and held[index.terms.place["a"]] == 1
+
+
+def test_texts_scored_together_are_scored_as_if_alone(spark, monkeypatch):
+    index, rows = toxic_index(spark)
+    assert "place" not in vars(index.terms)  # the driver holds the terms as one buffer, not as a dictionary
+    texts = [t for _, t in rows[:30]] + ["", "unheard", "vile " * 50 + "word1", "rude and vile day3", "Plain WORD2"]
+    monkeypatch.setattr(toxicity, "COMMON", 4)  # so that matrices and lists both take part
+    monkeypatch.setattr(toxicity, "PORTION", 8)
+    for name in ("common", "dense", "postings"):
+        vars(index).pop(name, None)
+    assert [len(p) for p in toxicity.portions(texts)] == [8, 8, 8, 8, 3]
+    together = [row for part in toxicity.portions(texts) for row in index.judged(part).to_pylist()]
+    assert together == [index.judged([t]).to_pylist()[0] for t in texts]
+    assert together[31]["evidence"] == [] and together[30]["predicted"] == 0
+    examples = [dict(zip(*map(list, index.vector(dict(rows)[i])), strict=True)) for i in index.ids]
+    for text, got in zip(texts, together, strict=True):
+        term, weight = index.vector(text)
+        score = [sum(w * e.get(t, 0.0) for t, w in zip(term, weight, strict=True)) for e in examples]
+        best = sorted((s for s in score if s > 0), reverse=True)[: toxicity.NEAREST]
+        assert np.allclose([e["cosine"] for e in got["evidence"]], best)
