@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.session import durable
 
@@ -13,22 +17,49 @@ HOT_ROWS = 500_000
 ACCURACY = 2_000
 
 
+# Python has it from 3.13 on.
+fma = getattr(math, "fma", None) or (lambda x, y, z: float(Fraction(x) * Fraction(y) + Fraction(z)))
+
+
+@F.pandas_udf(DoubleType())
+def between(low: pd.Series, high: pd.Series, weight: pd.Series) -> pd.Series:
+    """``low * (1 - weight) + high * weight``, the first product fused with the sum, as DuckDB's
+    ``quantile_cont`` rounds it; equal values stay as they are. One row per group."""
+    return pd.Series([
+        a if w == 0 or a == b else fma(a, 1 - w, b * w) if math.isfinite(a) and math.isfinite(b) else a * (1 - w) + b * w
+        for a, b, w in zip(low, high, weight, strict=True)
+    ], dtype="float64")
+
+
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Linear-interpolation quantiles (numpy's default), one row per group.
 
-    The built-in ``percentile`` keeps every distinct value of a group in one buffer, so it
-    is used only when no group exceeds ``hot_rows``. Otherwise a sketch brackets each wanted
-    rank, rows outside the bracket are only counted, and the few rows inside are ordered as
-    ``(value, count)``.
+    The two rows beside each wanted rank are taken by a window when no group exceeds
+    ``hot_rows``. Otherwise a sketch brackets the rank, rows outside the bracket are only
+    counted, and the few rows inside are ordered as ``(value, count)``. Spark's ``percentile``
+    is not used: its last digit differs from the SQL's in many groups.
     """
     keys = list(keys)
     names = list(probs)
     if largest_group(df, keys) <= hot_rows:
-        wanted = F.percentile(F.col(value).cast("double"), [float(p) for p in probs.values()])
-        packed = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(wanted.alias("_q"))
-        return packed.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+        w = Window.partitionBy(*keys)
+        rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+        rows = rows.withColumn("_i", F.row_number().over(w.orderBy("_v")) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
+        ranks = {n: F.lit(float(p)) * (F.col("_n") - 1) for n, p in probs.items()}
+        wanted = F.lit(False)
+        for rank in ranks.values():
+            wanted = wanted | (F.col("_i") == F.floor(rank)) | (F.col("_i") == F.ceil(rank))
+        out = []
+        for n, rank in ranks.items():
+            out += [
+                F.max(F.when(F.col("_i") == F.floor(rank), F.col("_v"))).alias(f"_low_{n}"),
+                F.max(F.when(F.col("_i") == F.ceil(rank), F.col("_v"))).alias(f"_high_{n}"),
+                F.max(rank - F.floor(rank)).alias(f"_weight_{n}"),
+            ]
+        beside = rows.where(wanted).groupBy(*keys).agg(*out)
+        return beside.select(*keys, *[between(f"_low_{n}", f"_high_{n}", f"_weight_{n}").alias(n) for n in names])
     slack = 4.0 / ACCURACY
     ask: list[float] = []
     for p in probs.values():
@@ -70,9 +101,8 @@ def exact_quantiles(
     cumulative = counted.withColumn("_upto", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     low = F.min(F.when(F.col("_upto") > F.col("_rank"), F.col("_in")))
     high = F.min(F.when(F.col("_upto") > F.col("_rank") + 1, F.col("_in")))
-    found = cumulative.groupBy(*group, "_name").agg(
-        (low + F.coalesce((high - low) * F.first("_weight"), F.lit(0.0))).alias("_q")
-    )
+    beside = cumulative.groupBy(*group, "_name").agg(low.alias("_low"), F.coalesce(high, low).alias("_high"), F.first("_weight").alias("_weight"))
+    found = beside.select(*group, "_name", between("_low", "_high", "_weight").alias("_q"))
     wide = found.groupBy(*group).agg(
         *[F.max(F.when(F.col("_name") == n, F.col("_q"))).alias(n) for n in names]
     )
