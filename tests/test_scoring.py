@@ -81,3 +81,17 @@ def test_outcomes_follow_direction(spark):
         "direction string, target_value double, parent_value double, candidate_value double",
     )
     assert [r.outcome for r in M.outcomes(df, 0.1).collect()] == ["improved", "worsened", "improved", "unchanged", "inconclusive"]
+
+
+def test_sums_of_a_run_are_taken_in_the_order_of_its_rows(spark):
+    """As the SQL adds them: two runs of the same samples tie, and a sample at a threshold falls as there."""
+    value = [round(((i * 7919) % 10007) / 37, 2) for i in range(300)]
+    rows = [(run, i, float((i * 101) % 300), v) for run in range(20) for i, v in enumerate(value)]
+    random.Random(3).shuffle(rows)
+    series = spark.createDataFrame(rows, "run_id long, row_idx long, t double, value double").repartition(7).selectExpr("*", "'m' AS objective_id")
+    windows = series.select("run_id", "objective_id").distinct().selectExpr("*", "-1D AS start_t", "1e9 AS end_t", "CAST(NULL AS string) AS reason")
+    got = S.evaluate(series, windows, (Objective("m", "MEAN_RESPONSE"),)).collect()
+    total = 0.0
+    for v in value:
+        total += v
+    assert [r["raw_value"] for r in got] == [total / len(value)] * 20

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.registry import METRICS
 from tidemark.functions.scalar import ratio
 from tidemark.operators.ranks import exact_quantiles, ranked, top_k
-from tidemark.operators.sequence import neighbours, ordinal
+from tidemark.operators.sequence import in_order, neighbours, ordinal
 from tidemark.operators.timejoin import stab_join
 from tidemark.session import durable
 
@@ -235,7 +235,7 @@ def evaluate(
     stepped = neighbours(inside, ["run_id", "objective_id"], ["t"], ["value", "t"], width)
     names = sorted(set(by_metric.values()))
     # Registered builders look one column deep, so every metric is one aggregate.
-    sums = stepped.groupBy("run_id", "objective_id").agg(
+    sums = in_order(stepped, ["run_id", "objective_id"], ["row_idx"], width).groupBy("run_id", "objective_id").agg(
         F.count("value").alias("samples"),
         F.max_by("t", F.struct("value", -F.col("t"))).alias("peak_t"),
         *[METRICS.get(n).build().alias(f"_m{i}") for i, n in enumerate(names)],

@@ -62,6 +62,15 @@ def _order_key(order: Sequence[str]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
 
+def in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: float | None = None) -> DataFrame:
+    """Rows of a run together and in ``order``, so that a grouped sum of doubles adds them in that order.
+
+    The last digit of such a sum depends on the order, and rules that compare sums (a threshold, a
+    dominance) turn on it where two are equal. Runs that are cut in chunks stay as they are.
+    """
+    return df if width is not None else df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
 def neighbours(
     df: DataFrame,
     keys: Sequence[str],
