@@ -95,3 +95,6 @@ def test_sums_of_a_run_are_taken_in_the_order_of_its_rows(spark):
     for v in value:
         total += v
     assert [r["raw_value"] for r in got] == [total / len(value)] * 20
+
+    shares = M.contribution_shares(series.withColumnRenamed("value", "contribution")).collect()
+    assert sorted((r["run_id"], r["share"]) for r in shares) == sorted((run, v / total) for run, _, _, v in rows)

@@ -16,7 +16,7 @@ from tidemark.functions.scalar import ratio
 from tidemark.functions.text import forbidden_claims
 from tidemark.operators.panel import ordered_list, sampling_period
 from tidemark.operators.ranks import top_k
-from tidemark.operators.sequence import islands
+from tidemark.operators.sequence import in_order, islands
 from tidemark.operators.timejoin import overlap_join, stab_join
 from tidemark.session import durable
 
@@ -97,10 +97,10 @@ def objective_gaps(source: DataFrame, reference: DataFrame, spec: DataFrame) ->
     )
 
 
-def contribution_shares(parts: DataFrame) -> DataFrame:
+def contribution_shares(parts: DataFrame, width: float | None = None) -> DataFrame:
     """Share of the summed magnitude per sample, with the even share of the run."""
     keys = ["run_id", "objective_id"]
-    totals = parts.groupBy(*keys).agg(F.sum(F.abs("contribution")).alias("_total"), F.count(F.lit(1)).alias("_n"))
+    totals = in_order(parts, keys, ["row_idx"], width).groupBy(*keys).agg(F.sum(F.abs("contribution")).alias("_total"), F.count(F.lit(1)).alias("_n"))
     return parts.join(totals, keys).where("_total > 0").select(
         *keys, "t", "contribution", (F.abs("contribution") / F.col("_total")).alias("share"), (F.lit(1.0) / F.col("_n")).alias("even")
     )
@@ -115,7 +115,7 @@ def detect_intervals(
     Samples below a quarter (above twice) of an even share, merged across small gaps; each
     interval ends one sampling period after its last sample.
     """
-    shares = contribution_shares(parts)
+    shares = contribution_shares(parts, width)
     kind = F.when(F.col("share") < F.col("even") * WEAK_SHARE, "weak").when(
         F.col("share") > F.col("even") * STRONG_SHARE, "strong"
     )
