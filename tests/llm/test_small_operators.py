@@ -438,3 +438,20 @@ def test_texts_scored_together_are_scored_as_if_alone(spark, monkeypatch):
         score = [sum(w * e.get(t, 0.0) for t, w in zip(term, weight, strict=True)) for e in examples]
         best = sorted((s for s in score if s > 0), reverse=True)[: toxicity.NEAREST]
         assert np.allclose([e["cosine"] for e in got["evidence"]], best)
+
+
+def test_fitting_languages_holds_no_presence_rows_of_the_whole_sample(spark):
+    """3,000 texts by 8,192 places as numbers would be 98 MB of the driver's memory."""
+    import tracemalloc
+
+    draw = random.Random(4)
+    texts = [(lang, " ".join("".join(draw.choices(letters, k=5)) for _ in range(20))) for lang, letters in (("a", "abcde"), ("b", "eghij"), ("c", "acxyz")) for _ in range(1000)]
+    labelled = spark.createDataFrame(texts, "label string, text string")
+    tracemalloc.start()
+    try:
+        model = langid.fit(labelled)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert model.languages == ["a", "b", "c"]
+    assert most < 60e6

@@ -107,8 +107,8 @@ def fit(labelled: DataFrame, most: int = SAMPLE, landmarks: int = LANDMARKS) ->
     turn = rows.groupby("label").cumcount().to_numpy()
     marks = bits[np.lexsort((rows["label"], turn))[:landmarks]]
     model = LanguageModel(languages, marks, np.zeros(0), np.zeros(0))
-    held = np.unpackbits(bits, axis=1, count=PLACES).astype(np.float32)
-    cross = model.kernel(held).astype(np.float64)
+    # Block by block: the presence rows of the whole sample would take 120 MB of the driver.
+    cross = np.vstack([model.kernel(np.unpackbits(bits[i : i + BATCH], axis=1, count=PLACES).astype(np.float32)) for i in range(0, len(bits), BATCH)]).astype(np.float64)
     own = model.kernel(np.unpackbits(marks, axis=1, count=PLACES).astype(np.float32)).astype(np.float64)
     value, vector = np.linalg.eigh((own + own.T) / 2)
     keep = value > 1e-6 * value.max()
