@@ -1,8 +1,9 @@
 import re
 
+import numpy as np
 import pandas as pd
 
-from tidemark.llm.ngram_join import _in_several_sets, jaccard_components, shingle_set
+from tidemark.llm.ngram_join import _bound_blocks, _in_several_sets, jaccard_components, links, parities, shingle_set
 
 
 def brute(rows):
@@ -66,3 +67,20 @@ def test_shingles_of_one_set_are_dropped_across_batches():
         batches = (rows.iloc[i : i + size].reset_index(drop=True) for i in range(0, len(rows), size))
         got = pd.concat([rows.iloc[:0], *_in_several_sets(batches)])
         assert list(zip(got["token"], got["id"], strict=True)) == [(3, 10), (3, 11), (3, 12), (4, 10)]
+
+
+def test_parity_bits_rule_out_large_sets_and_lose_no_link():
+    draw = np.random.default_rng(5)
+    base = np.unique(draw.integers(0, 1 << 48, 4_150, dtype=np.uint64))
+    pool = [base, base[:4_000], base[500:], np.concatenate((base[:3_500], base[:60] + np.uint64(1)))]  # 4,096 and 8,192 bits
+    pool += [np.unique(draw.integers(0, 1 << 48, n, dtype=np.uint64)) for n in (900, 1_000, 3_000, 3_300, 4_000, 4_300)]
+    pool = [np.unique(x) for x in pool]
+    rows = []
+    for block in range(len(pool)):  # one member, then every set asks
+        rows += [(0, block, 0, False, block, block, len(pool[block]), parities(pool[block]))]
+        rows += [(0, block, 0, True, i, i, len(x), parities(x)) for i, x in enumerate(pool)]
+    frame = pd.DataFrame(rows, columns=["grp", "block", "salt", "asks", "id", "comp", "n", "bits"])
+    left = {(int(r.id), int(r.block)) for part in _bound_blocks(iter([frame])) for r in part.itertuples()}
+    linked = {(i, j) for i, a in enumerate(pool) for j, b in enumerate(pool) if i != j and links(len(np.intersect1d(a, b)), len(a), len(b))}
+    assert {(0, 1), (0, 2)} <= linked <= left
+    assert all(i < 4 and j < 4 for i, j in left)

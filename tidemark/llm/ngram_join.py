@@ -13,7 +13,7 @@ A document's set holds its distinct word 5-grams; two documents link at Jaccard
    share a shingle among their first ``n - ceil(0.8 n) + 1``. The union of these shingles over a
    group is its row of the matrix, kept as (shingle, group, block, sizes). A query meets the
    groups that share such a shingle and whose sizes allow the threshold.
-4. **Bound and open.** Each set has parity bits: those of two sets differ in no more places than
+4. **Bound and open.** Each set has parity bits, about one a shingle: those of two sets differ in no more places than
    the sets differ in shingles, which bounds their overlap. Queries that pass this bound for some
    member of a block go on with their whole sets. For a block the union of its whole sets is formed; if its overlap with the
    query cannot reach the threshold the block stays shut, otherwise the query is counted against
@@ -41,7 +41,7 @@ from tidemark.llm.common import Scratch, components, release
 WIDTH = 5
 PERCENT = 80
 BLOCK = 32
-PARITIES = 1024
+PARITIES = 1024  # at least; a set has as many as shingles, rounded up to a power of two
 QUERIES_PER_TASK_BLOCK = 256
 ORDERS = 6
 LEADERS = 4
@@ -91,11 +91,28 @@ def unpacked(raw: bytes) -> np.ndarray:
 
 
 def parities(tokens: np.ndarray) -> bytes:
-    """A bit for each of PARITIES classes of shingles: whether the set holds an odd number of them.
+    """A bit for each class of shingles: whether the set holds an odd number of them.
 
-    Two sets differ in at least as many shingles as these bits differ in places.
+    Two sets differ in at least as many shingles as these bits differ in places. Fewer classes than
+    shingles would leave large sets undecided: any two differ in half of the places at most.
     """
-    return np.packbits(np.bincount((tokens % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1).tobytes()
+    classes = max(PARITIES, 1 << (len(tokens) - 1).bit_length())
+    return np.packbits(np.bincount((tokens % np.uint64(classes)).astype(np.int64), minlength=classes) & 1).tobytes()
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Parity bits, as numbers, of the set for fewer classes: class c is c, c + width, ... of the finer ones."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, width), axis=0)
+
+
+def differing(own: np.ndarray, widths: dict[int, tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
+    """In how many places a set's bits differ from those of n sets, given by their width as (places, bits)."""
+    out = np.empty(n, dtype=np.int64)
+    for width, (at, bits) in widths.items():
+        least = min(width, len(own))
+        other = bits if least == width else np.bitwise_xor.reduce(bits.reshape(len(at), -1, least), axis=1)
+        out[at] = np.bitwise_count(other ^ folded(own, least)).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def needed(n: np.ndarray | int) -> np.ndarray | int:
@@ -271,8 +288,12 @@ def _bound_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if bits is None:
                 comps = np.array([c for c, _, _ in members], dtype=np.int64)
                 sizes = np.array([m for _, m, _ in members], dtype=np.int64)
-                bits = np.frombuffer(b"".join(r for _, _, r in members), dtype=np.uint64).reshape(len(members), -1)
-            differ = np.bitwise_count(bits ^ np.frombuffer(raw, dtype=np.uint64)).sum(axis=1, dtype=np.int64)
+                long = np.array([len(r) // 8 for _, _, r in members])
+                bits = {}
+                for width in np.unique(long).tolist():
+                    at = np.flatnonzero(long == width)
+                    bits[width] = at, np.frombuffer(b"".join(members[i][2] for i in at), dtype=np.uint64).reshape(len(at), -1)
+            differ = differing(np.frombuffer(raw, dtype=np.uint64), bits, len(members))
             most = np.minimum((n + sizes - differ) // 2, np.minimum(n, sizes))
             if ((comps != comp) & links(most, n, sizes)).any():
                 left.append((doc_id, comp, grp, block))
